@@ -1,4 +1,4 @@
-"""Registered queries and their SQL."""
+"""All registered queries but those of the corpus operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docsift.plans import retrieval_queries, state_queries, text_queries
+
+_MODULES = (retrieval_queries, text_queries, state_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.SQL.items()}
