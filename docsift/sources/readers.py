@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docsift.functions.paths import base_name, extension, file_class, file_id
 
@@ -18,7 +19,8 @@ MAX_COLUMNS, MAX_CELL = 80, 2000
 def scan_folders(spark: SparkSession, roots: list[str], content: bool = False) -> DataFrame:
     """Files below the roots, recursively: path, relative_path, root, mtime_ms, size[, content].
 
-    With more than one root, relative paths start with the root's name in brackets."""
+    With more than one root, relative paths start with the root's name in brackets. Spark lists neither empty files nor
+    those whose names start with a dot or an underscore."""
     out = None
     roots = list(dict.fromkeys(r.rstrip("/") for r in roots))
     for root in roots:
@@ -45,7 +47,7 @@ def with_ids(files: DataFrame, source_id: Column) -> DataFrame:
     return files.withColumn("file_id", file_id(source_id, F.col("path"))).withColumn("title", base_name(F.col("path")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _cp1251(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else b.decode("cp1251", "replace"))
 
