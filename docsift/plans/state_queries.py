@@ -391,13 +391,13 @@ SELECT source_id, link_key, min(url) AS url FROM p WHERE page_id % 2 = 0 AND (so
 def _records(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     cents = lambda c: F.round(F.col(c), 2).cast("decimal(18,2)")
-    items = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("record_id"), (F.col("l_suppkey") % 10).alias("tender_id"), F.col("l_orderkey").alias("position_id"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey")).alias("material_id"), F.when(F.col("l_partkey") % 3 == 0, F.col("l_suppkey")).alias("work_id"), F.concat(F.lit("item "), F.col("l_linenumber").cast("string")).alias("description"), F.when(F.col("l_linenumber") < 4, F.concat(F.lit("quotes/"), F.col("l_suppkey").cast("string"), F.lit(".pdf"))).alias("quote_link"), F.when(F.col("l_linenumber") != 7, cents("l_extendedprice")).alias("total_commercial_material_cost"), F.when(F.col("l_linenumber") % 2 == 0, cents("l_quantity")).alias("total_commercial_work_cost"))
+    items = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("record_id"), F.col("l_suppkey").cast("long").alias("tender_id"), F.col("l_orderkey").alias("position_id"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey")).alias("material_id"), F.when(F.col("l_partkey") % 3 == 0, F.col("l_suppkey")).alias("work_id"), F.concat(F.lit("item "), F.col("l_linenumber").cast("string")).alias("description"), F.when(F.col("l_linenumber") < 4, F.concat(F.lit("quotes/"), F.col("l_suppkey").cast("string"), F.lit(".pdf"))).alias("quote_link"), F.when(F.col("l_linenumber") != 7, cents("l_extendedprice")).alias("total_commercial_material_cost"), F.when(F.col("l_linenumber") % 2 == 0, cents("l_quantity")).alias("total_commercial_work_cost"))
     positions = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("item_no"), F.when(F.col("o_orderkey") % 4 == 0, cents("o_totalprice")).alias("material_cost_per_unit"), F.lit(None).cast("string").alias("work_cost_per_unit"))
     return audit.price_records(items, positions, table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
 
 
 _RECORDS = """
-r AS (SELECT l_orderkey || '-' || l_linenumber AS record_id, l_suppkey % 10 AS tender_id, coalesce(CASE WHEN l_partkey % 2 = 0 THEN p_name END, CASE WHEN l_partkey % 3 = 0 THEN s_name END, 'item ' || l_linenumber) AS position_name,
+r AS (SELECT l_orderkey || '-' || l_linenumber AS record_id, l_suppkey AS tender_id, coalesce(CASE WHEN l_partkey % 2 = 0 THEN p_name END, CASE WHEN l_partkey % 3 = 0 THEN s_name END, 'item ' || l_linenumber) AS position_name,
   CASE WHEN l_linenumber < 4 THEN 'quotes/' || l_suppkey || '.pdf' ELSE '' END AS quote_link, CASE WHEN l_linenumber < 4 THEN l_suppkey || '.pdf' ELSE '' END AS supplier,
   coalesce(CASE WHEN l_linenumber <> 7 THEN round(l_extendedprice, 2)::DECIMAL(18,2)::VARCHAR END, '0') AS total_commercial_material_cost, coalesce(CASE WHEN l_linenumber % 2 = 0 THEN round(l_quantity, 2)::DECIMAL(18,2)::VARCHAR END, '0') AS total_commercial_work_cost,
   coalesce(CASE WHEN o_orderkey % 4 = 0 THEN round(o_totalprice, 2)::DECIMAL(18,2)::VARCHAR END, '0') AS material_cost_per_unit, '0' AS work_cost_per_unit
@@ -466,11 +466,23 @@ CASE WHEN b IS NULL THEN 'invalid_input' WHEN ad <= base * 50000 // 1000000 THEN
 
 
 def _found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Records of the lines of one priority, and candidates from parts as quotes."""
-    records = _records(spark, d).filter("tender_id < 5")
+    """All records, and candidates from all parts as quotes, of the tenders 0 to 999 by the part's key."""
     p = table(spark, d, "part")
-    chunks = p.select((F.col("p_partkey") % 10).alias("tender_id"), F.col("p_partkey").cast("string").alias("chunk_id"), F.concat(F.lit("quotes/"), F.floor(F.col("p_partkey") / 10).cast("string"), F.lit(".pdf")).alias("path"), F.lit("").alias("title"), F.concat("p_name", F.lit(" цена: "), F.round("p_retailprice", 2).cast("decimal(18,2)").cast("string")).alias("text"))
-    return records, audit.candidates(chunks.filter(F.col("p_partkey") % EVERY == 0))
+    chunks = p.select((F.col("p_partkey") % 1000).alias("tender_id"), F.col("p_partkey").cast("string").alias("chunk_id"), F.concat(F.lit("quotes/"), (F.col("p_partkey") % 50).cast("string"), F.lit(".pdf")).alias("path"), F.lit("").alias("title"), F.concat("p_name", F.lit(" цена: "), F.round("p_retailprice", 2).cast("decimal(18,2)").cast("string")).alias("text"))
+    return _records(spark, d), audit.candidates(chunks)
+
+
+#: The same in SQL: a labelled and a bare mention of each part's price, and the best of them for each record.
+_BEST = (
+    _RECORDS
+    + """,
+c0 AS (SELECT p_partkey % 1000 AS tender_id, p_partkey::VARCHAR AS chunk_id, 'quotes/' || (p_partkey % 50) || '.pdf' AS path, (p_partkey % 50) || '.pdf' AS c_supplier, p_name, round(p_retailprice, 2)::DECIMAL(18,2)::VARCHAR AS amount FROM part),
+c AS (SELECT tender_id, chunk_id, path, c_supplier, amount, 0 AS ord, p_name AS label FROM c0 UNION ALL SELECT tender_id, chunk_id, path, c_supplier, amount, 1, p_name || ' цена:' FROM c0),
+pairs AS (SELECT record_id, chunk_id, ord, amount, label, supplier, c_supplier,
+  quote_link <> '' AND (contains(' ' || path || ' ' || c_supplier || ' ' || lower(trim(label)), lower(supplier)) OR contains(lower(quote_link), c_supplier)) AS q,
+  contains(lower(trim(label)), lower(trim(position_name))) OR contains(lower(trim(position_name)), lower(trim(label))[1:24]) AS p FROM r JOIN c USING (tender_id)),
+best AS (SELECT record_id, arg_min({'chunk_id': chunk_id, 'amount': amount, 'q': q, 'p': p}, (-(CASE WHEN q THEN 2 WHEN p THEN 1 ELSE 0 END), -(CASE WHEN q THEN 50 ELSE 0 END + CASE WHEN p THEN 30 ELSE 0 END + CASE WHEN supplier <> '' AND supplier = c_supplier THEN 20 ELSE 0 END), chunk_id, ord)) AS b FROM pairs GROUP BY record_id)"""
+)
 
 
 @query
@@ -485,7 +497,10 @@ def price_argmax(spark, d):
     """The candidate chosen for each record."""
     records, found = _found(spark, d)
     b = audit.best_candidates(records, found)
-    return b.select("record_id", F.col("best.chunk_id").alias("chunk_id"), F.col("best.amount").alias("amount"), F.col("best.by_quote").alias("by_quote"), F.col("best.by_position").alias("by_position"))
+    return b.select("record_id", F.col("best.chunk_id").alias("chunk_id"), F.col("best.amount").alias("amount"), F.col("best.by_quote").alias("by_quote"), F.col("best.by_position").alias("by_position")).distinct()
+
+
+SQL["price_argmax"] = f"WITH {_BEST} SELECT DISTINCT record_id, b.chunk_id AS chunk_id, b.amount AS amount, b.q AS by_quote, b.p AS by_position FROM r LEFT JOIN best USING (record_id)"
 
 
 @query
@@ -497,6 +512,19 @@ def finding_totals(spark, d):
     return audit.global_totals(f, reports)
 
 
+_FINDINGS = (
+    _BEST
+    + """,
+lines AS (SELECT record_id, tender_id, unnest([total_commercial_material_cost, total_commercial_work_cost, material_cost_per_unit, work_cost_per_unit]) AS v FROM r),
+z AS (SELECT record_id, tender_id, b, (v::DECIMAL(20,6) * 1000000)::HUGEINT AS x, (b.amount::DECIMAL(20,6) * 1000000)::HUGEINT AS y FROM lines LEFT JOIN best USING (record_id) WHERE v <> '0' AND v <> ''),
+f AS (SELECT tender_id, CASE WHEN b.q THEN 'error' ELSE 'warning' END AS severity FROM z WHERE b IS NOT NULL AND abs(x - y) > (CASE WHEN y <> 0 THEN abs(y) WHEN x <> 0 THEN abs(x) ELSE 1 END) * 10000 // 1000000
+  UNION ALL SELECT DISTINCT ON (record_id) tender_id, 'needs_review' FROM z WHERE b IS NULL
+  UNION ALL SELECT tender_id, 'needs_review' FROM r WHERE record_id NOT IN (SELECT record_id FROM z))"""
+)
+SQL["finding_totals"] = f"""WITH {_FINDINGS}, t AS (SELECT count(*) AS findings, count(*) FILTER (severity = 'error') AS high, count(*) FILTER (severity = 'warning') AS medium, count(*) FILTER (severity = 'needs_review') AS low FROM f)
+SELECT (SELECT count(DISTINCT tender_id) FROM r) AS tenders_checked, findings, high, medium, low, low AS needs_review, CASE WHEN high > 0 THEN 'error' WHEN medium > 0 OR low > 0 THEN 'warning' ELSE 'ok' END AS status FROM t"""
+
+
 @query
 def tender_statuses(spark, d):
     """Each tender's worst finding."""
@@ -505,6 +533,10 @@ def tender_statuses(spark, d):
     return audit.tender_status(audit.findings(records, found), tenders, F.lit(True), F.col("tender_id") != 3)
 
 
+SQL["tender_statuses"] = f"""WITH {_FINDINGS}, w AS (SELECT tender_id, max(CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END) AS w FROM f GROUP BY tender_id)
+SELECT DISTINCT r.tender_id, CASE WHEN r.tender_id = 3 THEN 'needs_review' WHEN w = 3 THEN 'error' WHEN w = 2 THEN 'warning' WHEN w = 1 THEN 'needs_review' ELSE 'ok' END AS status FROM r LEFT JOIN w ON w.tender_id = r.tender_id"""
+
+
 @query
 def record_summary(spark, d):
     """A26."""
