@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsift.functions.text import match_text
+
 SAMPLE = 20_000
 _A, _Z = r"(?:^|[^\p{L}\p{N}])", r"(?:[^\p{L}\p{N}]|$)"
 #: Signals by family.
@@ -53,14 +55,48 @@ def type_summary(files: DataFrame, key: str = "source_id") -> DataFrame:
     )
 
 
-#: What a chat question asks for.
-ALL_SOURCES = r"(?iu)(?:по всем|во всех|все(?:м|х)?)\s+(?:договор|проект|источник|папк)"
-BROAD = r"(?iu)(?:основные условия|кратко|обзор|перечисли|сводк|что в договоре|summary|overview)"
+#: Questions, as match text, that ask all sources.
+ALL_SOURCES = (
+    r"\b(?:all|every)\s+(?:projects?|sources?|folders?)\b",
+    r"\bacross\s+(?:all\s+)?(?:projects?|sources?|folders?)\b",
+    r"(?:^|\s)(?:все|всех|всем|всеми)\s+(?:проект\p{L}*|источник\p{L}*|папк\p{L}*)(?:\s|$)",
+    r"(?:^|\s)кажд\p{L}*\s+(?:проект\p{L}*|источник\p{L}*|папк\p{L}*)(?:\s|$)",
+)
+#: Questions that ask for a broad answer.
+BROAD = (
+    r"\b(?:summary|overview|summarize|summarise)\b",
+    r"\b(?:main|key|essential)\s+(?:terms|conditions|points|facts|risks)\b",
+    r"(?:^|\s)(?:основн|ключев|существенн)\p{L}*\s+(?:услов|положен|пункт|факт|риск|требован)\p{L}*(?:\s|$)",
+    r"(?:^|\s)(?:сводк|обзор|резюме)\p{L}*(?:\s|$)",
+    r"(?:^|\s)(?:проанализируй|разбери|проверь)\s+(?:договор|контракт|проект)\p{L}*(?:\s|$)",
+    r"(?:^|\s)(?:что|чего)\s+(?:в|по)\s+(?:договор|контракт)\p{L}*(?:\s|$)",
+)
+#: Broad questions about a contract, and the terms that their search adds.
+CONTRACT = (r"(?:^|\s)(?:договор|контракт|соглашени|дс|допсоглашени|услов)\p{L}*(?:\s|$)", r"\b(?:contract|agreement|terms|conditions)\b")
+CONTRACT_TERMS = (
+    "предмет договора",
+    "стороны заказчик подрядчик исполнитель",
+    "цена стоимость сумма договора НДС",
+    "срок выполнения работ дата окончания период",
+    "оплата платеж аванс",
+    "гарантийное удержание банковская гарантия обеспечение",
+    "ответственность штраф пени неустойка",
+    "дополнительное соглашение изменение цены",
+)
+
+
+def _asks(question: Column, patterns: tuple[str, ...]) -> Column:
+    return match_text(question).rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
 
 
 def intent(question: Column) -> Column:
-    """(all_sources, broad) of a chat question, and the limit of results that follows."""
-    q = F.coalesce(question, F.lit(""))
-    every, broad = q.rlike(ALL_SOURCES), q.rlike(BROAD)
+    """(all_sources, broad, limit): what a chat question asks for, and how many results that takes."""
+    every, broad = _asks(question, ALL_SOURCES), _asks(question, BROAD)
     limit = F.when(every & broad, 36).when(every, 24).when(broad, 20).otherwise(12)
     return F.struct(every.alias("all_sources"), broad.alias("broad"), limit.alias("limit"))
+
+
+def expanded_question(question: Column) -> Column:
+    """A broad question about a contract with the terms that its answer needs on a line of their own; others unchanged."""
+    q = F.coalesce(question, F.lit(""))
+    return F.when(_asks(q, BROAD) & _asks(q, CONTRACT), F.concat(q, F.lit("\n" + " ".join(CONTRACT_TERMS)))).otherwise(q)

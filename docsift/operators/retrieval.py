@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.functions import citations
+from docsift.functions.arrays import let
 from docsift.functions.text import expand_synonyms, phrase_boost, snippet, tokens
 from docsift.functions.vectors import clamp01, dot
 from docsift.operators import lexical
@@ -96,6 +97,16 @@ def rerank_scores(ranked: DataFrame, scorer: Callable, text: str = "text", max_c
     return first.select(query_key, key, udf(F.col(query_text), F.substr(text, F.lit(1), F.lit(max_chars))).alias("rerank_score"))
 
 
+def simple_score(text: Column, terms: Column, phrase: Column) -> Column:
+    """The simple score of one text for one query, without a join."""
+
+    def scored(held: Column) -> Column:
+        counts = F.transform(terms, lambda t: F.size(F.filter(held, lambda x: x == t)))
+        return F.aggregate(counts, F.lit(0.0), lambda a, n: a + F.when(n > 0, 2 + F.log1p(n)).otherwise(0.0))
+
+    return let(tokens(text), scored) + F.when((phrase != "") & F.contains(F.lower(text), phrase), 8.0).otherwise(0.0)
+
+
 def search(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, limit: int = 8, mode: str = "bm25", scorer: Callable | None = None, source_ids: list[str] | None = None) -> DataFrame:
     """Hybrid search of many queries in one job.
 
@@ -114,11 +125,7 @@ def search(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = No
     columns = ["query_id", "query_text", "original_terms"] + (["query_vector"] if vectors is not None else [])
     full = fused.join(chunks, "chunk_id").join(q.select(*columns, "terms", "phrase"), "query_id")
     # Candidates that only the vectors found have the simple score, beside the others' BM25.
-    missing = full.filter("lexical_rank is null").select("chunk_id", "query_id", "text", "terms", "phrase")
-    counts = F.transform("terms", lambda t: F.size(F.filter(tokens(F.col("text")), lambda x: x == t)))
-    simple = F.aggregate(counts, F.lit(0.0), lambda a, n: a + F.when(n > 0, 2 + F.log1p(n)).otherwise(0.0))
-    missing = missing.select("chunk_id", "query_id", (simple + F.when(F.contains(F.lower("text"), F.col("phrase")), 8.0).otherwise(0.0)).alias("_simple"))
-    full = full.join(missing, ["chunk_id", "query_id"], "left").withColumn("lexical_score", F.coalesce("_simple", "lexical_score")).drop("_simple", "rank")
+    full = full.withColumn("lexical_score", F.when(F.col("lexical_rank").isNull(), simple_score(F.col("text"), F.col("terms"), F.col("phrase"))).otherwise(F.col("lexical_score"))).drop("rank")
     has_vector = F.col("query_vector").isNotNull() if vectors is not None else F.lit(False)
     scored = hybrid(full, has_vector=has_vector, boost=phrase_boost(F.col("text"), F.col("original_terms"))).filter("score > 0")
     ranked = lexical.top_k(scored, max(limit, RERANK_TOP), digits=9)

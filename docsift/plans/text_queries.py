@@ -342,12 +342,14 @@ count(*) FILTER (conv_id % 5 = 0) AS commercial, count(*) FILTER (conv_id % 5 IN
 @query
 def chat_intents(spark, d):
     """What each turn asks for, and the limit that follows."""
-    q = F.concat("text", F.when(F.col("turn") % 4 == 1, " по всем договорам").when(F.col("turn") % 4 == 2, " основные условия").when(F.col("turn") % 4 == 3, " кратко по всем проектам").otherwise(""))
-    return table(spark, d, "conversations").select("conv_id", "turn", recognition.intent(q).alias("i")).select("conv_id", "turn", "i.all_sources", "i.broad", "i.limit")
+    q = F.concat("text", F.when(F.col("turn") % 4 == 1, " по всем проектам").when(F.col("turn") % 4 == 2, " основные условия").when(F.col("turn") % 4 == 3, " обзор: все источники").otherwise(""))
+    more = F.length(recognition.expanded_question(q)) - F.length(q)
+    return table(spark, d, "conversations").select("conv_id", "turn", recognition.intent(q).alias("i"), more.cast("long").alias("added")).select("conv_id", "turn", "i.all_sources", "i.broad", "i.limit", "added")
 
 
-SQL["chat_intents"] = """WITH q AS (SELECT conv_id, turn, turn % 4 IN (1, 3) AS e, turn % 4 IN (2, 3) AS b FROM conversations)
-SELECT conv_id, turn, e AS all_sources, b AS broad, CASE WHEN e AND b THEN 36 WHEN e THEN 24 WHEN b THEN 20 ELSE 12 END AS "limit" FROM q"""
+_ADDED = len("\n" + " ".join(recognition.CONTRACT_TERMS))
+SQL["chat_intents"] = f"""WITH q AS (SELECT conv_id, turn, turn % 4 IN (1, 3) AS e, turn % 4 IN (2, 3) AS b FROM conversations)
+SELECT conv_id, turn, e AS all_sources, b AS broad, CASE WHEN e AND b THEN 36 WHEN e THEN 24 WHEN b THEN 20 ELSE 12 END AS "limit", CASE WHEN turn % 4 = 2 THEN {_ADDED} ELSE 0 END::BIGINT AS added FROM q"""
 
 
 @query
