@@ -8,11 +8,13 @@ import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsift.functions.arrays import prefix_sums
+
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_CHUNK = 64
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,71 +59,33 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _ASCII_UPPER, _ASCII_UPPER.lower())
 
 
-def prefix_sums(steps: Column) -> Column:
-    """Inclusive prefix sums of an int array, by chunks, so that long arrays cost far less than their square."""
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / F.lit(_CHUNK)).cast("int")),
-        lambda k: F.aggregate(F.slice(steps, k * _CHUNK + 1, F.lit(_CHUNK)), F.lit(0), lambda a, x: a + x),
-    )
-    before = F.aggregate(
-        chunks,
-        F.array(F.lit(0)),
-        lambda acc, x: F.concat(acc, F.array(F.get(acc, F.size(acc) - 1) + x)),
-    )
-    return F.when(F.size(steps) <= 0, F.array().cast("array<int>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.size(steps) - 1),
-            lambda i: F.get(before, F.floor(i / F.lit(_CHUNK)).cast("int"))
-            + F.aggregate(
-                F.slice(steps, F.floor(i / F.lit(_CHUNK)).cast("int") * _CHUNK + 1, i % _CHUNK + 1),
-                F.lit(0),
-                lambda a, x: a + x,
-            ),
-        )
-    )
-
-
-def with_matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column | None]]) -> DataFrame:
-    """Add, for each kind, an array of (start, end, match) structs of all leftmost non-overlapping matches.
+def find_all(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column | None]], out: str) -> DataFrame:
+    """Add an array of (kind, ord, start, end, match) structs: all leftmost non-overlapping matches of each kind.
 
-    patterns: kind -> (regular expression, a cheap condition without which nothing can match, or None).
-    Offsets are code points, the end exclusive. Column names: ``_s_<kind>``. Offsets come from the lengths of
-    the matches and of the gaps between them, as Spark's functions return matches without their places.
+    patterns: kind -> (regular expression, a cheap condition without which nothing can match, or None); ord is the
+    kind's place among them. Offsets are code points, the end exclusive; they come from the lengths of the matches and
+    of the gaps between them, as Spark's functions return matches without their places. One lambda serves all kinds,
+    which keeps the plan small.
     """
     none = F.array().cast("array<string>")
+    guarded = lambda value, guard: value if guard is None else F.when(guard, value).otherwise(none)
+    df = df.withColumns({f"_m_{k}": guarded(F.regexp_extract_all(F.col(text), F.lit(r), F.lit(0)), g) for k, (r, g) in patterns.items()})
+    rows = [
+        F.struct(F.lit(k).alias("kind"), F.lit(i).alias("ord"), F.col(f"_m_{k}").alias("m"), F.when(F.size(f"_m_{k}") > 0, F.split(F.col(text), r, -1)).otherwise(none).alias("g"))
+        for i, (k, (r, _)) in enumerate(patterns.items())
+    ]
+    df = df.withColumn("_found", F.array(*rows)).drop(*(f"_m_{k}" for k in patterns))
+
+    def spans(row: Column) -> Column:
+        steps = F.transform(row["m"], lambda m, i: F.length(F.get(row["g"], i)) + F.coalesce(F.length(F.get(row["m"], i - 1)), F.lit(0)))
+        return F.zip_with(
+            row["m"],
+            prefix_sums(steps),
+            lambda m, s: F.struct(row["kind"].alias("kind"), row["ord"].alias("ord"), s.alias("start"), (s + F.length(m)).alias("end"), m.alias("match")),
+        )
 
-    def found(kind: str) -> Column:
-        regex, guard = patterns[kind]
-        hits = F.regexp_extract_all(F.col(text), F.lit(regex), F.lit(0))
-        return hits if guard is None else F.when(guard, hits).otherwise(none)
-
-    df = df.withColumns({f"_m_{k}": found(k) for k in patterns})
-    df = df.withColumns(
-        {
-            f"_g_{k}": F.when(F.size(f"_m_{k}") > 0, F.split(F.col(text), patterns[k][0], -1)).otherwise(none)
-            for k in patterns
-        }
-    )
-
-    def steps(kind: str) -> Column:
-        m, g = F.col(f"_m_{kind}"), F.col(f"_g_{kind}")
-        return F.transform(m, lambda x, i: F.length(F.get(g, i)) + F.coalesce(F.length(F.get(m, i - 1)), F.lit(0)))
-
-    df = df.withColumns({f"_t_{k}": steps(k) for k in patterns})
-    df = df.withColumns(
-        {f"_p_{k}": F.when(F.size(f"_m_{k}") > 0, prefix_sums(F.col(f"_t_{k}"))).otherwise(F.array().cast("array<int>")) for k in patterns}
-    )
-    df = df.withColumns(
-        {
-            f"_s_{k}": F.zip_with(
-                f"_m_{k}",
-                f"_p_{k}",
-                lambda m, s: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("match")),
-            )
-            for k in patterns
-        }
-    )
-    return df.drop(*(f"_{x}_{k}" for x in "mgtp" for k in patterns))
+    found = F.filter("_found", lambda row: F.size(row["m"]) > 0)
+    return df.withColumn(out, F.flatten(F.transform(found, spans))).drop("_found")
 
 
 def spans_text(spans: Column) -> Column:
@@ -131,7 +95,8 @@ def spans_text(spans: Column) -> Column:
     )
 
 
-def arrow_rows(batches: Iterator, *names: str) -> Iterator[list]:
-    """Columns of each Arrow batch as Python lists."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to a few hundred rows, so that a worker holds few texts as Python strings at a time."""
     for batch in batches:
-        yield [batch.column(n).to_pylist() for n in names]
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import spans_text, text_or_empty, with_matches
+from docsift.llm.common import spans_text, text_or_empty, find_all
 
 #: Quantifiers are possessive and starts are anchored where this leaves the matches as they are: a long run of
 #: digits or letters then costs time in proportion to its length, and Java's matcher doesn't recurse.
@@ -90,17 +90,21 @@ def _ip_ok(match: Column) -> Column:
     )
 
 
-def _confirmed(kind: str, match: Column) -> Column:
-    digits = _digits(match)
-    if kind == "ip":
-        return _ip_ok(match)
-    if kind == "card":
-        return luhn_ok(digits)
-    if kind == "phone":
-        return F.length(digits).between(9, 15)
-    if kind == "iban":
-        return mod97_ok(F.replace(match, F.lit(" "), F.lit("")))
-    return F.lit(True)
+def _confirmed(kind: Column, match: Column) -> Column:
+    return (
+        F.when(kind == "ip", _ip_ok(match))
+        .when(kind == "card", luhn_ok(_digits(match)))
+        .when(kind == "phone", F.length(_digits(match)).between(9, 15))
+        .when(kind == "iban", mod97_ok(F.replace(match, F.lit(" "), F.lit(""))))
+        .otherwise(F.lit(True))
+    )
+
+
+def _by_kind(kind: Column, values: dict[str, Column]) -> Column:
+    out = None
+    for k, v in values.items():
+        out = F.when(kind == k, v) if out is None else out.when(kind == k, v)
+    return out
 
 
 def scan_pii(df: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS, out: str = "pii") -> DataFrame:
@@ -111,21 +115,20 @@ def scan_pii(df: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS,
     """
     df = df.withColumn("_text", text_or_empty(F.col(text)))
     guards = {"email": F.contains(F.col("_text"), F.lit("@")), "phone": F.contains(F.col("_text"), F.lit("+")), "ssn": F.contains(F.col("_text"), F.lit("-"))}
-    df = with_matches(df, "_text", {k.name: (k.regex, guards.get(k.name)) for k in kinds})
-
-    def kept(k: Kind, order: int) -> Column:
-        def scored(s: Column) -> Column:
-            start = F.greatest(s["start"] - k.near, F.lit(0))
-            before = F.lower(F.substr(F.col("_text"), start + 1, s["start"] - start))
-            score = F.when(before.rlike(rf"\b(?:{'|'.join(k.context)})"), F.lit(min(1.0, k.base + k.boost))).otherwise(F.lit(k.base))
-            return F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), s["end"].alias("end"), F.lit(k.name).alias("kind"), score.alias("score"))
-
-        spans = F.transform(F.filter(f"_s_{k.name}", lambda s: _confirmed(k.name, s["match"])), scored)
-        return spans if k.always else F.filter(spans, lambda s: s["score"] >= k.required)
-
-    df = df.withColumns({f"_f_{k.name}": kept(k, order) for order, k in enumerate(kinds)})
-    df = df.withColumn(out, F.array_sort(F.concat(*(f"_f_{k.name}" for k in kinds))))
-    return df.drop("_text", *(f"_{x}_{k.name}" for x in "sf" for k in kinds))
+    df = find_all(df, "_text", {k.name: (k.regex, guards.get(k.name)) for k in kinds}, "_spans")
+    near = max(k.near for k in kinds)
+
+    def scored(s: Column) -> Column:
+        start = F.greatest(s["start"] - near, F.lit(0))
+        before = F.lower(F.substr(F.col("_text"), start + 1, s["start"] - start))
+        told = F.rlike(before, _by_kind(s["kind"], {k.name: F.lit(rf"\b(?:{'|'.join(k.context)})") for k in kinds}))
+        base = _by_kind(s["kind"], {k.name: F.lit(k.base) for k in kinds})
+        more = _by_kind(s["kind"], {k.name: F.lit(min(1.0, k.base + k.boost)) for k in kinds})
+        return F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind"), F.when(told, more).otherwise(base).alias("score"))
+
+    least = lambda s: _by_kind(s["kind"], {k.name: F.lit(0.0 if k.always else k.required) for k in kinds})
+    kept = F.filter(F.transform(F.filter("_spans", lambda s: _confirmed(s["kind"], s["match"])), scored), lambda s: s["score"] >= least(s))
+    return df.withColumn(out, F.array_sort(kept)).drop("_text", "_spans")
 
 
 def op1_pii(documents: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm.common import spans_text, text_or_empty, with_matches
+from docsift.llm.common import spans_text, text_or_empty, find_all
 
 RULE_VERSION = "2025-1"
 
@@ -51,15 +51,10 @@ def _value(match: Column) -> Column:
 def scan_blobs(blobs: DataFrame, text: str, rules: tuple[Rule, ...] = RULES, out: str = "findings") -> DataFrame:
     """Add `out`: array of (start, ord, end, kind) structs by start, then by the order of the rules."""
     guards = {r.kind: None if r.hint is None else F.contains(F.col(text), F.lit(r.hint)) for r in rules}
-    df = with_matches(blobs, text, {r.kind: (r.regex, guards[r.kind]) for r in rules})
-
-    def kept(r: Rule, order: int) -> Column:
-        spans = F.col(f"_s_{r.kind}")
-        if r.kind == "assign":
-            spans = F.filter(spans, lambda s: F.length(_value(s["match"])) >= 6)
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), s["end"].alias("end"), F.lit(r.kind).alias("kind")))
-
-    return df.withColumn(out, F.array_sort(F.concat(*(kept(r, i) for i, r in enumerate(rules))))).drop(*(f"_s_{r.kind}" for r in rules))
+    df = find_all(blobs, text, {r.kind: (r.regex, guards[r.kind]) for r in rules}, "_spans")
+    kept = F.filter("_spans", lambda s: (s["kind"] != "assign") | (F.length(_value(s["match"])) >= 6))
+    rows = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return df.withColumn(out, F.array_sort(rows)).drop("_spans")
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
