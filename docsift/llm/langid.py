@@ -9,7 +9,8 @@ mean than almost all (1 - `reject_rate`) of those, at their length, were, with r
 
 Fitting takes a bounded sample of labelled rows: about `per_lang` rows of each language (those with the lowest hash
 of their id and at most `max_chars` characters), a documented bound that doesn't grow with the table. Scoring
-covers all rows. Only the sample and counts by language reach the driver.
+covers all rows. One task counts the sample; the driver gets counts by
+language and the model.
 
 Defined results: a null text or one without a letter is `und` with score 0; ties go to the language first in
 order; a table without labelled rows predicts `und` everywhere; repeated rows are scored alike.
@@ -17,6 +18,7 @@ order; a table without labelled rows predicts `und` everywhere; repeated rows ar
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.llm.common import ship
+from docsift.llm.common import ship, slices
 
 ORDER = 4
 PER_LANG = 1500
@@ -36,7 +38,9 @@ MAX_LANGS = 200
 REJECT_RATE = 0.001
 SLACK = 1.5
 #: Words that a worker remembers; at that many it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Texts and new words that are scored together.
+_DOCS, _TOGETHER = 64, 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -47,18 +51,20 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _grams(codes: np.ndarray, inside: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams that end at each character, and whether they lie within one word and its first blank.
-
-    inside[i]: characters since that blank, 0 for the blank itself."""
-    h = np.full(len(codes), n, np.uint64)
+def _grams(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n characters that end at each of the places; a place before the first character counts as none."""
+    h = np.full(len(at), n, np.uint64)
     for back in range(n - 1, -1, -1):
-        shifted = np.zeros(len(codes), np.uint64)
-        shifted[back:] = codes[: len(codes) - back] if back else codes
-        h = (h ^ (shifted + np.uint64(1))) * _MIX
+        places = at - back
+        h = (h ^ (np.where(places >= 0, codes[places], 0).astype(np.uint64) + np.uint64(1))) * _MIX
         h ^= h >> np.uint64(29)
         h *= _STEP
-    return h, inside >= n - 1
+    return h
+
+
+def _contexts(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n - 1 characters before each of the places."""
+    return _grams(codes, at - 1, n - 1) if n > 1 else np.full(len(at), 7, np.uint64)
 
 
 def _layout(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,47 +78,52 @@ def _layout(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """keys[n], found[n]: sorted hashes of n-grams and their discounted probabilities by language; contexts likewise."""
+    """By order n - 1: keys, sorted hashes of the n-grams that any language has, with log probabilities by language, and
+    context_keys with the logs of the weights of the order below (0 where a language lacks the context)."""
 
     langs: list[str]
     base: float
     keys: list[np.ndarray]
-    found: list[np.ndarray]
+    logs: list[np.ndarray]
     context_keys: list[np.ndarray]
     weights: list[np.ndarray]
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
-    between: np.ndarray | None = None
     z: float = 0.0
     temperature: float = 10.0
 
+    def char_logs(self, codes: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Log probability of each character by language; 0 for the blank before a word.
+
+        An n-gram of the table gives the whole interpolated probability at once. One that no language has leaves the
+        weight of its context, and the order below, so most characters take one search."""
+        out = np.zeros((len(codes), len(self.langs)))
+        todo = np.flatnonzero(inside > 0)
+        for n in range(len(self.keys), 0, -1):
+            here = inside[todo] >= n - 1
+            at, rest = todo[here], todo[~here]
+            row = _find(self.keys[n - 1], _grams(codes, at, n))
+            hit = row >= 0
+            out[at[hit]] += self.logs[n - 1][row[hit]]
+            at = at[~hit]
+            row = _find(self.context_keys[n - 1], _contexts(codes, at, n))
+            out[at[row >= 0]] += self.weights[n - 1][row[row >= 0]]
+            todo = np.concatenate((rest, at))
+        out[todo] += np.log(self.base)
+        return out
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Negative log probability of each word (with the blank that ends it) by language."""
         codes, inside, starts = _layout(words)
-        p = np.full((len(codes), len(self.langs)), self.base, np.float64)
-        before = np.concatenate((np.zeros(1, np.uint64), codes[:-1]))
-        inside_before = np.concatenate(([0], inside[:-1]))
-        for n in range(1, len(self.keys) + 1):
-            h, whole = _grams(codes, inside, n)
-            whole &= inside > 0
-            if n > 1:
-                c, _ = _grams(before, inside_before, n - 1)
-            else:
-                c = np.full(len(codes), 7, np.uint64)
-            at = np.flatnonzero(whole)
-            weight = _lookup(self.context_keys[n - 1], self.weights[n - 1], c[at], 1.0)
-            p[at] = _lookup(self.keys[n - 1], self.found[n - 1], h[at], 0.0) + weight * p[at]
-        p[inside == 0] = 1.0
-        return np.add.reduceat(-np.log(p), starts, axis=0)
-
-
-def _lookup(keys: np.ndarray, rows: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-    out = np.full((len(wanted), rows.shape[1]), missing, np.float64)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        hit = keys[at] == wanted
-        out[hit] = rows[at[hit]]
-    return out
+        return -np.add.reduceat(self.char_logs(codes, inside), starts, axis=0)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the wanted hashes, -1 for those that aren't there."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
 
 
 def fit(samples: dict[str, list[str]], order: int = ORDER, reject_rate: float = REJECT_RATE, slack: float = SLACK) -> Model:
@@ -129,57 +140,64 @@ def fit(samples: dict[str, list[str]], order: int = ORDER, reject_rate: float =
         codes, inside, _ = _layout(words)
         weight = np.repeat(np.fromiter(counts.values(), np.float64, len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 2)
         letters.update(np.unique(codes).tolist())
-        before, inside_before = np.concatenate((np.zeros(1, np.uint64), codes[:-1])), np.concatenate(([0], inside[:-1]))
         for n in range(1, order + 1):
-            h, whole = _grams(codes, inside, n)
-            c = _grams(before, inside_before, n - 1)[0] if n > 1 else np.full(len(codes), 7, np.uint64)
-            use = whole & (inside > 0)
+            at = np.flatnonzero((inside > 0) & (inside >= n - 1))
+            amount = weight[at]
             if n < order:
                 # Lower orders count the different characters before an n-gram; one that starts at a word's edge keeps its count.
-                wider, _ = _grams(codes, inside, n + 1)
-                at_edge = use & (inside == n - 1)
-                within = np.flatnonzero(use & ~at_edge)
-                _, first = np.unique(wider[within], return_index=True)
-                at = np.concatenate((within[first], np.flatnonzero(at_edge)))
-                amount = np.concatenate((np.ones(len(first)), weight[np.flatnonzero(at_edge)]))
-            else:
-                at = np.flatnonzero(use)
-                amount = weight[at]
-            keys, index = np.unique(h[at], return_inverse=True)
+                edge = inside[at] == n - 1
+                within = at[~edge]
+                _, first = np.unique(_grams(codes, within, n + 1), return_index=True)
+                at, amount = np.concatenate((within[first], at[edge])), np.concatenate((np.ones(len(first)), weight[at[edge]]))
+            keys, first, index = np.unique(_grams(codes, at, n), return_index=True, return_inverse=True)
             count = np.bincount(index, amount)
-            own_context = np.zeros(len(keys), np.uint64)
-            own_context[index] = c[at]
             ones, twos = np.sum(count == 1), np.sum(count == 2)
             discount = float(np.clip(ones / (ones + 2 * twos), 0.1, 0.9)) if ones else 0.5
+            own_context = _contexts(codes, at[first], n)
+            below = _grams(codes, at[first], n - 1) if n > 1 else own_context
             ckeys, cindex = np.unique(own_context, return_inverse=True)
             total, kinds = np.bincount(cindex, count), np.bincount(cindex)
-            grams[n - 1].append((lang, keys, np.maximum(count - discount, 0) / total[cindex]))
+            grams[n - 1].append((lang, keys, np.maximum(count - discount, 0) / total[cindex], own_context, below))
             contexts[n - 1].append((lang, ckeys, np.minimum(1.0, discount * kinds / total)))
-    model = Model(langs, 1.0 / (len(letters) + 1), *_merged(grams, langs, 0.0), *_merged(contexts, langs, 1.0))
+    model = Model(langs, 1.0 / (len(letters) + 1), *_tables(grams, contexts, langs, 1.0 / (len(letters) + 1)))
     _calibrate(model, held, reject_rate, slack)
     return model
 
 
-def _merged(parts: list[list[tuple]], langs: list[str], missing: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """One sorted array of keys for each order, and a row by language for each."""
-    keys, rows = [], []
-    for own in parts:
-        all_keys = np.unique(np.concatenate([k for _, k, _ in own])) if own else np.zeros(0, np.uint64)
-        table = np.full((len(all_keys), len(langs)), missing, np.float32)
-        for lang, k, v in own:
-            table[np.searchsorted(all_keys, k), langs.index(lang)] = v
-        keys.append(all_keys)
-        rows.append(table)
-    return keys, rows
+def _tables(grams: list[list[tuple]], contexts: list[list[tuple]], langs: list[str], base: float) -> tuple[list[np.ndarray], ...]:
+    """The model's arrays: discounted shares of all languages in one table for each order, then, from the lowest order
+    up, each n-gram's share plus its context's weight times the probability of the n-gram below."""
+    keys, logs, context_keys, weights = [], [], [], []
+    lower: np.ndarray | None = None
+    for own, ctx in zip(grams, contexts):
+        ck = np.unique(np.concatenate([k for _, k, _ in ctx])) if ctx else np.zeros(0, np.uint64)
+        w = np.ones((len(ck), len(langs)))
+        for lang, k, v in ctx:
+            w[np.searchsorted(ck, k), langs.index(lang)] = v
+        gk = np.unique(np.concatenate([x[1] for x in own])) if own else np.zeros(0, np.uint64)
+        p, its_context, below = np.zeros((len(gk), len(langs))), np.zeros(len(gk), np.uint64), np.zeros(len(gk), np.uint64)
+        for lang, k, v, c, u in own:
+            at = np.searchsorted(gk, k)
+            p[at, langs.index(lang)], its_context[at], below[at] = v, c, u
+        if len(gk):
+            p += w[np.searchsorted(ck, its_context)] * (base if lower is None else lower[np.searchsorted(keys[-1], below)])
+        keys.append(gk)
+        logs.append(np.log(p))
+        context_keys.append(ck)
+        weights.append(np.log(w))
+        lower = p
+    return keys, logs, context_keys, weights
 
 
 def _calibrate(model: Model, held: dict[str, list[str]], reject_rate: float, slack: float) -> None:
     scorer = Scorer(model)
     k = len(model.langs)
-    model.mean, model.spread, model.between = np.full(k, 5.0), np.ones(k), np.zeros(k)
+    model.mean, model.spread = np.full(k, 5.0), np.ones(k)
     zs, tops, rows = [], [], []
     for i, lang in enumerate(model.langs):
-        sums = [x for x in map(scorer.entropies, held[lang]) if x is not None]
+        own = [words_of(t) for t in held[lang]]
+        scorer.prepare(own)
+        sums = [x for x in map(scorer.entropies, own) if x is not None]
         if len(sums) < 2:
             continue
         h, n = np.array([e[i] for e, _ in sums]), np.array([n for _, n in sums], float)
@@ -210,24 +228,33 @@ class Scorer:
         self.rows[at : at + len(words)] = self.model.word_scores(words)
         self.known.update(zip(words, range(at, at + len(words))))
 
-    def entropies(self, text: str | None) -> tuple[np.ndarray, int] | None:
-        """Cross-entropy per character by language, and the number of words; None without a letter."""
-        words = words_of(text)
-        if not words:
-            return None
+    def prepare(self, texts: list[list[str]]) -> None:
+        """Learn the new words of some texts at once."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        new = list(set().union(*texts).difference(self.known))
+        for at in range(0, len(new), _TOGETHER):
+            self._learn(new[at : at + _TOGETHER])
+
+    def entropies(self, words: list[str]) -> tuple[np.ndarray, int] | None:
+        """Cross-entropy per character by language, and the number of words; None without any. The words are known."""
+        if not words:
+            return None
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         return self.rows[at].sum(axis=0) / (sum(map(len, words)) + len(words)), len(words)
 
-    def predict(self, text: str | None) -> tuple[str, float, float | None, bool]:
-        """Language, score, cross-entropy, whether rejected."""
+    def predictions(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
+        """Language, score, cross-entropy and whether rejected, of each text."""
+        out: list[tuple[str, float, float | None, bool]] = []
+        for at in range(0, len(texts), _DOCS):
+            words = [words_of(t) for t in texts[at : at + _DOCS]]
+            self.prepare(words)
+            out += [self.predict(w) for w in words]
+        return out
+
+    def predict(self, words: list[str]) -> tuple[str, float, float | None, bool]:
         m = self.model
-        found = self.entropies(text) if m.langs else None
+        found = self.entropies(words) if m.langs else None
         if found is None:
             return "und", 0.0, None, True
         e, n = found
@@ -255,11 +282,18 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         most = F.lit(int(min(1.0, 1.2 * per_lang / r["count"]) * (1 << 40)))
         bar = F.when(own, most) if bar is None else bar.when(own, most)
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_text"))
-    rows = labelled.filter(F.col("_hash") < bar.otherwise(F.lit(0))).withColumn("_rank", rank).filter(F.col("_rank") <= per_lang).select("_lang", "_hash", "_text").collect()
-    samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["_lang"], r["_hash"], r["_text"])):
-        samples.setdefault(r["_lang"], []).append(r["_text"])
-    return fit(samples)
+    sample = labelled.filter(F.col("_hash") < bar.otherwise(F.lit(0))).withColumn("_rank", rank).filter(F.col("_rank") <= per_lang).select("_lang", "_hash", "_text")
+    ship(docs.sparkSession)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("_lang", "_hash", "_text")))]
+        samples: dict[str, list[str]] = {}
+        for lang, _, text_ in sorted(rows):
+            samples.setdefault(lang, []).append(text_)
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(samples))]})
+
+    # One task counts the sample, whose size is bounded; what comes back is the model, bounded too.
+    return pickle.loads(sample.coalesce(1).mapInArrow(fitted, "model binary").first()["model"])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -271,8 +305,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            rows = [scorer.predict(t) for t in batch.column("_text").to_pylist()]
+        for batch in slices(batches, 1024):
+            rows = scorer.predictions(batch.column("_text").to_pylist())
             yield pa.RecordBatch.from_pydict(
                 {n: batch.column(n) for n in names}
                 | {
