@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from docsift.llm.common import ship
+from docsift.llm.common import ship, slices
 
 LEAF = 256
 WINDOW = 4
@@ -190,7 +190,7 @@ def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path or vocabulary_path())
-        for batch in batches:
+        for batch in slices(batches):
             ids = [c.encode_bytes(t)[0] for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {n: batch.column(n) for n in names} | {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "token_ids": pa.array(ids, pa.binary())}
@@ -207,7 +207,7 @@ def decode_ids(df: DataFrame, ids: str = "token_ids", path: str | None = None, o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path or vocabulary_path())
-        for batch in batches:
+        for batch in slices(batches):
             texts = [c.decode(x) if x else "" for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in names} | {out: pa.array(texts, pa.string())})
 
@@ -222,7 +222,7 @@ def op6_bpe(documents: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path or vocabulary_path())
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in slices(batches):
             n, a, b = [], [], []
             for t in batch.column("text").to_pylist():
                 ids, _ = c.encode_bytes(t)

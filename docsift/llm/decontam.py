@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import ship
+from docsift.llm.common import ship, slices
 
 WINDOW = 10
 #: Bytes outside words become blanks, A-Z becomes a-z; bytes of characters outside ASCII stay.
@@ -100,7 +100,7 @@ def _scanner(shared, names: list[str], first: bool, spans: bool) -> Callable[[It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in slices(batches):
             n_words, hits, items, places = [], [], [], []
             old = [None, None] if first else [batch.column("_runs").to_pylist(), batch.column("_items").to_pylist()]
             for k, text in enumerate(batch.column("_text").to_pylist()):
@@ -131,14 +131,14 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     ship(spark)
     source = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null")
     total = source.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    slices = max(1, -(-total // max_bytes))
+    parts = max(1, -(-total // max_bytes))
     df = docs.withColumn("_text", F.col(text))
-    for k in range(slices):
-        own = source.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k) if slices > 1 else source
+    for k in range(parts):
+        own = source.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k) if parts > 1 else source
         shared = spark.sparkContext.broadcast(_patterns([(r["i"], r["t"]) for r in own.collect()], size))
-        names = [f.name for f in df.schema if f.name not in ("_n_words", "_runs", "_items", "_spans") and (keep_text or f.name != text) and not (f.name == "_text" and k + 1 == slices)]
+        names = [f.name for f in df.schema if f.name not in ("_n_words", "_runs", "_items", "_spans") and (keep_text or f.name != text) and not (f.name == "_text" and k + 1 == parts)]
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names), "_n_words long", f"_runs {_RUNS}", "_items array<string>", f"_spans {_RUNS}"])
-        df = df.mapInArrow(_scanner(shared, names, k == 0, spans and k + 1 == slices), schema)
+        df = df.mapInArrow(_scanner(shared, names, k == 0, spans and k + 1 == parts), schema)
     n_hit = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["end"] - r["start"]).cast("long")
     return df.withColumns({"n_hit": n_hit}).withColumnsRenamed({"_n_words": "n_words", "_runs": "hit_runs", "_items": "hit_items", "_spans": "hit_spans"})
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import ship
+from docsift.llm.common import ship, slices
 
 GRAM = 3
 WINNOW = 2
@@ -193,7 +193,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: tuple[tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t in batch.column("_text").to_pylist():
                 hits = index.scan(words_of(t), min_coverage)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import ship
+from docsift.llm.common import ship, slices
 
 #: Fixed values of the format: kbit/s by index, samples a second by index, both for MPEG-1, 2 and 2.5.
 BITRATES = {
@@ -295,7 +295,7 @@ def store_audio(docs: DataFrame, text: str = "text", keep_text: bool = False, ou
     names = [f.name for f in docs.schema if keep_text or f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             media = [write_stream(padded(t)[1]) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in names} | {out: pa.array(media, pa.binary())})
 
@@ -310,7 +310,7 @@ def read_audio(df: DataFrame, media: str = "media") -> DataFrame:
     names = [n for n in df.columns if n != media]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = [parse_stream(x or b"") for x in batch.column(media).to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {n: batch.column(n) for n in names}
@@ -337,7 +337,7 @@ def op10_mpeg_media(documents: DataFrame) -> DataFrame:
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for data, n in zip(batch.column("media").to_pylist(), batch.column("n_bytes").to_pylist()):
                 s = parse_stream(data)

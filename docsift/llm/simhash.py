@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import checkpointed, ship
+from docsift.llm.common import checkpointed, ship, slices
 
 SHINGLE = 3
 SEED = 42
@@ -71,7 +71,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", keep_text: bool = Fal
     names = [f.name for f in docs.schema if keep_text or f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = [_signed(fingerprint(t)) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in names} | {"_fp": pa.array(fps, pa.int64())})
 
