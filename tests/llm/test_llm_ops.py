@@ -175,6 +175,14 @@ def test_url_filter_sql(spark):
     assert key(got) == key(want)
 
 
+def test_decontam_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(registry.oracle_sql()["op3_decontam"]).fetchall()
+    assert sorted(rows_of(registry.queries()["op3_decontam"](spark, SF))) == sorted(want)
+
+
 def test_decontam(spark):
     item = " ".join(f"w{i}" for i in range(30))
     docs = [(0, None), (1, ""), (2, "X " + item.upper() + " y"), (3, "w0 w1-w2 w3,w4 w5 w6 w7 w8 w9é"), (4, "short one"), (5, "a, SHORT! one. b short one"), (6, item[:40])]
@@ -313,15 +321,7 @@ def test_kneser_ney_sums_to_one():
 def probabilities(m, codes, inside):
     import numpy as np
 
-    p = np.full((len(codes), len(m.langs)), m.base)
-    before, inside_before = np.concatenate((np.zeros(1, np.uint64), codes[:-1])), np.concatenate(([0], inside[:-1]))
-    for n in range(1, len(m.keys) + 1):
-        h, whole = langid._grams(codes, inside, n)
-        whole &= inside > 0
-        c = langid._grams(before, inside_before, n - 1)[0] if n > 1 else np.full(len(codes), 7, np.uint64)
-        at = np.flatnonzero(whole)
-        p[at] = langid._lookup(m.keys[n - 1], m.found[n - 1], h[at], 0.0) + langid._lookup(m.context_keys[n - 1], m.weights[n - 1], c[at], 1.0) * p[at]
-    return p
+    return np.exp(m.char_logs(codes, inside))
 
 
 def near_copies():
