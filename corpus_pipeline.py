@@ -13,40 +13,45 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsift.llm import bpe, decontam, langid, secrets, simhash
-from docsift.llm.common import read_table, shared_path
+from docsift.llm.common import read_table, shared_path, shielded
+
+
+#: The columns that stages look at; others pass through under names of their own, whatever they are called.
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters, and those too unlike every language of the labels."""
     model = langid.train(docs.filter(langid.in_sample(F.col("doc_id"))))
-    return langid.identify(docs, model).filter(~F.col("lang_rejected")).select(*docs.columns)
+    return shielded(docs, CORE, lambda df: langid.identify(df, model).filter(~F.col("lang_rejected")))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each component. Documents without a doc_id stay."""
     groups = simhash.near_duplicates(docs.filter("doc_id is not null").select("doc_id", "text"))
     first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = kept.withColumn("_one", one).filter("_one = 1").select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    kept = shielded(docs.join(first, "doc_id", "left_semi"), CORE, lambda df: df.withColumn("_one", one).filter("_one = 1"))
+    return kept.select(*(f"`{c}`" for c in docs.columns)).unionByName(docs.filter("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a benchmark window."""
-    found = decontam.scan_benchmark(docs, read_table(spark, sf_dir, "benchmark"), spans=False)
-    return found.filter(F.col("n_hit") == 0).select(*docs.columns)
+    benchmark = read_table(spark, sf_dir, "benchmark")
+    return shielded(docs, CORE, lambda df: decontam.scan_benchmark(df, benchmark, spans=False).filter(F.col("n_hit") == 0))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets; all documents stay."""
-    found = secrets.scan_versions(docs)
-    hit = F.size("findings") > 0
-    text = secrets.redact(F.col("text"), F.col("findings"))
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+
+    def redacted(df: DataFrame) -> DataFrame:
+        out = secrets.scan_versions(df).withColumn("text", secrets.redact(F.col("text"), F.col("findings")))
+        if "n_chars" in docs.columns:
+            n = F.length("text").cast(docs.schema["n_chars"].dataType)
+            out = out.withColumn("n_chars", F.when(F.size("findings") > 0, n).otherwise(F.col("n_chars")))
+        return out
+
+    return shielded(docs, CORE, redacted)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from docsift.llm.common import ship, slices
+from docsift.llm.common import ddl, passing, ship, slices
 
 LEAF = 256
 WINDOW = 4
@@ -186,7 +186,8 @@ def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, k
     None for the installed default, which each worker then finds for itself."""
     ship(docs.sparkSession)
     df = docs.withColumn("_text", F.col(text).cast("string"))
-    names = [f.name for f in docs.schema if keep_text or f.name != text]
+    fields = passing(docs, text, keep_text, "n_tokens", "token_ids")
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path or vocabulary_path())
@@ -196,14 +197,14 @@ def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, k
                 {n: batch.column(n) for n in names} | {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "token_ids": pa.array(ids, pa.binary())}
             )
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), "n_tokens long", "token_ids binary"])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, ddl(fields, "n_tokens long", "token_ids binary"))
 
 
 def decode_ids(df: DataFrame, ids: str = "token_ids", path: str | None = None, out: str = "decoded") -> DataFrame:
     """Add the text that the ids decode to, special tokens kept."""
     ship(df.sparkSession)
-    names = df.columns
+    fields = passing(df, "", True, out)
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path or vocabulary_path())
@@ -211,8 +212,7 @@ def decode_ids(df: DataFrame, ids: str = "token_ids", path: str | None = None, o
             texts = [c.decode(x) if x else "" for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in names} | {out: pa.array(texts, pa.string())})
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"{out} string"])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, ddl(fields, f"`{out}` string"))
 
 
 def op6_bpe(documents: DataFrame, path: str | None = None) -> DataFrame:

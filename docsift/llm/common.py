@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsift.functions.arrays import prefix_sums
 
@@ -50,6 +51,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def passing(df: DataFrame, text: str, keep_text: bool, *made: str) -> list[T.StructField]:
+    """The input's columns that an operator hands on: not those whose names it makes itself, which it replaces."""
+    return [f for f in df.schema if f.name not in (*made, "_text") and (keep_text or f.name != text)]
+
+
+def ddl(fields: list[T.StructField], *made: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *made])
+
+
+def shielded(df: DataFrame, core: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(df), with the columns outside core under names of their own meanwhile, so that none can clash."""
+    own = {c: f"__extra_{i}" for i, c in enumerate(df.columns) if c not in core}
+    return work(df.withColumnsRenamed(own)).select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in df.columns))
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 

@@ -132,7 +132,8 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     source = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null")
     total = source.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-total // max_bytes))
-    df = docs.withColumn("_text", F.col(text))
+    made = ("n_words", "n_hit", "hit_items", "hit_runs", "hit_spans", "_n_words", "_runs", "_items", "_spans")
+    df = docs.drop(*(c for c in made if c != text)).withColumn("_text", F.col(text).cast("string"))
     for k in range(parts):
         own = source.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k) if parts > 1 else source
         shared = spark.sparkContext.broadcast(_patterns([(r["i"], r["t"]) for r in own.collect()], size))

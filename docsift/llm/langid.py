@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.llm.common import ship, slices
+from docsift.llm.common import ddl, passing, ship, slices
 
 ORDER = 4
 PER_LANG = 1500
@@ -301,7 +301,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by the training sample
-    names = [f.name for f in docs.schema if keep_text or f.name != text]
+    fields = passing(docs, text, keep_text, "lang_pred", "lang_score", "lang_entropy", "lang_rejected")
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -317,7 +318,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool
                 }
             )
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), "lang_pred string, lang_score double, lang_entropy double, lang_rejected boolean"])
+    schema = ddl(fields, "lang_pred string, lang_score double, lang_entropy double, lang_rejected boolean")
     return docs.withColumn("_text", F.col(text).cast("string")).mapInArrow(run, schema)
 
 

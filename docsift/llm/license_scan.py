@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import ship, slices
+from docsift.llm.common import ddl, passing, ship, slices
 
 GRAM = 3
 WINNOW = 2
@@ -188,7 +188,8 @@ _HIT = "array<struct<license:string,coverage:double,start:int,end:int>>"
 def scan_licenses(docs: DataFrame, text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, keep_text: bool = True, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """Add `licenses`: name, share of the template matched, and span (code points of the text) of each notice found."""
     ship(docs.sparkSession)
-    names = [f.name for f in docs.schema if keep_text or f.name != text]
+    fields = passing(docs, text, keep_text, "licenses")
+    names = [f.name for f in fields]
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +202,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: tuple[tuple[st
                 out.append([{"license": h.license, "coverage": h.coverage, "start": places[h.start_word][0], "end": places[h.end_word - 1][1]} for h in hits])
             yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in names} | {"licenses": pa.array(out, kind)})
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), f"licenses {_HIT}"])
+    schema = ddl(fields, f"licenses {_HIT}")
     return docs.withColumn("_text", F.col(text).cast("string")).mapInArrow(run, schema)
 
 

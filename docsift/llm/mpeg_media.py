@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import ship, slices
+from docsift.llm.common import ddl, passing, ship, slices
 
 #: Fixed values of the format: kbit/s by index, samples a second by index, both for MPEG-1, 2 and 2.5.
 BITRATES = {
@@ -292,14 +292,15 @@ def padded(text: str | None) -> tuple[int, bytes]:
 def store_audio(docs: DataFrame, text: str = "text", keep_text: bool = False, out: str = "media") -> DataFrame:
     """Add the text's payload as a stream, in a binary column."""
     ship(docs.sparkSession)
-    names = [f.name for f in docs.schema if keep_text or f.name != text]
+    fields = passing(docs, text, keep_text, out)
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             media = [write_stream(padded(t)[1]) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in names} | {out: pa.array(media, pa.binary())})
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), f"{out} binary"])
+    schema = ddl(fields, f"`{out}` binary")
     return docs.withColumn("_text", F.col(text).cast("string")).mapInArrow(run, schema)
 
 
@@ -307,7 +308,8 @@ def read_audio(df: DataFrame, media: str = "media") -> DataFrame:
     """Replace a column of MPEG streams by what the parser finds: tags, exact duration (samples over rate), VBR table,
     checksum counts, and the offset of each frame. A null stream has none."""
     ship(df.sparkSession)
-    names = [n for n in df.columns if n != media]
+    fields = passing(df, media, False, "tags", "rate", "samples", "vbr", "crc_checked", "crc_bad", "skipped_bytes", "frame_offsets")
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -327,8 +329,7 @@ def read_audio(df: DataFrame, media: str = "media") -> DataFrame:
             )
 
     own = "tags map<string,string>, rate int, samples long, vbr string, crc_checked long, crc_bad long, skipped_bytes long, frame_offsets array<long>"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != media), own])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, ddl(fields, own))
 
 
 def op10_mpeg_media(documents: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Everything is a column expression; no row leaves the JVM and nothing is shuffled.
 
-Defined results: a null or empty text has no spans. Columns of the input that share a name with an internal
-one (leading underscore) are not supported as text; all other extra columns pass through untouched. Repeated
+Defined results: a null or empty text has no spans. Extra columns pass through; an input column with
+the name of one that is made, or of an internal one (leading underscore), is replaced or dropped. Repeated
 rows are scanned like any other row.
 """
 

@@ -5,7 +5,7 @@ are one blob, scanned once per rule version; blobs that the ledger holds for thi
 again. Findings are joined back to every row (path) whose version is that blob. All native expressions.
 
 Defined results: a null text is the empty blob, which has no findings. Repeated rows stay as many rows. Extra
-columns pass through; names with a leading underscore are reserved.
+columns pass through; those named like a column that is made, or an internal one (leading underscore), are replaced.
 """
 
 from __future__ import annotations
@@ -89,6 +89,7 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rule_ver
     Only blobs with findings are joined back, on a turned key, so that each side gets an exchange of its own and
     adaptive execution may split a blob that very many rows share.
     """
+    versions = versions.drop(*(c for c in ("findings", "_key", "_size", "_blob", "_n_bytes") if c != text))
     fresh = update_ledger(versions, ledger, rule_version, text, rules)
     if ledger is not None:
         fresh = fresh.unionByName(ledger.filter(F.col("rule_version") == rule_version).select(*fresh.columns))

@@ -5,7 +5,8 @@ says which shard holds each slot. Rebalancing edits the map: it moves as few slo
 together, and writes the next version. Only the slot table (thousands of rows, a constant) reaches the driver.
 
 Defined results: a null text counts no bytes (size 1); equal rows share a slot; an empty table gives an empty
-result. Extra columns pass through; names with a leading underscore are reserved.
+result. Extra columns pass through; those named like
+a column that is made, or an internal one (leading underscore), are replaced.
 """
 
 from __future__ import annotations
@@ -107,6 +108,7 @@ def shard_rows(df: DataFrame, size: str, order: list[str], slot_map: SlotMap, n_
     """Add shard and slot, the row's place in its shard: those of the virtual slots before its own, then its place
     in its virtual slot. So numbering needs thousands of small windows instead of one for each shard."""
     spark = df.sparkSession
+    df = df.drop("shard", "slot", "_start", "_own")
     start, at = [0] * slot_map.shards, []
     for vslot, shard in enumerate(slot_map.shard_of):
         at.append((vslot, shard, start[shard]))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import checkpointed, ship, slices
+from docsift.llm.common import checkpointed, ddl, passing, ship, slices
 
 SHINGLE = 3
 SEED = 42
@@ -68,15 +68,15 @@ def with_fingerprints(docs: DataFrame, text: str = "text", keep_text: bool = Fal
     """Add _fp, the fingerprint as a signed long."""
     ship(docs.sparkSession)
     df = docs.withColumn("_text", F.col(text).cast("string"))
-    names = [f.name for f in docs.schema if keep_text or f.name != text]
+    fields = passing(docs, text, keep_text, "_fp")
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fps = [_signed(fingerprint(t)) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in names} | {"_fp": pa.array(fps, pa.int64())})
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), "_fp long"])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, ddl(fields, "_fp long"))
 
 
 def _rotated(fp: Column, bits: int) -> Column:

@@ -6,7 +6,8 @@ their regular expression. All native expressions; the rows aren't shuffled as lo
 to be a literal of the plan (`max_inline`), and are joined on the token beyond that.
 
 Defined results: a null url, or one without ://, has an empty host and path, which no rule fits, and is
-allowed. Repeated rows stay as many rows. Extra columns pass through; names with a leading underscore are reserved.
+allowed. Repeated rows stay as many rows. Extra columns pass through; those named like
+a column that is made, or an internal one (leading underscore), are replaced.
 """
 
 from __future__ import annotations

@@ -429,6 +429,34 @@ def test_mpeg_resync():
     assert mpeg_media.crc16(b"123456789") == 0xAEE7
 
 
+CLASH = ("_text", "_fp", "_blob", "_key", "_one", "_spans", "_runs", "findings", "pii", "licenses", "n_tokens", "token_ids", "lang_pred", "n_words", "hit_runs", "shard", "vslot", "match", "host", "media", "_target")
+
+
+def clashing(df):
+    return df.withColumns({c: F.lit("mine") for c in CLASH})
+
+
+def test_clashing_names(spark):
+    import corpus_pipeline
+
+    docs = clashing(spark.read.parquet(f"{SF}/documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert out.filter(" or ".join(f"`{c}` <> 'mine'" for c in CLASH)).isEmpty() and not out.isEmpty()
+    few = clashing(odd(spark))
+    n = len(ODD)
+    model = langid.fit({"a": ["one two"], "b": ["eins zwei"]})
+    benchmark = spark.createDataFrame([(1, "two words")], "item_id int, text string")
+    pages = few.withColumnRenamed("text", "url")
+    for out in (pii.scan_pii(few), secrets.scan_versions(few), bpe.encode_texts(few), license_scan.scan_licenses(few), simhash.with_fingerprints(few), mpeg_media.read_audio(mpeg_media.store_audio(few)), langid.identify(few, model), decontam.scan_benchmark(few, benchmark), url_filter.judge_urls(pages, url_filter.PREFIX_RULES)):
+        assert len(set(out.columns)) == len(out.columns) and out.count() == n
+    slots = sharding.with_slots(few.withColumn("size", F.lit(1)), [F.col("doc_id")])
+    m = sharding.SlotMap.initial(4)
+    rows = sharding.shard_rows(slots, "size", ["doc_id"], m, sharding.slot_bytes(slots, "size")[1]).collect()
+    assert len(rows) == n and {r["shard"] for r in rows} <= set(range(4))
+
+
 def test_xxhash_seed(spark):
     assert spark.sql("select xxhash64('a b c')").first()[0] == simhash._signed(xxhash.xxh64_intdigest(b"a b c", 42))
 
