@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsift.functions.arrays import let
 from docsift.functions.money import compare_money, money, money_text, price_mentions
 from docsift.functions.paths import base_name
 
@@ -81,20 +82,32 @@ def best_candidates(records: DataFrame, found: DataFrame, guarded: bool = True)
 
 
 def findings(records: DataFrame, found: DataFrame, percent: float = 1.0, guarded: bool = True) -> DataFrame:
-    """(record_id, tender_id, severity, field, db_value, expected_value, delta, confidence, chunk_id)."""
-    best = best_candidates(records, found, guarded)
-    long = comparable(best, ["record_id", "tender_id", "best"])
-    cmp = compare_money(money(F.col("value")), money(F.col("best.amount")), percent)
-    sure = F.when(F.col("best.by_quote"), 0.9).when(F.col("best.by_position"), 0.75).otherwise(0.55)
-    checked = long.filter("best is not null").withColumn("_c", cmp).filter(~F.col("_c.match"))
-    wrong = checked.select("record_id", "tender_id", F.when(sure >= 0.8, "error").otherwise("warning").alias("severity"), "field", money_text(F.col("value")).alias("db_value"), money_text(F.col("best.amount")).alias("expected_value"), F.col("_c.delta").alias("delta"), sure.alias("confidence"), F.col("best.chunk_id").alias("chunk_id"))
-    none = F.lit(None)
-    order = F.array_position(F.array(*map(F.lit, FIELDS)), F.col("field"))
-    alone = long.filter("best is null").groupBy("record_id", "tender_id").agg(F.min(F.struct(order.alias("o"), F.col("field"), F.col("value"))).alias("f"))
-    alone = alone.select("record_id", "tender_id", F.lit("needs_review").alias("severity"), F.col("f.field").alias("field"), F.col("f.value").alias("db_value"), none.cast("string").alias("expected_value"), none.cast("decimal(38,6)").alias("delta"), F.lit(0.25).alias("confidence"), none.cast("string").alias("chunk_id"))
-    empty = records.join(comparable(records, ["record_id"]).select("record_id").distinct(), "record_id", "left_anti")
-    empty = empty.select("record_id", "tender_id", F.lit("needs_review").alias("severity"), F.lit("record").alias("field"), none.cast("string").alias("db_value"), none.cast("string").alias("expected_value"), none.cast("decimal(38,6)").alias("delta"), F.lit(0.2).alias("confidence"), none.cast("string").alias("chunk_id"))
-    return wrong.unionByName(alone).unionByName(empty)
+    """(record_id, tender_id, severity, field, db_value, expected_value, delta, confidence, chunk_id).
+
+    Each record meets its best candidate once; its fields are an array, so nothing is unpivoted or joined again."""
+    best = F.col("best")
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), money(F.col(f)).alias("amount")) for f in FIELDS))
+    shown = F.filter(fields, lambda v: v["value"].isNotNull() & ~v["value"].isin("", "0"))
+
+    def row(severity: Column | str, field: Column | str, value: Column | None, expected: Column | None, delta: Column | None, confidence: Column | float, chunk: Column | None) -> Column:
+        text = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("string")
+        sure = confidence if isinstance(confidence, Column) else F.lit(confidence)
+        amount = (F.lit(None) if delta is None else delta).cast("decimal(38,6)")
+        return F.struct(text(severity).alias("severity"), text(field).alias("field"), text(value).alias("db_value"), text(expected).alias("expected_value"), amount.alias("delta"), sure.cast("double").alias("confidence"), text(chunk).alias("chunk_id"))
+
+    def compared(v: Column) -> Column:
+        sure = F.when(best["by_quote"], 0.9).when(best["by_position"], 0.75).otherwise(0.55)
+        told = lambda c: row(F.when(sure >= 0.8, "error").otherwise("warning"), v["field"], money_text(v["value"]), F.col("_text"), c["delta"], sure, best["chunk_id"])
+        return let(compare_money(v["amount"], F.col("_amount"), percent), lambda c: F.when(~c["match"], told(c)))
+
+    df = best_candidates(records, found, guarded).withColumns({"_v": shown, "_amount": money(best["amount"]), "_text": money_text(best["amount"])})
+    first = F.get("_v", F.lit(0))
+    rows = (
+        F.when(F.size("_v") == 0, F.array(row("needs_review", "record", None, None, None, 0.2, None)))
+        .when(best.isNull(), F.array(row("needs_review", first["field"], first["value"], None, None, 0.25, None)))
+        .otherwise(F.filter(F.transform("_v", compared), lambda x: x.isNotNull()))
+    )
+    return df.select("record_id", "tender_id", F.inline(rows))
 
 
 def tender_status(found: DataFrame, tenders: DataFrame, has_records: Column, has_chunks: Column) -> DataFrame:

@@ -518,8 +518,7 @@ _FINDINGS = (
 lines AS (SELECT record_id, tender_id, unnest([total_commercial_material_cost, total_commercial_work_cost, material_cost_per_unit, work_cost_per_unit]) AS v FROM r),
 z AS (SELECT record_id, tender_id, b, (v::DECIMAL(20,6) * 1000000)::HUGEINT AS x, (b.amount::DECIMAL(20,6) * 1000000)::HUGEINT AS y FROM lines LEFT JOIN best USING (record_id) WHERE v <> '0' AND v <> ''),
 f AS (SELECT tender_id, CASE WHEN b.q THEN 'error' ELSE 'warning' END AS severity FROM z WHERE b IS NOT NULL AND abs(x - y) > (CASE WHEN y <> 0 THEN abs(y) WHEN x <> 0 THEN abs(x) ELSE 1 END) * 10000 // 1000000
-  UNION ALL SELECT DISTINCT ON (record_id) tender_id, 'needs_review' FROM z WHERE b IS NULL
-  UNION ALL SELECT tender_id, 'needs_review' FROM r WHERE record_id NOT IN (SELECT record_id FROM z))"""
+  UNION ALL SELECT tender_id, 'needs_review' FROM r LEFT JOIN best USING (record_id) WHERE b IS NULL OR len(list_filter([total_commercial_material_cost, total_commercial_work_cost, material_cost_per_unit, work_cost_per_unit], lambda v: v <> '0' AND v <> '')) = 0)"""
 )
 SQL["finding_totals"] = f"""WITH {_FINDINGS}, t AS (SELECT count(*) AS findings, count(*) FILTER (severity = 'error') AS high, count(*) FILTER (severity = 'warning') AS medium, count(*) FILTER (severity = 'needs_review') AS low FROM f)
 SELECT (SELECT count(DISTINCT tender_id) FROM r) AS tenders_checked, findings, high, medium, low, low AS needs_review, CASE WHEN high > 0 THEN 'error' WHEN medium > 0 OR low > 0 THEN 'warning' ELSE 'ok' END AS status FROM t"""
