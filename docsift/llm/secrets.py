@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docsift.llm.common import spans_text, text_or_empty, find_all
 
-RULE_VERSION = "2025-1"
+RULE_VERSION = "2025-2"
 
 
 @dataclass(frozen=True)
@@ -31,6 +31,9 @@ class Rule:
 
 #: Group 2 is what follows the separator; the last alternative of its class is greedy, so the match ends with it.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]+"""
+#: A private key from its BEGIN line to its END line; one that is cut off runs to the end of the text.
+_PEM_NAME = r"(?:[A-Z0-9]+ ){0,4}?PRIVATE KEY(?: BLOCK)?-----"
+PEM = rf"-----BEGIN {_PEM_NAME}[\s\S]*?(?:-----END {_PEM_NAME}|\z)"
 RULES = (
     Rule("assign", ASSIGN),
     Rule("access", r"AKIA[A-Z0-9]{16,}+", "AKIA"),
@@ -38,7 +41,7 @@ RULES = (
     Rule("github", r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}+", "gh"),
     Rule("slack", r"(?<![A-Za-z0-9-])xox[abprs]-[A-Za-z0-9-]{10,}+", "xox"),
     Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", "eyJ"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]++ )*+PRIVATE KEY-----", "-----BEGIN "),
+    Rule("pem", PEM, "-----BEGIN "),
 )
 BASE = ("assign", "access", "hex")
 
