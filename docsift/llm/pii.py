@@ -22,7 +22,32 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-IBAN = r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: Countries by the length of their IBANs, the partial and experimental ones of the registry included.
+IBAN_COUNTRIES = {
+    15: "NO",
+    16: "BE BI",
+    18: "DK FK FI FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CM CZ DZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST",
+    26: "IR IS TR",
+    27: "BF BJ CF CG CI DJ FR GA GQ GR IT KM MC MG ML MR NE SM SN TD TG",
+    28: "AL AZ BY CY DO GT HN HU LB MA NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+_LONG = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items())
+#: A whole IBAN, as long as its country's are; what follows it, capitals after a blank too, is no part of it.
+IBAN = rf"(?:{_LONG})(?![A-Za-z0-9])"
+#: Its first four characters. Only these are taken from the text, so that a run which fails mod-97 hides no IBAN in it.
+IBAN_HEAD = rf"(?<![A-Z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?={IBAN})[A-Z]{{2}}[0-9]{{2}}"
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 
 
@@ -45,7 +70,7 @@ KINDS = (
     Kind("ip", IP, 0.6, ("ip", "host", "server", "addr"), always=True),
     Kind("card", CARD, 0.7, ("card", "visa", "credit", "payment", "karte", "tarjeta", "carte"), always=True),
     Kind("phone", PHONE, 0.6, ("tel", "phone", "call", "fax", "mobil"), always=True),
-    Kind("iban", IBAN, 0.8, ("iban", "account", "bank", "konto", "cuenta", "compte"), required=0.5),
+    Kind("iban", IBAN_HEAD, 0.8, ("iban", "account", "bank", "konto", "cuenta", "compte"), required=0.5),
     Kind("ssn", SSN, 0.3, ("ssn", "social", "security"), required=0.5),
 )
 BASE = ("email", "ip", "card", "phone")
@@ -118,6 +143,13 @@ def scan_pii(df: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS,
     df = find_all(df, "_text", {k.name: (k.regex, guards.get(k.name)) for k in kinds}, "_spans")
     near = max(k.near for k in kinds)
 
+    def whole(s: Column) -> Column:
+        iban = F.regexp_extract(F.substr(F.col("_text"), s["start"] + 1, F.lit(2 * max(IBAN_COUNTRIES))), f"^{IBAN}", 0)
+        fields = [s[c].alias(c) for c in ("kind", "ord", "start")]
+        return F.when(s["kind"] == "iban", F.struct(*fields, (s["start"] + F.length(iban)).alias("end"), iban.alias("match"))).otherwise(s)
+
+    df = df.withColumn("_spans", F.transform("_spans", whole))
+
     def scored(s: Column) -> Column:
         start = F.greatest(s["start"] - near, F.lit(0))
         before = F.lower(F.substr(F.col("_text"), start + 1, s["start"] - start))

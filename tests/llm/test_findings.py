@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docsift.llm import secrets
+from docsift.llm import pii, secrets
 
 
 def test_secret_extra_kinds(spark):
@@ -31,3 +31,18 @@ def test_secret_extra_kinds(spark):
     assert {r["spans"] for r in secrets.op5_secrets(none).collect()} == {""}
     two = spark.createDataFrame([(0, f"a {pem(names[0])} b {pem(names[1])} c")], docs.schema)
     assert secrets.scan_versions(two).select(secrets.redact(F.col("text"), F.col("findings"))).first()[0] == "a [SECRET] b [SECRET] c"
+
+
+def test_iban_neighbours(spark):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    shut, mt = de.replace(" ", ""), "MT84MALT011000012345MTLCAST001S"
+    good = [(de, " Konto"), (shut, " Bank"), (shut, " BIC COBADEFFXXX"), (de, " EUR 500"), (gb, " 12.03.2020"), (no, " 2 Items"), (mt, " A1"), (de, " " + de[:4]), (de, ", x"), (de, "")]
+    docs = [(i, f"é😀 IBAN {a}{b}") for i, (a, b) in enumerate(good)]
+    docs += [(100, f"{de} {gb} {shut} END"), (101, f"REF NO12 345 {shut}"), (102, "DE89 3704 0044 0532 0130 01 X"), (103, f"{shut}X {shut}1"), (104, f"NO12 {de}")]
+    found = {r["doc_id"]: r["spans"] for r in pii.op1_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    ibans = {i: [x for x in s.split(",") if x.startswith("iban")] for i, s in found.items()}
+    for i, (a, _) in enumerate(good):
+        assert ibans[i] == [f"iban:8:{8 + len(a)}"], good[i]
+    assert ibans[100] == ["iban:0:27", "iban:28:55", "iban:56:78"]
+    assert ibans[101] == ["iban:13:35"] and ibans[104] == ["iban:5:32"]
+    assert ibans[102] == ibans[103] == []
