@@ -4,8 +4,9 @@ One model per language over the letters of words, each word between blanks, up t
 share sorted arrays of 64-bit n-gram hashes, one per order, each with a row of discounted probabilities by
 language, and the same for contexts with their interpolation weights. A text's score under a language is its
 cross-entropy per character, over every word of the whole text; the lowest wins. Rejection is calibrated on
-labelled rows kept out of the counts: a text is rejected if its cross-entropy is further above its language's
-mean than almost all (1 - `reject_rate`) of those, at their length, were, with room of `slack`.
+labelled rows kept out of the counts, less those that are more like another language than their label: a text is
+rejected if its cross-entropy is further above its language's mean than almost all (1 - `reject_rate`) of those were
+when cut to about its number of words, with room of `slack`.
 
 Fitting takes a bounded sample of labelled rows: about `per_lang` rows of each language (those with the lowest hash
 of their id and at most `max_chars` characters), a documented bound that doesn't grow with the table. Scoring
@@ -37,6 +38,8 @@ MAX_CHARS = 20_000
 MAX_LANGS = 200
 REJECT_RATE = 0.001
 SLACK = 1.5
+#: Numbers of words to which calibrating rows are cut; the threshold between two of them is interpolated.
+LENGTHS = tuple(2**x for x in range(15))
 #: Words that a worker remembers; at that many it starts afresh.
 REMEMBERED = 100_000
 #: Texts and new words that are scored together.
@@ -89,7 +92,7 @@ class Model:
     weights: list[np.ndarray]
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
-    z: float = 0.0
+    z: np.ndarray | None = None  # by LENGTHS
     temperature: float = 10.0
 
     def char_logs(self, codes: np.ndarray, inside: np.ndarray) -> np.ndarray:
@@ -193,20 +196,28 @@ def _calibrate(model: Model, held: dict[str, list[str]], reject_rate: float, sla
     scorer = Scorer(model)
     k = len(model.langs)
     model.mean, model.spread = np.full(k, 5.0), np.ones(k)
-    zs, tops, rows = [], [], []
+    zs, tops, rows = [[] for _ in LENGTHS], [], []
     for i, lang in enumerate(model.langs):
         own = [words_of(t) for t in held[lang]]
         scorer.prepare(own)
-        sums = [x for x in map(scorer.entropies, own) if x is not None]
-        if len(sums) < 2:
+        scored = [(w, *x) for w in own if (x := scorer.entropies(w)) is not None]
+        # A row that is more like another language has a wrong label, most likely, and would stretch the threshold.
+        scored = [x for x in scored if np.argmin(x[1]) == i]
+        if len(scored) < 2:
             continue
+        sums = [x[1:] for x in scored]
         h, n = np.array([e[i] for e, _ in sums]), np.array([n for _, n in sums], float)
         model.mean[i] = np.average(h, weights=n)
         model.spread[i] = np.sqrt(np.median((h - model.mean[i]) ** 2 * n)) / 0.6745 + 1e-9
-        zs += list((h - model.mean[i]) / (model.spread[i] / np.sqrt(n)))
+        for at, size in enumerate(LENGTHS):
+            cuts = [scorer.entropies(w[:size])[0] for w, _, _ in scored if len(w) >= size]
+            zs[at] += [(e[i] - model.mean[i]) / (model.spread[i] / np.sqrt(size)) for e in cuts if np.argmin(e) == i]
         tops += [i] * len(sums)
         rows += [e for e, _ in sums]
-    model.z = max(4.0, float(np.quantile(zs, 1 - reject_rate))) * slack if zs else np.inf
+    # Longer texts vary by more than the root of their words tells, so the threshold doesn't fall with length.
+    model.z = np.maximum.accumulate([max(4.0, float(np.quantile(x, 1 - reject_rate))) if x else 4.0 for x in zs]) * slack
+    if not rows:
+        model.z[:] = np.inf
     if rows:
         e, y = np.array(rows), np.array(tops)
         loss = lambda t: np.mean(np.logaddexp.reduce(-e * t, axis=1) + e[np.arange(len(y)), y] * t)
@@ -261,7 +272,7 @@ class Scorer:
         best = int(np.argmin(e))
         score = float(1.0 / np.exp(-(e - e[best]) * m.temperature).sum())
         far = (e[best] - m.mean[best]) / (m.spread[best] / np.sqrt(n))
-        return m.langs[best], score, float(e[best]), bool(far > m.z)
+        return m.langs[best], score, float(e[best]), bool(far > np.interp(np.log2(n), np.log2(LENGTHS), m.z))
 
 
 def in_sample(key: Column, fold: int = 4, held: int = 2) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docsift.llm import pii, secrets
+from docsift.llm import langid, pii, secrets
 
 
 def test_secret_extra_kinds(spark):
@@ -46,3 +46,28 @@ def test_iban_neighbours(spark):
     assert ibans[100] == ["iban:0:27", "iban:28:55", "iban:56:78"]
     assert ibans[101] == ["iban:13:35"] and ibans[104] == ["iban:5:32"]
     assert ibans[102] == ibans[103] == []
+
+
+FOREIGN = {
+    "pl": "to jest zdanie w języku polskim który nie jest znany temu modelowi ponieważ nikt go nie uczył tego dnia wszyscy ludzie rodzą się wolni i równi",
+    "it": "tutti gli esseri umani nascono liberi ed eguali in dignità e diritti essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri",
+    "nl": "alle mensen worden vrij en gelijk in waardigheid en rechten geboren zij zijn begiftigd met verstand en geweten en behoren zich jegens elkander te gedragen",
+}
+
+
+def test_langid_rejects_foreign(spark):
+    """A few wrong labels among the calibrating rows don't let short texts of other languages through."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("lang", "text").collect()
+    samples: dict = {}
+    for lang, text in rows:
+        if lang and text and len(text) < 20_000:
+            samples.setdefault(lang, []).append(text)
+    clean = [t for own in samples.values() for t in own]
+    langs = sorted(samples)
+    for a, b in zip(langs, langs[1:] + langs[:1]):
+        samples[a][0], samples[a][5] = samples[b][1], samples[b][2]  # every fifth row calibrates
+    scorer = langid.Scorer(langid.fit(samples))
+    for text in FOREIGN.values():
+        words = text.split()
+        assert all(r[3] for r in scorer.predictions([" ".join(words[:n]) for n in (15, 20, 24)]))
+    assert sum(r[3] for r in scorer.predictions(clean) if r[0] != "und") <= 0.005 * len(clean)
