@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages, each from docsift.llm.
 
 1. Language ID: rejected documents go. The model is fitted on a bounded sample of the labelled rows of its input.
-2. SimHash near-duplicates: of each component the document with the smallest doc_id stays; of rows that share it, one.
+2. SimHash near-duplicates: of each component one row stays, that with the smallest doc_id; null ids come last.
 3. Decontamination: documents that hold a window of a benchmark item go.
 4. Secrets: found spans are replaced by a mark; n_chars follows.
 5. BPE: the documents as token ids.
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsift.llm import bpe, decontam, langid, secrets, simhash
-from docsift.llm.common import read_table, shared_path, shielded
+from docsift.llm.common import read_table, shared_path, shielded, text_or_empty
 
 
 #: The columns that stages look at; others pass through under names of their own, whatever they are called.
@@ -27,12 +27,14 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each component. Documents without a doc_id stay."""
-    groups = simhash.near_duplicates(docs.filter("doc_id is not null").select("doc_id", "text"))
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = shielded(docs.join(first, "doc_id", "left_semi"), CORE, lambda df: df.withColumn("_one", one).filter("_one = 1"))
-    return kept.select(*(f"`{c}`" for c in docs.columns)).unionByName(docs.filter("doc_id is null"))
+    """Keep one row of each component: that with the smallest doc_id, of those the one with the least SHA-256 of its
+    text. A row without a doc_id stays if its component has no other."""
+    # Ordered like that choice, and the same for rows of one doc_id and text only, so each names one component.
+    pick = F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id").alias("id"), F.unhex(F.sha2(text_or_empty(F.col("text")), 256)).alias("sha"))
+    groups = simhash.near_duplicates(docs.select(pick.alias("_pick"), "text"), "_pick")
+    first = groups.filter(F.col("_pick") == F.col("component_id")).select("_pick")
+    one = F.row_number().over(Window.partitionBy("_pick").orderBy("text"))
+    return shielded(docs, CORE, lambda df: df.withColumn("_pick", pick).withColumn("_one", one).filter("_one = 1").join(first, "_pick", "left_semi"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

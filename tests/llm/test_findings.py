@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from docsift.llm import langid, pii, secrets
@@ -71,3 +73,17 @@ def test_langid_rejects_foreign(spark):
         words = text.split()
         assert all(r[3] for r in scorer.predictions([" ".join(words[:n]) for n in (15, 20, 24)]))
     assert sum(r[3] for r in scorer.predictions(clean) if r[0] != "und") <= 0.005 * len(clean)
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    x, y, z, w = (" ".join(rnd.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rnd.randrange(40)) for _ in range(300)) for _ in range(4))
+    rows = [(5, x), (5, y), (5, y), (9, x), (2, z), (7, z), (7, w), (None, w), (None, x), (None, "only here"), (None, "only here"), (11, None), (11, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source long")
+    got = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = {(5, x), (5, y), (2, z), (7, w), (None, "only here"), (11, "")}
+    kept = [(r["doc_id"], r["text"] or "") for r in got.collect()]
+    assert len(kept) == len(want) and set(kept) == want
