@@ -234,18 +234,22 @@ def _alike(a: Frame, b: Frame | None) -> bool:
 def parse_stream(data: bytes) -> Stream:
     out = Stream()
     at, end = _id3v2(data, out.tags), len(data)
-    if end >= 128 and data[-128:-125] == b"TAG":
-        end -= 128
-        out.tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
+    # An ID3v1 tag, unless these bytes turn out to lie in a frame that ends with the stream.
+    tag = end - 128 if end >= 128 and data[-128:-125] == b"TAG" else None
     first = None
     while at + 4 <= end:
+        if at == tag:
+            out.tags.setdefault("TIT2", data[at + 3 : at + 33].rstrip(b"\0 ").decode("latin-1"))
+            break
         f = parse_header(data[at : at + 4])
         after = at + f.length if f else 0
         fits = f is not None and f.length >= 4 and after <= end and (first is None or _alike(first, f))
-        if not fits or not (after == end or _alike(f, parse_header(data[after : after + 4]))):
+        fits = fits and (tag is None or not at < tag < after or after == end)
+        if not fits or not (after in (end, tag) or _alike(f, parse_header(data[after : after + 4]))):
             if not fits or first is None:
                 there = data.find(b"\xff", at + 1, end)
                 there = end if there < 0 else there
+                there = tag if tag is not None and at < tag < there else there
                 out.skipped += there - at
                 at = there
                 continue

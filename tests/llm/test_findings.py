@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from docsift.llm import langid, pii, secrets
+from docsift.llm import langid, mpeg_media, pii, secrets
 
 
 def test_secret_extra_kinds(spark):
@@ -87,3 +88,21 @@ def test_pipeline_keeps_one_row_of_each_component(spark):
     want = {(5, x), (5, y), (2, z), (7, w), (None, "only here"), (11, "")}
     kept = [(r["doc_id"], r["text"] or "") for r in got.collect()]
     assert len(kept) == len(want) and set(kept) == want
+
+
+@pytest.mark.parametrize("units", range(1, 8))
+def test_mpeg_tag_in_payload(spark, units):
+    size, length, head = mpeg_media._FRAMES[units - 1]
+    at = length - 128 - len(head)
+    text = ("x" * at + "TAG").ljust(size, "y")[:size] if at >= 0 else "TAG"
+    for before in ("", "z" * mpeg_media._MOST):
+        payload = mpeg_media.padded(before + text)[1]
+        data = mpeg_media.write_stream(payload)
+        s = mpeg_media.parse_stream(data)
+        assert mpeg_media.read_payload(data, s) == payload and s.skipped == 0 and "TIT2" not in s.tags
+        tagged = data + b"TAG" + b"A title".ljust(125, b"\0")
+        s = mpeg_media.parse_stream(tagged)
+        assert mpeg_media.read_payload(tagged, s) == payload and s.skipped == 0 and s.tags["TIT2"] == "A title"
+        junk = data + b"junk" * 5 + tagged[-128:]
+        s = mpeg_media.parse_stream(junk)
+        assert mpeg_media.read_payload(junk, s) == payload and s.skipped == 20 and s.tags["TIT2"] == "A title"
