@@ -9,20 +9,26 @@ from docsift.functions.arrays import let, prefix_sums
 
 SCALE = 6
 DECIMAL = "decimal(38,6)"
-#: Currency words, and white space of any kind, that may stand around a number.
+#: White space of any kind, as members of a character class: no-break spaces, which usually group digits, are among it.
+SPACE = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: Currency words around a number, a price after its label, and a number that may have a currency.
 _CURRENCY = r"(?iu)(?:^|[^\p{L}\p{N}])(?:руб\.?|рубл\p{L}*)(?:[^\p{L}\p{N}]|$)"
-LABELLED = r"(?iu)(?:цена|стоимость|итого|сумма|расценк\p{L}*)\s*[:\-]?\s*(\d[\d\s]{0,15}(?:[,.]\d{1,6})?)"
-NUMBER = r"(?iu)(\d[\d\s]{0,15}(?:[,.]\d{1,6})?)\s*(?:₽|руб\.?|рубл\p{L}*)?"
+LABELLED = rf"(?iu)(?:цена|стоимость|итого|сумма|расценк\p{{L}}*)[{SPACE}]*[:\-]?[{SPACE}]*(\d[\d{SPACE}]{{0,15}}(?:[,.]\d{{1,6}})?)"
+NUMBER = rf"(?iu)(\d[\d{SPACE}]{{0,15}}(?:[,.]\d{{1,6}})?)[{SPACE}]*(?:₽|руб\.?|рубл\p{{L}}*)?"
 
 
 def money_text(value: Column) -> Column:
     """The number in a string, with exactly six decimals, the rest cut off; null if there is none."""
-    t = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
-    t = F.translate(F.translate(t, " ", " "), "₽", "")
-    t = F.regexp_replace(F.regexp_replace(t, _CURRENCY, ""), r"(?U)\s+", "")
-    t = F.regexp_replace(t, r"^([^,]*),", "$1.")
-    whole, part = F.regexp_extract(t, r"^(-?\d+)", 1), F.regexp_extract(t, r"\.(\d+)$", 1)
-    return F.when(t.rlike(r"^-?\d+(?:\.\d+)?$"), F.concat(whole, F.lit("."), F.rpad(F.substr(part, F.lit(1), F.lit(SCALE)), SCALE, "0")))
+    raw, plain = F.coalesce(value.cast("string"), F.lit("")), r"^-?\d+(?:\.\d+)?$"
+    t = F.translate(F.regexp_replace(raw, rf"^[{SPACE}]+|[{SPACE}]+$", ""), "₽", "")
+    t = F.regexp_replace(F.regexp_replace(t, _CURRENCY, ""), rf"[{SPACE}]+", "")
+    clean = F.when(raw.rlike(plain), raw).otherwise(F.regexp_replace(t, r"^([^,]*),", "$1."))
+
+    def fixed(t: Column) -> Column:
+        part = F.when(F.contains(t, F.lit(".")), F.substring_index(t, ".", -1)).otherwise("")
+        return F.when(t.rlike(plain), F.concat(F.substring_index(t, ".", 1), F.lit("."), F.rpad(F.substr(part, F.lit(1), F.lit(SCALE)), SCALE, "0")))
+
+    return let(clean, fixed)
 
 
 def money(value: Column) -> Column:
@@ -68,10 +74,10 @@ def price_mentions(text: Column) -> Column:
             left = F.substr(body, F.greatest(start - reach, F.lit(0)) + 1, F.least(start, F.lit(reach)))
             label = F.trim(F.element_at(F.split(left, "\n"), -1))
             return F.struct(
-                F.regexp_replace(F.regexp_replace(amount, r"\s+", ""), ",", ".").alias("amount"),
+                F.regexp_replace(F.regexp_replace(amount, rf"[{SPACE}]+", ""), ",", ".").alias("amount"),
                 label.alias("label"),
                 F.lit(name).alias("pattern"),
-                F.lower(F.regexp_replace(label, r"\s+", " ")).alias("folded"),
+                F.lower(F.regexp_replace(label, rf"[{SPACE}]+", " ")).alias("folded"),
             )
 
         parts.append(F.zip_with(amounts, starts, (lambda n, r: lambda a, s: row(a, s, n, r))(name, reach)))

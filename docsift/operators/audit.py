@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.functions.arrays import let
-from docsift.functions.money import compare_money, money, money_text, price_mentions
+from docsift.functions.money import DECIMAL, SPACE, compare_money, money_text, price_mentions
 from docsift.functions.paths import base_name
 
 FIELDS = ("total_commercial_material_cost", "total_commercial_work_cost", "material_cost_per_unit", "work_cost_per_unit")
@@ -50,64 +49,95 @@ def candidates(chunks: DataFrame) -> DataFrame:
 
 
 def _fold(c: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    """Lower case, white space of any kind as one blank, trimmed; null is empty."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"[{SPACE}]+", " ")))
 
 
-def quote_match(guarded: bool = True) -> Column:
-    """Whether a candidate belongs to a record's quote. guarded: an empty supplier proves nothing."""
-    link, hay = _fold(F.col("quote_link")), F.concat_ws(" ", *(_fold(F.col(f"c_{n}")) for n in ("title", "path", "supplier", "label")))
-    supplier = _fold(F.col("c_supplier"))
-    by_supplier = F.contains(link, supplier) & ((supplier != "") if guarded else F.lit(True))
-    return (link != "") & (F.contains(hay, _fold(base_name(F.col("quote_link")))) | by_supplier)
+#: Characters of the piece by which containment is looked up.
+GRAM = 8
 
 
-def position_match() -> Column:
-    name, label = _fold(F.col("position_name")), _fold(F.col("c_label"))
-    return (name != "") & (label != "") & (F.contains(label, name) | F.contains(name, F.substr(label, F.lit(1), F.lit(24))))
+def _held(role: int, text: Column) -> Column:
+    """Keys of a text: each of its pieces within its tender, and one under which patterns shorter than a piece look."""
+    last = F.length(text) - (GRAM - 1)
+    pieces = F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.concat(pieces, F.array(F.lit(""))), lambda g: F.xxhash64("tender_id", F.lit(role), g))
+
+
+def _asked(role: int, *patterns: tuple[Column, Column]) -> Column:
+    """Keys of the patterns whose condition holds: each its first piece."""
+    first = lambda p: F.when(F.length(p) >= GRAM, F.substr(p, F.lit(1), F.lit(GRAM))).otherwise("")
+    return F.array_compact(F.array(*(F.when(c, F.xxhash64("tender_id", F.lit(role), first(p))) for p, c in patterns)))
 
 
 def best_candidates(records: DataFrame, found: DataFrame, guarded: bool = True) -> DataFrame:
     """The best candidate of each record of the same tender, or nulls.
 
-    An equi-join on the tender, then an aggregate that keeps the maximum: linked before positioned before the rest, by
-    score (50 for the quote, 30 for the position, 20 for the supplier), then in order. It combines before the shuffle."""
-    c = found.select("tender_id", *(F.col(n).alias(f"c_{n}") for n in ("chunk_id", "path", "title", "supplier", "label", "amount", "ord")))
-    pairs = records.join(c, "tender_id")
-    q, p = quote_match(guarded), position_match()
-    score = F.when(q, 50).otherwise(0) + F.when(p, 30).otherwise(0) + F.when((F.col("supplier") != "") & (_fold(F.col("supplier")) == _fold(F.col("c_supplier"))), 20).otherwise(0)
-    pool = F.when(q, 2).when(p, 1).otherwise(0)
-    row = F.struct((-pool).alias("pool"), (-score).alias("minus"), F.col("c_chunk_id").alias("chunk_id"), F.col("c_ord").alias("ord"), F.col("c_amount").alias("amount"), F.col("c_label").alias("label"), q.alias("by_quote"), p.alias("by_position"))
-    best = pairs.groupBy("record_id").agg(F.min(row).alias("best"))
+    Linked before positioned before the rest, by score (50 for the quote, 30 for the position, 20 for the supplier),
+    then in order. A candidate is linked if its title, path, supplier or label holds the quote's file name, or the
+    quote's link holds its supplier (guarded: an empty one proves nothing); it is positioned if its label holds the
+    record's position, or that holds the label's first 24 characters. Rows of one record_id are one record.
+
+    Both sides are folded once, and records that look alike are one row. A text that holds a pattern holds its first
+    GRAM characters, so both relations come from one equi-join on such pieces, followed by the exact tests: no tender's
+    rows meet as a whole, and they spread over the pieces' keys. What this join doesn't reach takes the first candidate
+    of its supplier, or of its tender, found by an aggregate."""
+    sides, least = ("tender_id", "_link", "_base", "_own", "_name"), 1 if guarded else 0
+    col = F.col
+    rows = records.select("record_id", "tender_id", _fold(col("quote_link")).alias("_link"), _fold(base_name(col("quote_link"))).alias("_base"), _fold(col("supplier")).alias("_own"), _fold(col("position_name")).alias("_name"))
+    looks = rows.select(*sides).distinct()
+    hay = F.concat_ws(" ", *(_fold(col(n)) for n in ("title", "path", "supplier", "label")))
+    c = found.select("tender_id", "chunk_id", "ord", "amount", col("label").alias("raw"), _fold(col("supplier")).alias("_sup"), _fold(col("label")).alias("_label"), hay.alias("_hay"))
+    look_id, c_id = F.xxhash64(*sides).alias("_l"), F.xxhash64("tender_id", "chunk_id", "ord", "amount", "_hay").alias("_c")
+    head = F.substr("_label", F.lit(1), F.lit(24))
+    some = lambda x: F.length(x) >= least
+
+    asks = F.concat(_asked(0, (col("_base"), (col("_link") != "") & some("_base")), (col("_name"), col("_name") != "")), F.when(col("_link") != "", _held(1, col("_link"))).otherwise(F.array().cast("array<bigint>")), F.when(col("_name") != "", _held(2, col("_name"))).otherwise(F.array().cast("array<bigint>")))
+    gives = F.concat(_held(0, col("_hay")), _asked(1, (col("_sup"), some("_sup"))), _asked(2, (head, col("_label") != "")))
+    pairs = looks.select(look_id, F.explode(asks).alias("_k")).join(c.select(c_id, F.explode(gives).alias("_k")), "_k").select("_l", "_c").distinct()
+    met = pairs.join(looks.withColumn("_l", look_id), "_l").join(c.withColumn("_c", c_id).withColumnRenamed("tender_id", "_t"), "_c").filter(col("tender_id") == col("_t"))
+    quote = (col("_link") != "") & (F.contains("_hay", col("_base")) & some("_base") | F.contains("_link", col("_sup")) & some("_sup"))
+    position = (col("_name") != "") & (col("_label") != "") & (F.contains("_label", col("_name")) | F.contains("_name", head))
+
+    def entry(pool: Column, quoted: Column, positioned: Column, supplied: Column) -> Column:
+        score = F.when(quoted, 50).otherwise(0) + F.when(positioned, 30).otherwise(0) + F.when(supplied, 20).otherwise(0)
+        return F.min(F.struct((-pool).alias("pool"), (-score).alias("minus"), "chunk_id", "ord", "amount", col("raw").alias("label"), quoted.alias("by_quote"), positioned.alias("by_position")))
+
+    none = F.lit(False)
+    related = met.withColumns({"_q": quote, "_p": position}).filter("_q or _p").groupBy(*sides).agg(entry(F.when(col("_q"), 2).otherwise(1), col("_q"), col("_p"), (col("_own") != "") & (col("_own") == col("_sup"))).alias("_b1"))
+    # The first of each supplier, and of the tender under a name that no supplier has.
+    first = c.select("*", F.explode(F.array_compact(F.array(F.nullif("_sup", F.lit("")), F.lit("\0")))).alias("_whose")).groupBy("tender_id", "_whose").agg(entry(F.lit(0), none, none, col("_whose") != "\0").alias("_b"))
+    of = lambda name: first.withColumnsRenamed({"_b": name, "_whose": "_w"})
+    df = looks.join(related, list(sides), "left").withColumn("_w", col("_own")).join(of("_b2"), ["tender_id", "_w"], "left").withColumn("_w", F.lit("\0")).join(of("_b3"), ["tender_id", "_w"], "left")
+    chosen = df.select(*sides, F.least("_b1", "_b2", "_b3").alias("best"))
+    best = rows.join(chosen, list(sides)).groupBy("record_id").agg(F.min("best").alias("best"))
     return records.join(best, "record_id", "left")
 
 
 def findings(records: DataFrame, found: DataFrame, percent: float = 1.0, guarded: bool = True) -> DataFrame:
     """(record_id, tender_id, severity, field, db_value, expected_value, delta, confidence, chunk_id).
 
-    Each record meets its best candidate once; its fields are an array, so nothing is unpivoted or joined again."""
-    best = F.col("best")
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), money(F.col(f)).alias("amount")) for f in FIELDS))
+    Each record meets its best candidate once; then each of its prices that isn't empty or "0" is a row. A record without
+    such a price, or without a candidate, gives one row that asks for a review."""
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), money_text(F.col(f)).alias("text")) for f in FIELDS))
     shown = F.filter(fields, lambda v: v["value"].isNotNull() & ~v["value"].isin("", "0"))
-
-    def row(severity: Column | str, field: Column | str, value: Column | None, expected: Column | None, delta: Column | None, confidence: Column | float, chunk: Column | None) -> Column:
-        text = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("string")
-        sure = confidence if isinstance(confidence, Column) else F.lit(confidence)
-        amount = (F.lit(None) if delta is None else delta).cast("decimal(38,6)")
-        return F.struct(text(severity).alias("severity"), text(field).alias("field"), text(value).alias("db_value"), text(expected).alias("expected_value"), amount.alias("delta"), sure.cast("double").alias("confidence"), text(chunk).alias("chunk_id"))
-
-    def compared(v: Column) -> Column:
-        sure = F.when(best["by_quote"], 0.9).when(best["by_position"], 0.75).otherwise(0.55)
-        told = lambda c: row(F.when(sure >= 0.8, "error").otherwise("warning"), v["field"], money_text(v["value"]), F.col("_text"), c["delta"], sure, best["chunk_id"])
-        return let(compare_money(v["amount"], F.col("_amount"), percent), lambda c: F.when(~c["match"], told(c)))
-
-    df = best_candidates(records, found, guarded).withColumns({"_v": shown, "_amount": money(best["amount"]), "_text": money_text(best["amount"])})
-    first = F.get("_v", F.lit(0))
-    rows = (
-        F.when(F.size("_v") == 0, F.array(row("needs_review", "record", None, None, None, 0.2, None)))
-        .when(best.isNull(), F.array(row("needs_review", first["field"], first["value"], None, None, 0.25, None)))
-        .otherwise(F.filter(F.transform("_v", compared), lambda x: x.isNotNull()))
+    df = best_candidates(records, found, guarded).withColumn("_text", money_text(F.col("best.amount")))
+    df = df.select("record_id", "tender_id", "best", "_text", F.posexplode_outer(shown).alias("_i", "_v")).filter("best is not null or _v is null or _i = 0")
+    df = df.withColumn("_c", compare_money(F.col("_v.text").try_cast(DECIMAL), F.col("_text").try_cast(DECIMAL), percent))
+    bare, lone = F.col("_v").isNull(), F.col("best").isNull()
+    sure = F.when(bare, 0.2).when(lone, 0.25).when(F.col("best.by_quote"), 0.9).when(F.col("best.by_position"), 0.75).otherwise(0.55)
+    both = lambda c: F.when(~bare & ~lone, c)
+    return df.filter(bare | lone | ~F.col("_c.match")).select(
+        "record_id",
+        "tender_id",
+        F.when(bare | lone, "needs_review").when(sure >= 0.8, "error").otherwise("warning").alias("severity"),
+        F.coalesce("_v.field", F.lit("record")).alias("field"),
+        F.when(lone, F.col("_v.value")).otherwise(F.col("_v.text")).alias("db_value"),
+        both(F.col("_text")).alias("expected_value"),
+        both(F.col("_c.delta")).alias("delta"),
+        sure.alias("confidence"),
+        both(F.col("best.chunk_id")).alias("chunk_id"),
     )
-    return df.select("record_id", "tender_id", F.inline(rows))
 
 
 def tender_status(found: DataFrame, tenders: DataFrame, has_records: Column, has_chunks: Column) -> DataFrame:
