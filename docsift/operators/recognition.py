@@ -5,19 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsift.functions.money import SPACE
 from docsift.functions.text import match_text
 
 SAMPLE = 20_000
-_A, _Z = r"(?:^|[^\p{L}\p{N}])", r"(?:[^\p{L}\p{N}]|$)"
-#: Signals by family.
-COMMERCIAL = (("kp_ru", rf"{_A}кп{_Z}"), ("commercial_proposal_ru", r"коммерческ\p{L}{0,20}\s+предложен\p{L}{0,20}"), ("quotation_en", r"\b(?:quote|quotation|commercial\s+proposal|proposal|offer)\b"))
-PRICE = (("price_ru", rf"{_A}(?:цена|стоимость|расценк\p{{L}}*|сумма|итого|ндс){_Z}"), ("currency_ru", rf"(?:₽|{_A}руб\.?|{_A}рубл\p{{L}}*)"), ("number_currency", r"\b\d[\d\s.,]*(?:₽|руб\.?|рубл\p{L}*)"))
-ESTIMATE = (("estimate_ru", rf"{_A}(?:смета|сметн\p{{L}}*|локальн\p{{L}}*\s+смет\p{{L}}*){_Z}"), ("ks_forms", r"(?:^|\W)кс\s*-?\s*(?:2|3)\b"))
-TENDER = (("tender_docs_ru", r"(?:тендерн\p{L}*\s+документац\p{L}*|документац\p{L}*\s+закупк\p{L}*)"), ("technical_task_ru", rf"(?:техническ\p{{L}}*\s+задан\p{{L}}*|{_A}тз{_Z})"), ("specification_ru", rf"{_A}(?:спецификац\p{{L}}*|ведомост\p{{L}}*\s+объем\p{{L}}*){_Z}"))
+#: Signals by family. Words of Cyrillic letters end where no letter or digit follows, forms KS-2 and KS-3 too.
+COMMERCIAL = (
+    ("kp_ru", r"(?:^|[^\p{L}\p{N}])кп(?:[^\p{L}\p{N}]|$)"),
+    ("commercial_proposal_ru", r"коммерческ\p{L}{0,20}\s+предложен\p{L}{0,20}"),
+    ("quotation_en", r"\b(?:quote|quotation|commercial\s+proposal|proposal|offer)\b"),
+)
+PRICE = (
+    ("price_ru", r"(?:^|[^\p{L}\p{N}])(?:цена|стоимость|расценк\p{L}*|сумма|итого|ндс)(?:[^\p{L}\p{N}]|$)"),
+    ("currency_ru", r"(?:₽|(?:^|[^\p{L}\p{N}])руб\.?|(?:^|[^\p{L}\p{N}])рубл\p{L}*)"),
+    ("number_currency", r"\b\d[\d\s.,]*(?:₽|руб\.?|рубл\p{L}*)"),
+)
+ESTIMATE = (
+    ("estimate_ru", r"(?:^|[^\p{L}\p{N}])(?:смета|сметн\p{L}*|локальн\p{L}*\s+смет\p{L}*)(?:[^\p{L}\p{N}]|$)"),
+    ("ks_forms", r"(?:^|[^\p{L}\p{N}])кс\s*-?\s*(?:2|3)(?:[^\p{L}\p{N}]|$)"),
+)
+TENDER = (
+    ("tender_docs_ru", r"(?:тендерн\p{L}*\s+документац\p{L}*|документац\p{L}*\s+закупк\p{L}*)"),
+    ("technical_task_ru", r"(?:техническ\p{L}*\s+задан\p{L}*|(?:^|[^\p{L}\p{N}])тз(?:[^\p{L}\p{N}]|$))"),
+    ("specification_ru", r"(?:^|[^\p{L}\p{N}])(?:спецификац\p{L}*|ведомост\p{L}*\s+объем\p{L}*)(?:[^\p{L}\p{N}]|$)"),
+)
 
 
 def _plain(value: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(F.coalesce(value, F.lit("")), "ёЁ", "еЕ"), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(value, F.lit("")), "ёЁ", "еЕ"), rf"[{SPACE}]+", " "))
 
 
 def _signals(text: Column, family: tuple[tuple[str, str], ...]) -> Column:
