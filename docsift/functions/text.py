@@ -5,12 +5,14 @@ Lengths are code points throughout.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docsift.functions.arrays import let
 
-TOKEN = r"([\p{L}\p{N}_-]+)"
+TOKEN = r"([\p{L}\p{N}_-]{2,})"
 
 #: Groups of words that stand for each other in a query. The first is about cost, the second about contracts.
 SYNONYMS = (
@@ -49,20 +51,29 @@ LATIN = {
 
 def tokens(text: Column) -> Column:
     """Lower-case words of letters, digits, _ and -, longer than one character, in order, with repeats. Null has none."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
-    return F.filter(found, lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
+
+
+#: What counts as white space at the ends of a text.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def js_trim(text: Column) -> Column:
     """Trim all white space, no-break spaces too."""
-    return F.regexp_replace(text, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
+    return F.trim(text, F.lit(_BLANKS))
+
+
+def _replaced(text: Column, needles: tuple[str, ...], pattern: str, to: str) -> Column:
+    """regexp_replace for texts that hold one of the needles, without which the pattern can't match."""
+    held = lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(n)) for n in needles))
+    return let(text, lambda t: F.when(held(t), F.regexp_replace(t, pattern, to)).otherwise(t))
 
 
 def normalize_text(text: Column) -> Column:
     """Line ends to LF, no blanks before them, at most two blank lines running, trimmed."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"[ \t]+\n", "\n")
-    return js_trim(F.regexp_replace(t, r"\n{4,}", "\n\n\n"))
+    t = _replaced(F.coalesce(text, F.lit("")), ("\r",), r"\r\n?", "\n")
+    t = _replaced(t, (" \n", "\t\n"), r"[ \t]+\n", "\n")
+    return js_trim(_replaced(t, ("\n\n\n\n",), r"\n{4,}", "\n\n\n"))
 
 
 def strings(*values: str) -> Column:
@@ -104,15 +115,25 @@ def snippet(text: Column, query: Column, radius: int = 260) -> Column:
     return let(first, around)
 
 
+WORD = r"[\p{L}\p{N}]{2,}"
+#: Words with a digit, and words of both scripts, each looked at from its first character on only.
+_DIGIT_WORD = r"(?<![\p{L}\p{N}])\p{L}*+\p{N}[\p{L}\p{N}]*+"
+_MIXED_WORD = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}]*\p{IsLatin})(?=[\p{L}\p{N}]*\p{IsCyrillic})[\p{L}\p{N}]{2,}"
+
+
 def noise_report(text: Column) -> Column:
-    """Counts of letter tokens and of tokens that look misread: mixed scripts, or digits within words."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\p{L}\p{N}]{2,})"), F.lit(1))
+    """Counts of letter tokens and of tokens that look misread: mixed scripts, or digits within words.
 
-    def counted(lettered: Column) -> Column:
-        both = lambda w: w.rlike(r"\p{IsLatin}") & w.rlike(r"\p{IsCyrillic}")
-        kinds = F.transform(lettered, lambda w: F.when(both(w), 1).when((F.length(w) >= 4) & w.rlike(r"\p{N}"), 2).otherwise(0))
-        of = lambda ks, k: F.size(F.filter(ks, lambda x: x == k))
-        return let(kinds, lambda ks: F.struct(F.size(ks).alias("n"), of(ks, 1).alias("mixed"), of(ks, 2).alias("digits")))
+    A token is a run of two or more letters and digits. Only tokens with a digit are taken out of the text, and those
+    of mixed scripts from texts that have both."""
+    body = F.coalesce(text, F.lit(""))
+    none = F.array().cast("array<string>")
+    both = lambda w: w.rlike(r"\p{IsLatin}") & w.rlike(r"\p{IsCyrillic}")
+    digits = F.filter(F.regexp_extract_all(body, F.lit(_DIGIT_WORD), F.lit(0)), lambda w: F.length(w) >= 2)
+    mixed = F.when(body.rlike(r"\p{IsCyrillic}") & body.rlike(r"\p{IsLatin}"), F.regexp_extract_all(body, F.lit(_MIXED_WORD), F.lit(0))).otherwise(none)
+    lettered = lambda words: F.filter(words, lambda w: w.rlike(r"\p{L}"))
+    misread = lambda d: F.size(F.filter(lettered(d), lambda w: (F.length(w) >= 4) & ~both(w)))
+    counts = let(digits, lambda d: F.struct((regexp_count(body, WORD) - F.size(d) + F.size(lettered(d))).alias("n"), F.size(lettered(mixed)).alias("mixed"), misread(d).alias("digits")))
 
     def report(c: Column) -> Column:
         noisy = c["mixed"] + c["digits"]
@@ -126,7 +147,7 @@ def noise_report(text: Column) -> Column:
             ((noisy >= 3) & (ratio >= 0.08)).alias("severe"),
         )
 
-    return let(let(F.filter(words, lambda w: w.rlike(r"\p{L}")), counted), report)
+    return let(counts, report)
 
 
 def regexp_count(text: Column, pattern: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.functions.paths import extension
-from docsift.functions.text import TEXT_PENALTIES, noise_report, normalize_text, penalty, regexp_count, text_warnings
+from docsift.functions.text import TEXT_PENALTIES, WORD, noise_report, normalize_text, penalty, regexp_count, text_warnings
 
 #: What each warning of an indexed file costs.
 INDEX_PENALTIES = {
@@ -26,7 +26,7 @@ SUPPRESSING = ("ocr_text_noise", "pdf_text_layer_noise")
 def with_text_quality(df: DataFrame, text: str = "text", out: str = "quality", min_chars: int = 120, min_words: int = 25) -> DataFrame:
     """Add the struct (score, warnings, chars, words, letter_ratio, replacement_ratio, noise_ratio, noisy_tokens, ...)."""
     df = df.withColumn("_t", normalize_text(F.col(text)))
-    df = df.withColumns({"_chars": F.length("_t"), "_letters": regexp_count(F.col("_t"), r"\p{L}"), "_words": regexp_count(F.col("_t"), r"[\p{L}\p{N}]{2,}"), "_bad": regexp_count(F.col("_t"), r"\x{FFFD}"), "_noise": noise_report(F.col("_t"))})
+    df = df.withColumns({"_chars": F.length("_t"), "_letters": F.length(F.regexp_replace("_t", r"\P{L}+", "")), "_words": regexp_count(F.col("_t"), WORD), "_bad": F.length("_t") - F.length(F.replace("_t", F.lit("\ufffd"), F.lit(""))), "_noise": noise_report(F.col("_t"))})
     ratio = lambda c: F.when(F.col("_chars") > 0, F.col(c) / F.col("_chars")).otherwise(0.0)
     warnings = text_warnings(F.col("_chars"), F.col("_words"), ratio("_letters"), ratio("_bad"), F.col("_noise.severe"), min_chars, min_words)
     df = df.withColumn("_warnings", warnings)
@@ -147,8 +147,15 @@ def fallback_score(status: Column, chunks: Column) -> Column:
     return F.when(status == "ok", 100).when(status == "warning", 70).when(status == "error", 0).when(chunks > 0, 80).otherwise(0)
 
 
+def shown_warnings(warnings: str = "warnings", status: str = "status") -> Column:
+    """A file's warnings, each once; an error without any counts as quality_error."""
+    own = F.filter(F.array_distinct(F.transform(warnings, lambda w: F.trim(w))), lambda w: w != "")
+    return F.when(F.size(own) > 0, own).when(F.col(status) == "error", F.array(F.lit("quality_error"))).otherwise(F.array().cast("array<string>"))
+
+
 def source_rollup(files: DataFrame, key: str = "source_id") -> DataFrame:
-    """Per source, from files (status, score, chars, words, chunks): histogram, coverage, means, score and status."""
+    """Per source, from files (status, score, chars, words, chunks[, warnings]): histogram, coverage, means, score and
+    status, and the number of warnings, if files have them. One aggregate, so files are looked at once."""
     status = file_status(F.col("status"), F.col("chunks"))
     count = lambda s: F.count_if(status == s).alias(f"{s}_files")
     half_up = lambda c: F.floor(F.avg(c) + 0.5).cast("int")
@@ -162,6 +169,7 @@ def source_rollup(files: DataFrame, key: str = "source_id") -> DataFrame:
         half_up(F.col("chars")).alias("avg_chars"),
         half_up(F.col("words")).alias("avg_words"),
         half_up(F.coalesce(F.col("score"), fallback_score(status, F.col("chunks")))).alias("score"),
+        *([F.sum(F.size(shown_warnings())).alias("warnings")] if "warnings" in files.columns else []),
     )
     overall = F.when((F.col("error_files") > 0) | (F.col("score") < 60), "error").when((F.col("warning_files") > 0) | (F.col("unchecked_files") > 0) | (F.col("score") < 85), "warning").otherwise("ok")
     return out.withColumn("text_coverage", percent(F.col("searchable"), F.col("files"))).withColumn("status", overall)
@@ -169,9 +177,7 @@ def source_rollup(files: DataFrame, key: str = "source_id") -> DataFrame:
 
 def warning_histogram(files: DataFrame, key: str = "source_id", warnings: str = "warnings", status: str = "status") -> DataFrame:
     """(key, warning, count): each file counts once for each warning; an error without any counts as quality_error."""
-    own = F.filter(F.array_distinct(F.transform(warnings, lambda w: F.trim(w))), lambda w: w != "")
-    shown = F.when(F.size(own) > 0, own).when(F.col(status) == "error", F.array(F.lit("quality_error"))).otherwise(F.array().cast("array<string>"))
-    return files.select(key, F.explode(shown).alias("warning")).groupBy(key, "warning").count()
+    return files.select(key, F.explode(shown_warnings(warnings, status)).alias("warning")).groupBy(key, "warning").count()
 
 
 def first_files(files: DataFrame, key: str = "source_id", n: int = 8, order: str = "file_id") -> DataFrame:

@@ -9,6 +9,7 @@ from docsift.functions import citations
 from docsift.functions.text import SYNONYMS, expand_synonyms, snippet, tokens
 from docsift.functions.vectors import norm, unit
 from docsift.operators import chunking, lexical, retrieval
+from docsift.session import checkpointed
 from docsift.plans.common import BM25_SQL, EVERY, VECTOR_SQL, benchmark_queries, documents_as_chunks, normalized_sql, table, tokens_sql
 
 Q = {}
@@ -50,7 +51,7 @@ def idf_terms(spark, d):
     """A3, A4, M4: idf of the queries' terms, and the corpus's size and mean length."""
     docs = lexical.tokenized(documents_as_chunks(spark, d))
     post = lexical.postings(docs, lexical.query_terms(_prepared(spark, d)))
-    out = lexical.document_frequency(post).crossJoin(F.broadcast(lexical.corpus_stats(docs)))
+    out = lexical.term_statistics(post).filter("term <> ''")
     return out.select("term", "df", "n_docs", F.round("avg_len", 6).alias("avg_len"), F.round(lexical.idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
 
 
@@ -219,9 +220,10 @@ SELECT query_id, chunk_id, rerank_score, row_number() OVER (PARTITION BY query_i
 def hybrid_search(spark, d):
     """B1: the whole search, over chunks of the documents, with vectors of whole documents on their first chunk."""
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    chunks = chunking.chunk_frame(docs).select(
+    # Chunks are an index that every part of the search reads: cut once, then stored.
+    chunks = checkpointed(chunking.chunk_frame(docs).select(
         F.concat_ws(":", "doc_id", "chunk_index").alias("chunk_id"), F.col("chunk_text").alias("text"), F.col("source").alias("source_id"), F.col("source").alias("source_title"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("title"), F.concat_ws("/", F.lit("corpus"), "source", "doc_id").alias("path")
-    )
+    ))
     v = table(spark, d, "embeddings")
     vectors = v.select(F.concat(F.col("vec_id").cast("string"), F.lit(":0")).alias("chunk_id"), F.col("embedding").alias("vector"))
     q = table(spark, d, "benchmark").join(v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector")), "item_id", "left")

@@ -91,11 +91,9 @@ SQL["quality_histogram"] = f"WITH {_FILES} SELECT source AS source_id, status, c
 @query
 def source_summary(spark, d):
     """Each source's rollup and its summary line."""
-    files = _files(spark, d)
-    roll = quality.source_rollup(files)
-    warn = quality.warning_histogram(files).groupBy("source_id").agg(F.sum("count").alias("w"))
-    text = quality.summary_text(F.col("files"), F.col("chunks"), F.coalesce("w", F.lit(0)))
-    return roll.join(warn, "source_id", "left").select("source_id", "files", "ok_files", "warning_files", "error_files", "searchable", "with_text", "chunks", "total_chars", "avg_chars", "avg_words", "score", "text_coverage", "status", text.alias("summary"))
+    roll = quality.source_rollup(_files(spark, d))
+    text = quality.summary_text(F.col("files"), F.col("chunks"), F.col("warnings"))
+    return roll.select("source_id", "files", "ok_files", "warning_files", "error_files", "searchable", "with_text", "chunks", "total_chars", "avg_chars", "avg_words", "score", "text_coverage", "status", text.alias("summary"))
 
 
 SQL["source_summary"] = f"""WITH {_FILES},
