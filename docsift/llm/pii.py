@@ -2,7 +2,9 @@
 
 Everything is a column expression; no row leaves the JVM and nothing is shuffled.
 
-Defined results: a null or empty text has no spans. Extra columns pass through; an input column with
+Defined results: a null or empty text has no spans; an empty table gives an empty one. Spans that start together come in
+the order of the kinds; spans of different kinds may overlap, those of one kind never do. Texts are taken whole whatever
+their length, in time in proportion to it. Extra columns pass through; an input column with
 the name of one that is made, or of an internal one (leading underscore), is replaced or dropped. Repeated
 rows are scanned like any other row.
 """
@@ -53,7 +55,8 @@ SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-
 
 @dataclass(frozen=True)
 class Kind:
-    """base: prior score of a confirmed span; context: words that raise it when they stand within `near` before it."""
+    """base: prior score of a confirmed span; context: words that raise it when they stand within `near` characters before
+    it, or within `after` characters behind it. Kinds that other numbers look like are looked at from both sides."""
 
     name: str
     regex: str
@@ -61,6 +64,7 @@ class Kind:
     context: tuple[str, ...]
     required: float = 0.0
     near: int = 48
+    after: int = 0
     boost: float = 0.3
     always: bool = field(default=False)
 
@@ -70,8 +74,8 @@ KINDS = (
     Kind("ip", IP, 0.6, ("ip", "host", "server", "addr"), always=True),
     Kind("card", CARD, 0.7, ("card", "visa", "credit", "payment", "karte", "tarjeta", "carte"), always=True),
     Kind("phone", PHONE, 0.6, ("tel", "phone", "call", "fax", "mobil"), always=True),
-    Kind("iban", IBAN_HEAD, 0.8, ("iban", "account", "bank", "konto", "cuenta", "compte"), required=0.5),
-    Kind("ssn", SSN, 0.3, ("ssn", "social", "security"), required=0.5),
+    Kind("iban", IBAN_HEAD, 0.8, ("iban", "account", "bank", "konto", "cuenta", "compte"), required=0.5, after=48),
+    Kind("ssn", SSN, 0.3, ("ssn", "social", "security"), required=0.5, after=48),
 )
 BASE = ("email", "ip", "card", "phone")
 
@@ -135,14 +139,12 @@ def _by_kind(kind: Column, values: dict[str, Column]) -> Column:
 def scan_pii(df: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS, out: str = "pii") -> DataFrame:
     """Add `out`: array of (start, ord, end, kind, score) structs by start, then by the order of `kinds`.
 
-    Scores lie between 0 and 1: a confirmed span starts from its kind's prior, and a context word shortly before
-    it raises the score. Spans of kinds that aren't `always` need their `required` score.
+    Scores lie between 0 and 1: a confirmed span starts from its kind's prior, and a context word near it, as far as its
+    kind looks, raises the score. Spans of kinds that aren't `always` need their `required` score.
     """
     df = df.withColumn("_text", text_or_empty(F.col(text)))
     guards = {"email": F.contains(F.col("_text"), F.lit("@")), "phone": F.contains(F.col("_text"), F.lit("+")), "ssn": F.contains(F.col("_text"), F.lit("-"))}
     df = find_all(df, "_text", {k.name: (k.regex, guards.get(k.name)) for k in kinds}, "_spans")
-    near = max(k.near for k in kinds)
-
     def whole(s: Column) -> Column:
         iban = F.regexp_extract(F.substr(F.col("_text"), s["start"] + 1, F.lit(2 * max(IBAN_COUNTRIES))), f"^{IBAN}", 0)
         fields = [s[c].alias(c) for c in ("kind", "ord", "start")]
@@ -151,9 +153,10 @@ def scan_pii(df: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS,
     df = df.withColumn("_spans", F.transform("_spans", whole))
 
     def scored(s: Column) -> Column:
-        start = F.greatest(s["start"] - near, F.lit(0))
-        before = F.lower(F.substr(F.col("_text"), start + 1, s["start"] - start))
-        told = F.rlike(before, _by_kind(s["kind"], {k.name: F.lit(rf"\b(?:{'|'.join(k.context)})") for k in kinds}))
+        start = F.greatest(s["start"] - _by_kind(s["kind"], {k.name: F.lit(k.near) for k in kinds}), F.lit(0))
+        before = F.substr(F.col("_text"), start + 1, s["start"] - start)
+        behind = F.substr(F.col("_text"), s["end"] + 1, _by_kind(s["kind"], {k.name: F.lit(k.after) for k in kinds}))
+        told = F.rlike(F.lower(F.concat(before, F.lit("\n"), behind)), _by_kind(s["kind"], {k.name: F.lit(rf"\b(?:{'|'.join(k.context)})") for k in kinds}))
         base = _by_kind(s["kind"], {k.name: F.lit(k.base) for k in kinds})
         more = _by_kind(s["kind"], {k.name: F.lit(min(1.0, k.base + k.boost)) for k in kinds})
         return F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind"), F.when(told, more).otherwise(base).alias("score"))
