@@ -3,10 +3,11 @@
 A rule is compiled to a regular expression over host + path, and filed under that of its complete literal
 tokens which the URLs at hand hold least often. A URL's tokens fetch candidate rules, and only those run
 their regular expression. All native expressions; the rows aren't shuffled as long as the rules are few enough
-to be a literal of the plan (`max_inline`), and are joined on the token beyond that.
+to be a literal of the plan (`max_inline`), and are a broadcast index in blocks of checked size beyond that.
 
 Defined results: a null url, or one without ://, has an empty host and path, which no rule fits, and is
-allowed. Repeated rows stay as many rows. Extra columns pass through; those named like
+allowed; an empty table gives an empty one. Among rules that fit, ties of priority and length go to the greater label. Long
+addresses are taken whole. Repeated rows stay as many rows, whatever their ids. Extra columns pass through; those named like
 a column that is made, or an internal one (leading underscore), are replaced.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.llm.common import ascii_lower, text_or_empty
@@ -111,14 +112,15 @@ def rarest_tokens(df: DataFrame, target: Column, rules: tuple[UrlRule, ...]) ->
 def judge_urls(df: DataFrame, rules: tuple[UrlRule, ...], url: str = "url", max_inline: int = 2000, key: str | None = None) -> DataFrame:
     """Add host, path and `match`, the struct (priority, size, name, action) of the winning rule, or null.
 
-    key: a column that tells rows apart, needed only beyond max_inline rules."""
+    Up to max_inline rules are a literal of the plan, more are a broadcast index; the results are the same. key isn't
+    needed, as a match depends on the address alone."""
     df = with_url_parts(df, url)
     df = df.withColumn("_target", F.concat("host", "path"))
     keys = rarest_tokens(df, F.col("_target"), rules)
     shape = "struct<priority:int,size:int,name:string,action:string,regex:string>"
     as_struct = lambda r: F.struct(F.lit(r.priority).alias("priority"), F.lit(len(r.name)).alias("size"), F.lit(r.name).alias("name"), F.lit(r.action).alias("action"), F.lit(r.regex()).alias("regex")).cast(shape)
     if len(rules) > max_inline:
-        return _judge_by_join(df, keys, key, shape)
+        return _judge_by_join(df, keys, shape)
     filed: dict[str, list[UrlRule]] = {}
     for r, t in keys.items():
         filed.setdefault(t or "", []).append(r)
@@ -135,16 +137,54 @@ def judge_urls(df: DataFrame, rules: tuple[UrlRule, ...], url: str = "url", max_
     return df.withColumn("match", F.array_max(fitting)).drop("_rules", "_target")
 
 
-def _judge_by_join(df: DataFrame, keys: dict[UrlRule, str | None], key: str | None, shape: str) -> DataFrame:
-    """As above, with the index as a table joined on the token."""
-    if key is None:
-        raise ValueError("judge_urls needs `key` when there are more than max_inline rules")
-    rows = [(t or "", r.priority, len(r.name), r.name, r.action, r.regex()) for r, t in keys.items()]
-    index = df.sparkSession.createDataFrame(rows, "_token string, priority int, size int, name string, action string, regex string")
-    tokens = df.select(F.col(key).alias("_key"), "_target", F.explode(F.concat(_tokens(F.col("_target")), F.array(F.lit("")))).alias("_token"))
-    fitting = tokens.join(index, "_token").filter(F.rlike("_target", F.col("regex")))
-    best = fitting.groupBy("_key").agg(F.max(F.struct("priority", "size", "name", "action", "regex").cast(shape)).alias("match"))
-    return df.join(best, df[key] == best["_key"], "left").drop("_key", "_target")
+def _blocks(rows: list[tuple], max_bytes: int) -> list[list[tuple]]:
+    """The rows cut into lists of about max_bytes of text."""
+    out, size = [], max_bytes
+    for r in rows:
+        own = sum(len(x.encode()) for x in r if isinstance(x, str))
+        if size + own > max_bytes:
+            out.append([])
+            size = 0
+        out[-1].append(r)
+        size += own
+    return out
+
+
+def _judge_by_join(df: DataFrame, keys: dict[UrlRule, str | None], shape: str, max_bytes: int = 8 << 20) -> DataFrame:
+    """As above, with the index as tables of at most max_bytes of rules each, broadcast, so that no token gathers its
+    URLs in one place. Each different address is judged once; rows get their address's match by a join on its reverse,
+    so that both sides have exchanges which adaptive execution may split."""
+    columns = "_token string, priority int, size int, name string, action string, regex string"
+    rows = [(t, r.priority, len(r.name), r.name, r.action, r.regex()) for r, t in keys.items()]
+    targets = df.select("_target").distinct()
+    tokens = targets.select("_target", F.explode(_tokens(F.col("_target"))).alias("_token"))
+    parts = []
+    for block in _blocks([r for r in rows if r[0] is not None], max_bytes):
+        parts.append(tokens.join(F.broadcast(df.sparkSession.createDataFrame(block, columns)), "_token"))
+    for block in _blocks([r for r in rows if r[0] is None], max_bytes):  # a stated set of rules that no token files
+        parts.append(targets.crossJoin(F.broadcast(df.sparkSession.createDataFrame(block, columns))))
+    fitting = None
+    for p in parts:
+        p = p.filter(F.rlike("_target", F.col("regex"))).select("_target", F.struct("priority", "size", "name", "action", "regex").cast(shape).alias("_m"))
+        fitting = p if fitting is None else fitting.unionByName(p)
+    best = fitting.groupBy("_target").agg(F.max("_m").alias("match")).select(F.reverse("_target").alias("_turned"), "match")
+    return df.drop("match", "_turned").withColumn("_turned", F.reverse("_target")).join(best, "_turned", "left").drop("_turned", "_target")
+
+
+def parse_rules(lines: list[str]) -> tuple[UrlRule, ...]:
+    """Rules from lines of text: a pattern blocks, @@ before it makes it an exception, which wins over blocks; lines that
+    start with ! and empty ones say nothing."""
+    out = []
+    for line in map(str.strip, lines):
+        if line and not line.startswith("!"):
+            allow = line.startswith("@@")
+            out.append(UrlRule(line.removeprefix("@@"), "allow" if allow else "block", int(allow), line))
+    return tuple(dict.fromkeys(out))
+
+
+def read_rules(spark: SparkSession, path: str) -> tuple[UrlRule, ...]:
+    """The rules of a text file, or of a folder of them. Rules are a stated list and are held by the driver."""
+    return parse_rules([r["value"] for r in spark.read.text(path).orderBy("value").collect()])
 
 
 def op2_url_filter(pages: DataFrame) -> DataFrame:
