@@ -3,12 +3,14 @@
 Test questions and answers are normalised to words (A-Z lower-cased; letters, digits and anything outside ASCII),
 and each window of ten consecutive words of an item, or the whole item if it is shorter, is a pattern. One
 automaton over all patterns reads each normalised text once; hits are word ranges, mapped back to offsets of the
-original text. The items' windows are held by every worker, so they are bounded: if the benchmark has more than
-`max_bytes` of text, it is cut into slices of about that size, which read the texts one after the other and add
-to the same hits.
+original text. The items are held by every worker, so they are bounded: if the benchmark has more than `max_bytes` of
+text, it is cut into slices of about that size. Slices read the texts one after the other, with a checkpoint between
+them, and add to the same hits, so a worker holds one automaton and the driver the texts of one slice.
 
 Defined results: a null or empty text has no words and isn't contaminated; items without words have no windows;
-repeated items count once, by item_id; a null item_id counts as the item "null"; an empty benchmark hits nothing.
+repeated items count once, by item_id; null item_ids count as one item, written "null", which isn't the item of that
+name; an empty benchmark hits nothing; an empty table gives an empty one. Repeated rows are scanned alike, and texts are
+taken whole whatever their length.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import ship, slices
+from docsift.llm.common import checkpointed, ship, slices
 
 WINDOW = 10
 #: Bytes outside words become blanks, A-Z becomes a-z; bytes of characters outside ASCII stay.
@@ -34,6 +36,10 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _RUNS = "array<struct<start:int,end:int>>"
 
 
+#: Stands for a null item_id until the end.
+_NO_ID = "\0null"
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
@@ -90,15 +96,15 @@ def _patterns(rows: list, size: int) -> dict[bytes, list[str]]:
     for item, text in rows:
         for w in windows_of(words_of(text), size):
             owners = out.setdefault(w, [])
-            name = "null" if item is None else str(item)
+            name = _NO_ID if item is None else str(item)
             if name not in owners:
                 owners.append(name)
     return out
 
 
-def _scanner(shared, names: list[str], first: bool, spans: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scanner(shared, size: int, names: list[str], first: bool, spans: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
+        matcher = Matcher(_patterns(shared.value, size))
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in slices(batches):
             n_words, hits, items, places = [], [], [], []
@@ -136,12 +142,16 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     df = docs.drop(*(c for c in made if c != text)).withColumn("_text", F.col(text).cast("string"))
     for k in range(parts):
         own = source.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k) if parts > 1 else source
-        shared = spark.sparkContext.broadcast(_patterns([(r["i"], r["t"]) for r in own.collect()], size))
+        shared = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in own.collect()])  # about max_bytes
         names = [f.name for f in df.schema if f.name not in ("_n_words", "_runs", "_items", "_spans") and (keep_text or f.name != text) and not (f.name == "_text" and k + 1 == parts)]
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names), "_n_words long", f"_runs {_RUNS}", "_items array<string>", f"_spans {_RUNS}"])
-        df = df.mapInArrow(_scanner(shared, names, k == 0, spans and k + 1 == parts), schema)
+        df = df.mapInArrow(_scanner(shared, size, names, k == 0, spans and k + 1 == parts), schema)
+        if k + 1 < parts:
+            df = checkpointed(df)
+            shared.unpersist()
+    ids = F.array_sort(F.transform("_items", lambda i: F.when(i == _NO_ID, "null").otherwise(i)))
     n_hit = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["end"] - r["start"]).cast("long")
-    return df.withColumns({"n_hit": n_hit}).withColumnsRenamed({"_n_words": "n_words", "_runs": "hit_runs", "_items": "hit_items", "_spans": "hit_spans"})
+    return df.withColumns({"n_hit": n_hit, "_items": ids}).withColumnsRenamed({"_n_words": "n_words", "_runs": "hit_runs", "_items": "hit_items", "_spans": "hit_spans"})
 
 
 def op3_decontam(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -170,7 +180,7 @@ def brute_force(docs: list[tuple], items: list[tuple], size: int = WINDOW) -> li
                 for i in range(len(w) - n + 1):
                     if w[i : i + n] == v[j : j + n]:
                         hit |= set(range(i, i + n))
-                        own.add("null" if item_id is None else str(item_id))
-        digest = hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()
+                        own.add((item_id is None, "null" if item_id is None else str(item_id)))
+        digest = hashlib.sha256(",".join(sorted(x for _, x in own)).encode()).hexdigest()
         out.append((doc_id, len(w), len(hit), len(own), digest, bool(hit)))
     return out
