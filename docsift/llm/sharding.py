@@ -4,8 +4,8 @@ A record is hashed into one of `slots` virtual slots, for good. Bytes are summed
 says which shard holds each slot. Rebalancing edits the map: it moves as few slots as bring the shards' bytes
 together, and writes the next version. Only the slot table (thousands of rows, a constant) reaches the driver.
 
-Defined results: a null text counts no bytes (size 1); equal rows share a slot; an empty table gives an empty
-result. Extra columns pass through; those named like
+Defined results: a null text counts no bytes (size 1); equal rows share a virtual slot, and which of them has which place
+in it is open; an empty table gives an empty result; very long texts count whole. Extra columns pass through; those named like
 a column that is made, or an internal one (leading underscore), are replaced.
 """
 
@@ -75,20 +75,32 @@ class SlotMap:
         return SlotMap(self.version + 1, shards, tuple(shard_of))
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(self.version, slot, shard) for slot, shard in enumerate(self.shard_of)]
-        return spark.createDataFrame(rows, "version int, vslot int, shard int")
+        rows = [(slot, shard, self.shards) for slot, shard in enumerate(self.shard_of)]
+        return spark.createDataFrame(rows, "vslot int, shard int, shards int")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Add this version to the table of maps at path."""
-        self.frame(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Store this version in the table of maps at path; saving a version once more replaces it."""
+        self.frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={self.version}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+        """The given version, or the latest."""
         table = spark.read.parquet(path)
         version = table.agg(F.max("version")).first()[0] if version is None else version
-        rows = table.filter(F.col("version") == version).select("vslot", "shard").collect()
-        shard_of = [s for _, s in sorted((r["vslot"], r["shard"]) for r in rows)]
-        return cls(int(version), max(shard_of) + 1, tuple(shard_of))
+        rows = table.filter(F.col("version") == version).select("vslot", "shard", "shards").collect()
+        return cls(int(version), rows[0]["shards"], tuple(s for _, s in sorted((r["vslot"], r["shard"]) for r in rows)))
+
+    @classmethod
+    def latest(cls, spark: SparkSession, path: str, shards: int, slots: int = SLOTS) -> SlotMap:
+        """The latest stored map; where none is stored yet, version 0."""
+        from pyspark.errors import AnalysisException
+
+        try:
+            return cls.load(spark, path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return cls.initial(shards, slots)
 
 
 def with_slots(df: DataFrame, key: list[Column], slots: int = SLOTS) -> DataFrame:
@@ -104,22 +116,40 @@ def slot_bytes(df: DataFrame, size: str, slots: int = SLOTS) -> tuple[list[int],
     return n_bytes, n_rows
 
 
+#: Copies of a row that one task numbers.
+_COPIES = 1 << 16
+
+
 def shard_rows(df: DataFrame, size: str, order: list[str], slot_map: SlotMap, n_rows: list[int]) -> DataFrame:
     """Add shard and slot, the row's place in its shard: those of the virtual slots before its own, then its place
-    in its virtual slot. So numbering needs thousands of small windows instead of one for each shard."""
+    in its virtual slot. So numbering needs thousands of small windows instead of one for each shard.
+
+    Equal rows are one row with a count until the end, which combines before the shuffle; a row with very many copies is
+    dealt in pieces over the tasks when they are numbered."""
     spark = df.sparkSession
-    df = df.drop("shard", "slot", "_start", "_own")
+    df = df.drop("shard", "slot", "_start", "_own", "_n", "_at")
     start, at = [0] * slot_map.shards, []
     for vslot, shard in enumerate(slot_map.shard_of):
         at.append((vslot, shard, start[shard]))
         start[shard] += n_rows[vslot]
     place = spark.createDataFrame(at, "vslot int, shard int, _start long")  # as many rows as there are slots
-    own = F.row_number().over(Window.partitionBy("vslot").orderBy(*order))
-    return df.withColumn("_own", own).join(F.broadcast(place), "vslot").withColumn("slot", F.col("_start") + F.col("_own") - 1).drop("_start", "_own")
-
-
-def op4_sharding(documents: DataFrame, shards: int = 8) -> DataFrame:
-    """Every document with its shard under the law `bytes`, its place there, and its virtual slot and map version."""
+    names = [c for c in df.columns if c != "vslot"]
+    kinds = df.groupBy("vslot", *(F.col(f"`{c}`") for c in names)).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy("vslot").orderBy(*order, *(F.col(f"`{c}`") for c in names if c not in order))
+    before = F.coalesce(F.sum("_n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kinds = kinds.withColumn("_own", before).join(F.broadcast(place), "vslot").withColumn("slot", F.col("_start") + F.col("_own")).drop("_start", "_own")
+    few = kinds.filter(F.col("_n") <= _COPIES).withColumn("_at", F.lit(0).cast("long"))
+    many = kinds.filter(F.col("_n") > _COPIES).withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(_COPIES).cast("long")))).repartition("vslot", "slot", "_at")
+    rows = few.unionByName(many)
+    last = F.least(F.col("_n"), F.col("_at") + _COPIES) - 1
+    return rows.withColumn("_at", F.explode(F.sequence(F.col("_at"), last))).withColumn("slot", F.col("slot") + F.col("_at")).drop("_n", "_at")
+
+
+def op4_sharding(documents: DataFrame, shards: int = 8, maps: str | None = None) -> DataFrame:
+    """Every document with its shard under the law `bytes`, its place there, and its virtual slot and map version.
+
+    maps: the folder of the stored maps, whose latest is edited for the bytes of these documents and stored as the next
+    version; None starts a new one in the shared folder."""
     spark = documents.sparkSession
     body = F.encode(text_or_empty(F.col("text")), "UTF-8")
     rows = documents.select(
@@ -127,12 +157,12 @@ def op4_sharding(documents: DataFrame, shards: int = 8) -> DataFrame:
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
     )
-    rows = with_slots(rows, [F.col("doc_id"), F.col("text_crc32")])
-    n_bytes, n_rows = slot_bytes(rows, "size")
-    path = shared_path(spark, "slotmap")
-    first = SlotMap.initial(shards)
-    first.save(spark, path)
-    first.rebalanced(n_bytes).save(spark, path)
+    path = maps or shared_path(spark, "slotmap")
+    stored = SlotMap.latest(spark, path, shards)
+    rows = with_slots(rows, [F.col("doc_id"), F.col("text_crc32")], len(stored.shard_of))
+    n_bytes, n_rows = slot_bytes(rows, "size", len(stored.shard_of))
+    stored.save(spark, path)
+    stored.rebalanced(n_bytes, shards).save(spark, path)
     slot_map = SlotMap.load(spark, path)
     out = shard_rows(rows, "size", ["doc_id", "text_crc32"], slot_map, n_rows)
     return out.select(
