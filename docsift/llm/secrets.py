@@ -4,7 +4,9 @@ Each historical version of a file is a row with a text; its content address is (
 are one blob, scanned once per rule version; blobs that the ledger holds for this rule version aren't scanned
 again. Findings are joined back to every row (path) whose version is that blob. All native expressions.
 
-Defined results: a null text is the empty blob, which has no findings. Repeated rows stay as many rows. Extra
+Defined results: a null text is the empty blob, which has no findings; an empty table gives an empty one. Spans that start
+together come in the order of the rules; those of different kinds may overlap. Texts are taken whole whatever their
+length. Repeated rows stay as many rows. Extra
 columns pass through; those named like a column that is made, or an internal one (leading underscore), are replaced.
 """
 
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm.common import spans_text, text_or_empty, find_all
+from docsift.llm.common import find_all, shared_path, spans_text, text_or_empty
 
 RULE_VERSION = "2025-2"
 
@@ -70,36 +72,65 @@ def addressed(versions: DataFrame, text: str = "text") -> DataFrame:
     return versions.withColumns({"_blob": F.sha2(body, 256), "_n_bytes": F.octet_length(body)})
 
 
-def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+#: Unseen addresses up to which they are sent to the texts; beyond it the texts go to them.
+FEW = 100_000
+
+
+def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, text: str = "text", rules: tuple[Rule, ...] = RULES, few: int = FEW) -> DataFrame:
     """The ledger's new rows: findings (perhaps none) of each blob that it doesn't hold under this rule version.
 
-    Copies of a blob are merged before the shuffle, so a text with very many copies sends one row per task.
+    With a ledger, addresses alone are compared with it first. If at most `few` are unseen (counted), they are sent to
+    the texts, so that texts of seen blobs are neither moved nor scanned; the rows are the same either way. Copies of a
+    blob are merged before the shuffle, so a text with very many copies sends one row per task.
     """
     body = text_or_empty(F.col(text))
     seen = addressed(versions.select(text), text).select("_blob", "_n_bytes", body.alias("_body"))
-    blobs = seen.groupBy("_blob", "_n_bytes").agg(F.first("_body").alias("_body"))
+    keys = ["_blob", "_n_bytes"]
     if ledger is not None:
         known = ledger.filter(F.col("rule_version") == rule_version).select(F.col("blob").alias("_blob"), F.col("n_bytes").alias("_n_bytes"))
-        blobs = blobs.join(known, ["_blob", "_n_bytes"], "left_anti")
+        unseen = seen.select(*keys).distinct().join(known, keys, "left_anti")
+        if unseen.limit(few + 1).count() <= few:
+            seen = seen.join(F.broadcast(unseen), keys, "left_semi")
+            known = None
+    blobs = seen.groupBy(*keys).agg(F.first("_body").alias("_body"))
+    if ledger is not None and known is not None:
+        blobs = blobs.join(known, keys, "left_anti")
     return scan_blobs(blobs, "_body", rules).select(
         F.col("_blob").alias("blob"), F.col("_n_bytes").alias("n_bytes"), F.lit(rule_version).alias("rule_version"), "findings"
     )
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, text: str = "text", rules: tuple[Rule, ...] = RULES, keep_text: bool = True) -> DataFrame:
-    """Every version with its `findings`; use update_ledger first and pass its union to make use of earlier scans.
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored ledger, or None where none is stored yet."""
+    from pyspark.errors import AnalysisException
 
-    Only blobs with findings are joined back, on a turned key, so that each side gets an exchange of its own and
-    adaptive execution may split a blob that very many rows share.
-    """
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, text: str = "text", rules: tuple[Rule, ...] = RULES, keep_text: bool = True) -> DataFrame:
+    """Every version with its `findings`: those of the ledger, and of the blobs that it doesn't hold, scanned now."""
     versions = versions.drop(*(c for c in ("findings", "_key", "_size", "_blob", "_n_bytes") if c != text))
     fresh = update_ledger(versions, ledger, rule_version, text, rules)
     if ledger is not None:
         fresh = fresh.unionByName(ledger.filter(F.col("rule_version") == rule_version).select(*fresh.columns))
-    found = fresh.filter(F.size("findings") > 0).select(F.reverse("blob").alias("_key"), F.col("n_bytes").alias("_size"), F.col("findings"))
+    return join_findings(versions, fresh, text, keep_text)
+
+
+def join_findings(versions: DataFrame, ledger: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """Every version with the findings that a ledger of one rule version has for its blob.
+
+    Only blobs with findings are joined back, on a turned key, so that each side gets an exchange of its own and
+    adaptive execution may split a blob that very many rows share."""
+    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
+    found = ledger.filter(F.size("findings") > 0).groupBy("blob", "n_bytes").agg(F.max("findings").alias("findings"))
+    found = found.select(F.reverse("blob").alias("_key"), F.col("n_bytes").alias("_size"), "findings")
     rows = addressed(versions, text).withColumns({"_key": F.reverse("_blob"), "_size": F.col("_n_bytes")}).drop("_blob", "_n_bytes")
     rows = rows if keep_text else rows.drop(text)
-    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
     return rows.join(found, ["_key", "_size"], "left").withColumn("findings", F.coalesce("findings", none)).drop("_key", "_size")
 
 
@@ -116,9 +147,16 @@ def redact(text: Column, findings: Column) -> Column:
     return F.when(F.size(findings) > 0, done).otherwise(text)
 
 
-def op5_secrets(documents: DataFrame) -> DataFrame:
-    """One row per document with its counts, the digest of the base spans, and all spans."""
-    found = scan_versions(documents.select("doc_id", "text"), keep_text=False)
+def op5_secrets(documents: DataFrame, ledger: str | None = None) -> DataFrame:
+    """One row per document with its counts, the digest of the base spans, and all spans.
+
+    ledger: the folder of the stored ledger. Blobs that it doesn't hold under RULE_VERSION are scanned and added to it;
+    then its findings are joined back. None starts a new one in the shared folder."""
+    spark = documents.sparkSession
+    versions = documents.select("doc_id", "text")
+    path = ledger or shared_path(spark, "ledger")
+    update_ledger(versions, read_ledger(spark, path)).write.mode("append").parquet(path)
+    found = join_findings(versions, spark.read.parquet(path).filter(F.col("rule_version") == RULE_VERSION), keep_text=False)
     base = F.filter("findings", lambda s: s["kind"].isin(*BASE))
     count = lambda k: F.size(F.filter("findings", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *map(count, BASE), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("findings")).alias("spans"))
