@@ -9,8 +9,8 @@ encoding of some stretch, which is what makes a token sequence the encoding of i
 
 Only vocabularies of this shape are handled: byte-level BPE with a suffix for word ends, NFC + lower case.
 
-Defined results: a null text counts as empty and has no tokens; repeated rows are encoded alike; extra columns
-pass through.
+Defined results: a null text counts as empty and has no tokens; an empty table gives an empty one; repeated rows are
+encoded alike; extra columns pass through. A vocabulary of another shape is refused.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ LEAF = 256
 WINDOW = 4
 #: Words that a worker remembers; at that many it starts afresh.
 REMEMBERED = 300_000
+#: Fixed value: how the vocabulary file splits a text into words.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = "ɐ"  # below it, Python and the library agree on case, composition and classes
 
 
@@ -60,6 +62,24 @@ def _plain_pattern() -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{kind('L')}]+|[{kind('N')}]|[^{space}{kind('L')}{kind('N')}]+")
 
 
+def check_shape(spec: dict) -> None:
+    """Raise for a vocabulary file that this codec would encode otherwise than its library."""
+    kinds = lambda part: [x["type"] for x in part.get("normalizers") or part.get("pretokenizers") or [part]] if part else []
+    model = spec["model"]
+    wrong = [
+        model.get("type") != "BPE" and "model",
+        model.get("continuing_subword_prefix") and "prefix",
+        model.get("dropout") and "dropout",
+        (not model.get("end_of_word_suffix")) and "suffix",
+        not {"NFC", "Lowercase"} <= set(kinds(spec.get("normalizer"))) and "normalizer",
+        "ByteLevel" not in kinds(spec.get("pre_tokenizer")) and "pre_tokenizer",
+        [x["pattern"].get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"] != [SPLIT] and "split",
+        spec.get("decoder") and "decoder",
+    ]
+    if any(wrong):
+        raise ValueError(f"not a byte-level BPE with a suffix for word ends, NFC and lower case: {[w for w in wrong if w]}")
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -67,6 +87,7 @@ class Codec:
         self.leaf, self.window = leaf, window
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_shape(spec)
         self.whole = Tokenizer.from_file(path)
         self.end_model = self.whole.model
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in spec["model"]["merges"]]
