@@ -8,24 +8,27 @@ labelled rows kept out of the counts, less those that are more like another lang
 rejected if its cross-entropy is further above its language's mean than almost all (1 - `reject_rate`) of those were
 when cut to about its number of words, with room of `slack`.
 
-Fitting takes a bounded sample of labelled rows: about `per_lang` rows of each language (those with the lowest hash
-of their id and at most `max_chars` characters), a documented bound that doesn't grow with the table. Scoring
-covers all rows. One task counts the sample; the driver gets counts by
-language and the model.
-
-Defined results: a null text or one without a letter is `und` with score 0; ties go to the language first in
-order; a table without labelled rows predicts `und` everywhere; repeated rows are scored alike.
+Fitting takes a bounded sample of labelled rows: about `per_lang` rows of each language (those with the lowest hash of
+their id and at most `max_chars` characters; of a language without such rows, the shortest, of which as many characters
+as `max_chars` are taken), a documented bound that doesn't grow with the table. Every label is learnt. Each language is
+counted, and later calibrated, in a task of its own; one task puts the tables together. Scoring covers all rows.
+
+Defined results: a letter is a character of category L; a null text or one without a letter is `und` with score 0; ties
+go to the language first in order; a table without labelled rows predicts `und` everywhere; an empty table gives an empty
+one; repeated rows are scored alike. Texts are taken whole; words of any length are scored in pieces of bounded size.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,16 +38,25 @@ from docsift.llm.common import ddl, passing, ship, slices
 ORDER = 4
 PER_LANG = 1500
 MAX_CHARS = 20_000
-MAX_LANGS = 200
 REJECT_RATE = 0.001
 SLACK = 1.5
 #: Numbers of words to which calibrating rows are cut; the threshold between two of them is interpolated.
 LENGTHS = tuple(2**x for x in range(15))
 #: Words that a worker remembers; at that many it starts afresh.
 REMEMBERED = 100_000
-#: Texts and new words that are scored together.
-_DOCS, _TOGETHER = 64, 50_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Texts, and characters of new words, that are scored together; longer words are scored in pieces of this size.
+_DOCS, _TOGETHER = 64, 400_000
+#: Characters of words that a worker remembers.
+_REMEMBERED_CHARS = 20_000_000
+
+
+def _letters() -> re.Pattern:
+    """Runs of letters: what Python takes for words, less digits, underscores and other numbers."""
+    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    return re.compile(f"[^\\W\\d_{''.join(map(re.escape, odd))}]+")
+
+
+_WORD = _letters()
 _EDGE = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xBF58476D1CE4E5B9)
@@ -120,6 +132,15 @@ class Model:
         codes, inside, starts = _layout(words)
         return -np.add.reduceat(self.char_logs(codes, inside), starts, axis=0)
 
+    def long_word_score(self, word: str, piece: int) -> np.ndarray:
+        """The same for one word, by pieces that each see the characters before them that their n-grams reach back to."""
+        codes, inside, _ = _layout([word])
+        total = np.zeros(len(self.langs))
+        for at in range(0, len(codes), piece):
+            low = max(0, at - len(self.keys) + 1)
+            total -= self.char_logs(codes[low : at + piece], inside[low : at + piece])[at - low :].sum(axis=0)
+        return total
+
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places of the wanted hashes, -1 for those that aren't there."""
@@ -132,39 +153,49 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 def fit(samples: dict[str, list[str]], order: int = ORDER, reject_rate: float = REJECT_RATE, slack: float = SLACK) -> Model:
     """samples: texts by language. Every fifth text calibrates, the others are counted."""
     langs = sorted(samples)
-    counted = {k: [t for i, t in enumerate(samples[k]) if i % 5 or len(samples[k]) < 5] for k in langs}
-    held = {k: [t for i, t in enumerate(samples[k]) if i % 5 == 0] for k in langs}
-    letters, grams, contexts = {_EDGE}, [[] for _ in range(order)], [[] for _ in range(order)]
-    for lang in langs:
-        counts = Counter(w for t in counted[lang] for w in words_of(t))
-        words = list(counts)
-        if not words:
-            continue
-        codes, inside, _ = _layout(words)
-        weight = np.repeat(np.fromiter(counts.values(), np.float64, len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 2)
-        letters.update(np.unique(codes).tolist())
-        for n in range(1, order + 1):
-            at = np.flatnonzero((inside > 0) & (inside >= n - 1))
-            amount = weight[at]
-            if n < order:
-                # Lower orders count the different characters before an n-gram; one that starts at a word's edge keeps its count.
-                edge = inside[at] == n - 1
-                within = at[~edge]
-                _, first = np.unique(_grams(codes, within, n + 1), return_index=True)
-                at, amount = np.concatenate((within[first], at[edge])), np.concatenate((np.ones(len(first)), weight[at[edge]]))
-            keys, first, index = np.unique(_grams(codes, at, n), return_index=True, return_inverse=True)
-            count = np.bincount(index, amount)
-            ones, twos = np.sum(count == 1), np.sum(count == 2)
-            discount = float(np.clip(ones / (ones + 2 * twos), 0.1, 0.9)) if ones else 0.5
-            own_context = _contexts(codes, at[first], n)
-            below = _grams(codes, at[first], n - 1) if n > 1 else own_context
-            ckeys, cindex = np.unique(own_context, return_inverse=True)
-            total, kinds = np.bincount(cindex, count), np.bincount(cindex)
-            grams[n - 1].append((lang, keys, np.maximum(count - discount, 0) / total[cindex], own_context, below))
-            contexts[n - 1].append((lang, ckeys, np.minimum(1.0, discount * kinds / total)))
-    model = Model(langs, 1.0 / (len(letters) + 1), *_tables(grams, contexts, langs, 1.0 / (len(letters) + 1)))
-    _calibrate(model, held, reject_rate, slack)
-    return model
+    model = merged_tables({k: count_language(samples[k], order) for k in langs}, order)
+    return calibrated(model, {k: calibration_of(model, k, samples[k]) for k in langs}, reject_rate, slack)
+
+
+def count_language(texts: list[str], order: int = ORDER) -> tuple[set[int], list[tuple | None], list[tuple | None]]:
+    """A language's characters and, by order, its n-grams (keys, discounted shares, contexts, n-grams below) and contexts
+    (keys, weights of the order below)."""
+    counts = Counter(w for i, t in enumerate(texts) if i % 5 or len(texts) < 5 for w in words_of(t))
+    letters, grams, contexts = {_EDGE}, [None] * order, [None] * order
+    words = list(counts)
+    if not words:
+        return letters, grams, contexts
+    codes, inside, _ = _layout(words)
+    weight = np.repeat(np.fromiter(counts.values(), np.float64, len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    letters.update(np.unique(codes).tolist())
+    for n in range(1, order + 1):
+        at = np.flatnonzero((inside > 0) & (inside >= n - 1))
+        amount = weight[at]
+        if n < order:
+            # Lower orders count the different characters before an n-gram; one that starts at a word's edge keeps its count.
+            edge = inside[at] == n - 1
+            within = at[~edge]
+            _, first = np.unique(_grams(codes, within, n + 1), return_index=True)
+            at, amount = np.concatenate((within[first], at[edge])), np.concatenate((np.ones(len(first)), weight[at[edge]]))
+        keys, first, index = np.unique(_grams(codes, at, n), return_index=True, return_inverse=True)
+        count = np.bincount(index, amount)
+        ones, twos = np.sum(count == 1), np.sum(count == 2)
+        discount = float(np.clip(ones / (ones + 2 * twos), 0.1, 0.9)) if ones else 0.5
+        own_context = _contexts(codes, at[first], n)
+        below = _grams(codes, at[first], n - 1) if n > 1 else own_context
+        ckeys, cindex = np.unique(own_context, return_inverse=True)
+        total, kinds = np.bincount(cindex, count), np.bincount(cindex)
+        grams[n - 1] = (keys, np.maximum(count - discount, 0) / total[cindex], own_context, below)
+        contexts[n - 1] = (ckeys, np.minimum(1.0, discount * kinds / total))
+    return letters, grams, contexts
+
+
+def merged_tables(parts: dict[str, tuple], order: int = ORDER) -> Model:
+    """The model of all languages, not calibrated yet."""
+    langs = sorted(parts)
+    base = 1.0 / (len({_EDGE}.union(*(parts[k][0] for k in langs))) + 1)
+    of = lambda i, n: [(k, *parts[k][i][n]) for k in langs if parts[k][i][n] is not None]
+    return Model(langs, base, *_tables([of(1, n) for n in range(order)], [of(2, n) for n in range(order)], langs, base))
 
 
 def _tables(grams: list[list[tuple]], contexts: list[list[tuple]], langs: list[str], base: float) -> tuple[list[np.ndarray], ...]:
@@ -192,28 +223,38 @@ def _tables(grams: list[list[tuple]], contexts: list[list[tuple]], langs: list[s
     return keys, logs, context_keys, weights
 
 
-def _calibrate(model: Model, held: dict[str, list[str]], reject_rate: float, slack: float) -> None:
-    scorer = Scorer(model)
+def calibration_of(model: Model, lang: str, texts: list[str]) -> tuple | None:
+    """What a language's held-out texts tell: mean and spread of its cross-entropy, distances of rows cut to LENGTHS,
+    and cross-entropies of the rows; None if there are fewer than two."""
+    scorer, i = Scorer(model), model.langs.index(lang)
+    own = [words_of(t) for k, t in enumerate(texts) if k % 5 == 0]
+    scored = []
+    for at in range(0, len(own), _DOCS):
+        scorer.prepare(own[at : at + _DOCS])
+        scored += [(w, scorer.entropies(w), [scorer.entropies(w[:n])[0] for n in LENGTHS if len(w) >= n]) for w in own[at : at + _DOCS] if w]
+    # A row that is more like another language has a wrong label, most likely, and would stretch the threshold.
+    scored = [x for x in scored if np.argmin(x[1][0]) == i]
+    if len(scored) < 2:
+        return None
+    h, n = np.array([x[1][0][i] for x in scored]), np.array([x[1][1] for x in scored], float)
+    mean = float(np.average(h, weights=n))
+    spread = float(np.sqrt(np.median((h - mean) ** 2 * n)) / 0.6745 + 1e-9)
+    zs = [[float((x[2][k][i] - mean) / (spread / np.sqrt(size))) for x in scored if len(x[2]) > k and np.argmin(x[2][k]) == i] for k, size in enumerate(LENGTHS)]
+    return mean, spread, zs, np.array([x[1][0] for x in scored])
+
+
+def calibrated(model: Model, found: dict[str, tuple | None], reject_rate: float = REJECT_RATE, slack: float = SLACK) -> Model:
     k = len(model.langs)
     model.mean, model.spread = np.full(k, 5.0), np.ones(k)
     zs, tops, rows = [[] for _ in LENGTHS], [], []
     for i, lang in enumerate(model.langs):
-        own = [words_of(t) for t in held[lang]]
-        scorer.prepare(own)
-        scored = [(w, *x) for w in own if (x := scorer.entropies(w)) is not None]
-        # A row that is more like another language has a wrong label, most likely, and would stretch the threshold.
-        scored = [x for x in scored if np.argmin(x[1]) == i]
-        if len(scored) < 2:
+        if found.get(lang) is None:
             continue
-        sums = [x[1:] for x in scored]
-        h, n = np.array([e[i] for e, _ in sums]), np.array([n for _, n in sums], float)
-        model.mean[i] = np.average(h, weights=n)
-        model.spread[i] = np.sqrt(np.median((h - model.mean[i]) ** 2 * n)) / 0.6745 + 1e-9
-        for at, size in enumerate(LENGTHS):
-            cuts = [scorer.entropies(w[:size])[0] for w, _, _ in scored if len(w) >= size]
-            zs[at] += [(e[i] - model.mean[i]) / (model.spread[i] / np.sqrt(size)) for e in cuts if np.argmin(e) == i]
-        tops += [i] * len(sums)
-        rows += [e for e, _ in sums]
+        model.mean[i], model.spread[i], own, entropies = found[lang]
+        for all_, z in zip(zs, own):
+            all_ += z
+        tops += [i] * len(entropies)
+        rows += list(entropies)
     # Longer texts vary by more than the root of their words tells, so the threshold doesn't fall with length.
     model.z = np.maximum.accumulate([max(4.0, float(np.quantile(x, 1 - reject_rate))) if x else 4.0 for x in zs]) * slack
     if not rows:
@@ -222,6 +263,7 @@ def _calibrate(model: Model, held: dict[str, list[str]], reject_rate: float, sla
         e, y = np.array(rows), np.array(tops)
         loss = lambda t: np.mean(np.logaddexp.reduce(-e * t, axis=1) + e[np.arange(len(y)), y] * t)
         model.temperature = min((2.0**x for x in range(0, 9)), key=loss)
+    return model
 
 
 class Scorer:
@@ -230,22 +272,32 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.known: dict[str, int] = {}
+        self.held = 0
         self.rows = np.zeros((1024, len(model.langs)))
 
     def _learn(self, words: list[str]) -> None:
         at = len(self.known)
         while at + len(words) > len(self.rows):
             self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-        self.rows[at : at + len(words)] = self.model.word_scores(words)
+        long = len(words) == 1 and len(words[0]) > _TOGETHER
+        self.rows[at : at + len(words)] = self.model.long_word_score(words[0], _TOGETHER) if long else self.model.word_scores(words)
         self.known.update(zip(words, range(at, at + len(words))))
+        self.held += sum(map(len, words))
 
     def prepare(self, texts: list[list[str]]) -> None:
-        """Learn the new words of some texts at once."""
-        if len(self.known) > REMEMBERED:
+        """Learn the new words of some texts, as many at once as have _TOGETHER characters."""
+        if len(self.known) > REMEMBERED or self.held > _REMEMBERED_CHARS:
             self.known.clear()
-        new = list(set().union(*texts).difference(self.known))
-        for at in range(0, len(new), _TOGETHER):
-            self._learn(new[at : at + _TOGETHER])
+            self.held = 0
+        together, size = [], 0
+        for w in set().union(*texts).difference(self.known):
+            if together and size + len(w) + 2 > _TOGETHER:
+                self._learn(together)
+                together, size = [], 0
+            together.append(w)
+            size += len(w) + 2
+        if together:
+            self._learn(together)
 
     def entropies(self, words: list[str]) -> tuple[np.ndarray, int] | None:
         """Cross-entropy per character by language, and the number of words; None without any. The words are known."""
@@ -280,31 +332,43 @@ def in_sample(key: Column, fold: int = 4, held: int = 2) -> Column:
     return F.coalesce(F.crc32(F.encode(key.cast("string"), "UTF-8")) % fold != held, F.lit(False))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, max_chars: int = MAX_CHARS, max_langs: int = MAX_LANGS) -> Model:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, max_chars: int = MAX_CHARS) -> Model:
     """Fit on a bounded sample of the labelled rows given; see the module's text for the bound."""
-    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= max_chars)).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 40)).alias("_hash"))
-    counts = labelled.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_langs).collect()
+    spark = docs.sparkSession
+    ship(spark)
+    every = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text"), F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 40)).alias("_hash"))
+    short = F.length("_text") <= max_chars
+    counts = every.groupBy("_lang").agg(F.count_if(short).alias("n"), F.min(F.length("_text")).alias("least")).collect()  # a row for each label
     if not counts:
         return Model([], 1.0, [], [], [], [])
     # A threshold by language on the hash lets about 1.2 times per_lang rows through before anything is shuffled.
-    bar = None
-    for r in counts:
-        own = F.col("_lang") == r["_lang"]
-        most = F.lit(int(min(1.0, 1.2 * per_lang / r["count"]) * (1 << 40)))
-        bar = F.when(own, most) if bar is None else bar.when(own, most)
+    bars = spark.createDataFrame([(r["_lang"], int(min(1.0, 1.2 * per_lang / r["n"]) * (1 << 40)) if r["n"] else None, r["least"]) for r in counts], "_lang string, _bar long, _least int")
+    wanted = F.when(F.col("_bar").isNotNull(), short & (F.col("_hash") < F.col("_bar"))).otherwise(F.length("_text") == F.col("_least"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_text"))
-    sample = labelled.filter(F.col("_hash") < bar.otherwise(F.lit(0))).withColumn("_rank", rank).filter(F.col("_rank") <= per_lang).select("_lang", "_hash", "_text")
-    ship(docs.sparkSession)
-
-    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("_lang", "_hash", "_text")))]
-        samples: dict[str, list[str]] = {}
-        for lang, _, text_ in sorted(rows):
-            samples.setdefault(lang, []).append(text_)
-        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(samples))]})
-
-    # One task counts the sample, whose size is bounded; what comes back is the model, bounded too.
-    return pickle.loads(sample.coalesce(1).mapInArrow(fitted, "model binary").first()["model"])
+    most = F.when(F.col("_bar").isNotNull(), per_lang).otherwise(1)
+    rows = every.join(F.broadcast(bars), "_lang").filter(wanted).withColumn("_text", F.substr("_text", F.lit(1), F.lit(max_chars)))
+    sample = rows.withColumn("_rank", rank).filter(F.col("_rank") <= most).select("_lang", "_rank", "_text")
+
+    def counted(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame.sort_values("_rank")
+        return pd.DataFrame({"lang": [own["_lang"].iloc[0]], "part": [pickle.dumps(count_language(own["_text"].tolist()))]})
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = {k: pickle.loads(p) for b in batches for k, p in zip(*(b.column(n).to_pylist() for n in ("lang", "part")))}
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(merged_tables(parts))]})
+
+    # What one task and the driver get are tables of the bounded sample, never its texts.
+    parts = sample.groupBy("_lang").applyInPandas(counted, "lang string, part binary")
+    model = pickle.loads(parts.coalesce(1).mapInArrow(together, "model binary").first()["model"])
+    shared = spark.sparkContext.broadcast(model)
+
+    def measured(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame.sort_values("_rank")
+        name = own["_lang"].iloc[0]
+        return pd.DataFrame({"lang": [name], "found": [pickle.dumps(calibration_of(shared.value, name, own["_text"].tolist()))]})
+
+    found = sample.groupBy("_lang").applyInPandas(measured, "lang string, found binary").collect()  # numbers of held-out rows
+    return calibrated(model, {r["lang"]: pickle.loads(r["found"]) for r in found})
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
