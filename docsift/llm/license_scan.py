@@ -3,20 +3,26 @@
 Template and text are words (A-Z lower-cased; letters, digits, anything outside ASCII). The k-word grams of a
 template are hashed and winnowed (the least hash of each window of `WINNOW` grams), and filed in an inverted
 index from fingerprint to (template, place). A text's grams are winnowed alike; those in the index propose a
-template on a diagonal (place in the text less place in the template), and near diagonals are one candidate. Each
-candidate is aligned with its template in a band around them: matches score 2, a gap or a substitution -1, from
-whichever start and to whichever end scores best. Reported are the share of the template's words that match, and the span.
+template on a diagonal (place in the text less place in the template). Diagonals of one template within a band are one
+candidate; the band is at most half the template, so that notices which follow each other stay apart. Each candidate is
+aligned with its template in the band: matches score 2, a gap or a substitution -1, from whichever start and to
+whichever end scores best. Alignments that go on in the template where another ended, at most `MAX_GAP` words behind it
+in the text, are one notice with something inserted. Reported are the share of the template's words that match, and
+the span.
 
 A shared stretch of at least GRAM + WINNOW - 1 words always shares a fingerprint; templates are no shorter than that.
 
-Defined results: a null or empty text has no license; repeated rows are scanned alike; overlapping candidates of
-one template keep the best; extra columns pass through.
+Defined results: a null or empty text has no license; an empty table gives an empty one; repeated rows are scanned alike,
+and texts are taken whole whatever their length. Of overlapping notices, of any templates, that with the most matched
+words less those that its template has beyond them stays, then the first in the text, then by the template's place in
+the list. Extra columns pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +38,8 @@ GRAM = 3
 WINNOW = 2
 BAND = 8
 MIN_COVERAGE = 0.6
+#: Words that may stand between two parts of one notice.
+MAX_GAP = 48
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -46,10 +54,28 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("GPL-2.0-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("LGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
 )
 
 
@@ -83,31 +109,66 @@ class Hit:
     end_word: int
 
 
-def align(doc: list[int], template: list[int], diagonal: int, band: int = BAND) -> tuple[int, int, int, int]:
-    """Best local alignment in a band about a diagonal: score, matched words, start and end in doc."""
+@dataclass(frozen=True)
+class Part:
+    """An alignment: ranges of words of the text and of the template, and how many match."""
+
+    matched: int
+    start: int
+    end: int
+    t_start: int
+    t_end: int
+
+
+def align(doc: list[int], template: list[int], diagonal: int, band: int = BAND) -> Part:
+    """Best local alignment in a band about a diagonal."""
     n = len(doc)
-    best = (0, 0, 0, 0)
+    best, best_score = Part(0, 0, 0, 0, 0), 0
     width = 2 * band + 1
-    row = [(0, 0, -1)] * (width + 2)  # (score, matches, start) for each diagonal of the band, with a rim
+    row = [(0, 0, -1, 0)] * (width + 2)  # (score, matches, start, start in the template) for each diagonal, with a rim
     for j, want in enumerate(template):
-        new = [(0, 0, -1)] * (width + 2)
+        new = [(0, 0, -1, 0)] * (width + 2)
         for d in range(width):
             i = j + diagonal + d - band
             if not 0 <= i < n:
                 continue
-            score, hits, start = row[d + 1]
+            score, hits, start, t_start = row[d + 1]
             same = doc[i] == want
-            options = [(score + (2 if same else -1), hits + same, start if score > 0 else i)]
+            options = [(score + (2 if same else -1), hits + same, start if score > 0 else i, t_start if score > 0 else j)]
             for other in (row[d + 2], new[d]):  # a word of the template, or of the text, is skipped
-                options.append((other[0] - 1, other[1], other[2]))
+                options.append((other[0] - 1, *other[1:]))
             top = max(options, key=lambda o: (o[0], o[1], -o[2]))
-            new[d + 1] = top if top[0] > 0 else (0, 0, -1)
-            if same and (top[0], top[1]) > (best[0], best[1]):
-                best = (top[0], top[1], top[2], i + 1)
+            new[d + 1] = top if top[0] > 0 else (0, 0, -1, 0)
+            if same and (top[0], top[1]) > (best_score, best.matched):
+                best, best_score = Part(top[1], top[2], i + 1, top[3], j + 1), top[0]
         row = new
     return best
 
 
+def chained(parts: list[Part], max_gap: int = MAX_GAP) -> list[Part]:
+    """Parts of one template, in the text's order, joined where the next goes on behind both ends of the one before."""
+    out: list[Part] = []
+    for p in sorted(set(parts), key=lambda p: (p.start, p.t_start)):
+        last = out[-1] if out else None
+        if last is not None and last.t_end <= p.t_start and 0 <= p.start - last.end <= max_gap:
+            out[-1] = Part(last.matched + p.matched, last.start, p.end, last.t_start, p.t_end)
+        elif p.matched:
+            out.append(p)
+    return out
+
+
+def best_apart(hits: list[Hit]) -> list[Hit]:
+    """The best hits that don't overlap, by place. Those kept lie apart, so only neighbours can overlap another."""
+    starts: list[int] = []
+    kept: list[Hit] = []
+    for h in sorted(hits, key=lambda h: (round(h.matched / h.coverage) - 2 * h.matched, h.start_word, h.template)):
+        at = bisect(starts, h.start_word)
+        if (at == 0 or kept[at - 1].end_word <= h.start_word) and (at == len(kept) or h.end_word <= kept[at].start_word):
+            starts.insert(at, h.start_word)
+            kept.insert(at, h)
+    return kept
+
+
 class Index:
     """The templates' fingerprints."""
 
@@ -161,25 +222,22 @@ class Index:
         hits = []
         for t, diagonals in found.items():
             name, own = self.templates[t]
-            diagonals.sort()
+            band = min(BAND, len(own) // 2)
+            diagonals = sorted(set(diagonals))
             groups: list[list[int]] = []
             for d in diagonals:
-                if groups and d - groups[-1][0] <= BAND:
+                if groups and d - groups[-1][0] <= band:
                     groups[-1].append(d)
                 else:
                     groups.append([d])
+            parts = []
             for g in groups:
-                low = max(0, g[0] - BAND)
-                part = codes[low : g[-1] + len(own) + 2 * BAND]
-                _, matched, start, end = align(part, self.coded[t], g[len(g) // 2] - low)
-                if matched >= min_coverage * len(own):
-                    hits.append(Hit(name, t, matched / len(own), matched, low + start, low + end))
-        hits.sort(key=lambda h: (-h.matched, -h.coverage, h.start_word, h.template))
-        kept: list[Hit] = []
-        for h in hits:
-            if not any(h.start_word < k.end_word and k.start_word < h.end_word for k in kept):
-                kept.append(h)
-        return sorted(kept, key=lambda h: (h.start_word, h.template))
+                low = max(0, g[0] - band)
+                part = codes[low : g[-1] + len(own) + 2 * band]
+                p = align(part, self.coded[t], g[len(g) // 2] - low, band)
+                parts.append(Part(p.matched, low + p.start, low + p.end, p.t_start, p.t_end))
+            hits += [Hit(name, t, p.matched / len(own), p.matched, p.start, p.end) for p in chained(parts) if p.matched >= min_coverage * len(own)]
+        return best_apart(hits)
 
 
 _HIT = "array<struct<license:string,coverage:double,start:int,end:int>>"
