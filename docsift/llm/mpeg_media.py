@@ -3,10 +3,12 @@
 The writer makes valid variable-bitrate streams: an ID3v2.3 tag, a Xing frame (frames, bytes, seek table), and
 frames under CRC-16 whose granules are silent and whose ancillary data carry the payload. The parser reads tags
 (ID3v2, ID3v1), resynchronises on frame headers (a header counts if another of its kind, or the stream's end,
-follows it), reads the Xing or VBRI table, verifies checksums, and returns the exact duration and the offset of
-each frame. Decoding sound is out of scope.
+follows it), reads the Xing or VBRI table with its seek points and holds them against the frames, verifies checksums
+of Layers I and III, and returns the exact duration and the offset of each frame. Decoding sound, free-format frames
+and the checksum of Layer II, which needs its allocation tables, are out of scope.
 
-Defined results: a null text counts as empty; equal texts give equal bytes; bytes without frames parse to none.
+Defined results: a null text counts as empty; equal texts give equal bytes, repeated rows and ties too; bytes without
+frames parse to none; an empty table gives an empty one; very long texts become streams of as many frames as they need.
 """
 
 from __future__ import annotations
@@ -115,6 +117,12 @@ def side_bytes(f: Frame) -> int:
     return (17 if f.mono else 32) if f.version == 3 else (9 if f.mono else 17)
 
 
+def allocation_bytes(f: Frame, mode: int) -> int:
+    """Bytes of the bit allocation of a Layer I frame: 4 bits a subband and channel, from the joint ones on one for both."""
+    both = (4 * (mode >> 4 & 3) + 4 if mode >> 6 == 1 else 32) if not f.mono else 0
+    return (both + 32) // 2
+
+
 # Writing
 
 
@@ -179,6 +187,8 @@ class Stream:
     vbr: str = ""
     vbr_frames: int | None = None
     vbr_bytes: int | None = None
+    seek_points: list[int] = field(default_factory=list)  # bytes from the first frame, as the table tells
+    seek_ok: bool | None = None  # whether each lies within a frame of the place that it stands for
     offsets: list[int] = field(default_factory=list)
     lengths: list[int] = field(default_factory=list)
     samples: int = 0
@@ -219,14 +229,39 @@ def _vbr(frame: bytes, f: Frame, out: Stream) -> bool:
         if flags & 1:
             out.vbr_frames, at = int.from_bytes(frame[at : at + 4], "big"), at + 4
         if flags & 2:
-            out.vbr_bytes = int.from_bytes(frame[at : at + 4], "big")
+            out.vbr_bytes, at = int.from_bytes(frame[at : at + 4], "big"), at + 4
+        if flags & 4 and out.vbr_bytes and len(frame) >= at + 100:
+            out.seek_points = [b * out.vbr_bytes // 256 for b in frame[at : at + 100]]
         return True
     if frame[36:40] == b"VBRI":
         out.vbr, out.vbr_bytes, out.vbr_frames = "VBRI", int.from_bytes(frame[46:50], "big"), int.from_bytes(frame[50:54], "big")
+        entries, scale, width, _ = struct.unpack(">4H", frame[54:62]) if len(frame) >= 62 else (0, 0, 0, 0)
+        place = f.length
+        for k in range(entries if 0 < width <= 4 else 0):
+            own = frame[62 + k * width : 62 + (k + 1) * width]
+            if len(own) < width:
+                break
+            place += int.from_bytes(own, "big") * scale
+            out.seek_points.append(place)
         return True
     return False
 
 
+def _check_seek(out: Stream, head: int, head_length: int) -> None:
+    """Xing: 100 places in time, in 256ths of the bytes. VBRI: the bytes of equal numbers of frames, added up."""
+    n, points = len(out.offsets), out.seek_points
+    if not points or not n:
+        return
+    wide = max(max(out.lengths), head_length)
+    if out.vbr == "VBRI":
+        ends = [*(at - head for at in out.offsets[1:]), out.offsets[-1] + out.lengths[-1] - head]
+        each = -(-n // len(points))
+        out.seek_ok = all(abs(p - ends[min((k + 1) * each, n) - 1]) <= wide for k, p in enumerate(points))
+    else:
+        step = (out.vbr_bytes or 0) // 256 + 1
+        out.seek_ok = all(abs(p - (out.offsets[min(k * n // 100, n - 1)] - head)) <= wide + step or p + step >= 255 * step for k, p in enumerate(points))
+
+
 def _alike(a: Frame, b: Frame | None) -> bool:
     return b is not None and (a.version, a.layer, a.rate) == (b.version, b.layer, b.rate)
 
@@ -236,7 +271,7 @@ def parse_stream(data: bytes) -> Stream:
     at, end = _id3v2(data, out.tags), len(data)
     # An ID3v1 tag, unless these bytes turn out to lie in a frame that ends with the stream.
     tag = end - 128 if end >= 128 and data[-128:-125] == b"TAG" else None
-    first = None
+    first, head, head_length = None, 0, 0
     while at + 4 <= end:
         if at == tag:
             out.tags.setdefault("TIT2", data[at + 3 : at + 33].rstrip(b"\0 ").decode("latin-1"))
@@ -254,18 +289,19 @@ def parse_stream(data: bytes) -> Stream:
                 at = there
                 continue
         if first is None:
-            first, out.rate = f, f.rate
+            first, out.rate, head, head_length = f, f.rate, at, f.length
             if f.layer == 3 and _vbr(data[at:after], f, out):
                 at = after
                 continue
-        if f.protected and f.layer == 3:
-            side = data[at + 6 : at + 6 + side_bytes(f)]
+        if f.protected and f.layer != 2:
+            side = data[at + 6 : at + 6 + (side_bytes(f) if f.layer == 3 else allocation_bytes(f, data[at + 3]))]
             out.checked += 1
             out.bad += _crc_of(data[at + 2 : at + 4] + side) != int.from_bytes(data[at + 4 : at + 6], "big")
         out.offsets.append(at)
         out.lengths.append(f.length)
         out.samples += f.samples
         at = after
+    _check_seek(out, head, head_length)
     return out
 
 
@@ -284,7 +320,8 @@ def read_payload(data: bytes, s: Stream) -> bytes:
 def feature_of(s: Stream) -> str:
     """Duration, sizes and a digest of the seek offsets, as text."""
     seek = hashlib.sha256(struct.pack(f"<{len(s.offsets)}Q", *s.offsets)).hexdigest()[:16]
-    return f"rate={s.rate};samples={s.samples};frames={len(s.offsets)};vbr={s.vbr};table_frames={s.vbr_frames};crc={s.checked - s.bad}/{s.checked};skipped={s.skipped};seek={seek}"
+    table = "none" if s.seek_ok is None else "ok" if s.seek_ok else "bad"
+    return f"rate={s.rate};samples={s.samples};frames={len(s.offsets)};vbr={s.vbr};table_frames={s.vbr_frames};table_seek={table};crc={s.checked - s.bad}/{s.checked};skipped={s.skipped};seek={seek}"
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -310,9 +347,9 @@ def store_audio(docs: DataFrame, text: str = "text", keep_text: bool = False, ou
 
 def read_audio(df: DataFrame, media: str = "media") -> DataFrame:
     """Replace a column of MPEG streams by what the parser finds: tags, exact duration (samples over rate), VBR table,
-    checksum counts, and the offset of each frame. A null stream has none."""
+    its seek points and whether they fit, checksum counts, and the offset of each frame. A null stream has none."""
     ship(df.sparkSession)
-    fields = passing(df, media, False, "tags", "rate", "samples", "vbr", "crc_checked", "crc_bad", "skipped_bytes", "frame_offsets")
+    fields = passing(df, media, False, "tags", "rate", "samples", "duration", "vbr", "vbr_frames", "vbr_bytes", "seek_points", "seek_ok", "crc_checked", "crc_bad", "skipped_bytes", "frame_offsets")
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +361,12 @@ def read_audio(df: DataFrame, media: str = "media") -> DataFrame:
                     "tags": pa.array([list(x.tags.items()) for x in s], pa.map_(pa.string(), pa.string())),
                     "rate": pa.array([x.rate for x in s], pa.int32()),
                     "samples": pa.array([x.samples for x in s], pa.int64()),
+                    "duration": pa.array([x.samples / x.rate if x.rate else 0.0 for x in s], pa.float64()),
                     "vbr": pa.array([x.vbr for x in s], pa.string()),
+                    "vbr_frames": pa.array([x.vbr_frames for x in s], pa.int64()),
+                    "vbr_bytes": pa.array([x.vbr_bytes for x in s], pa.int64()),
+                    "seek_points": pa.array([x.seek_points for x in s], pa.list_(pa.int64())),
+                    "seek_ok": pa.array([x.seek_ok for x in s], pa.bool_()),
                     "crc_checked": pa.array([x.checked for x in s], pa.int64()),
                     "crc_bad": pa.array([x.bad for x in s], pa.int64()),
                     "skipped_bytes": pa.array([x.skipped for x in s], pa.int64()),
@@ -332,12 +374,13 @@ def read_audio(df: DataFrame, media: str = "media") -> DataFrame:
                 }
             )
 
-    own = "tags map<string,string>, rate int, samples long, vbr string, crc_checked long, crc_bad long, skipped_bytes long, frame_offsets array<long>"
+    own = "tags map<string,string>, rate int, samples long, duration double, vbr string, vbr_frames long, vbr_bytes long, seek_points array<long>, seek_ok boolean, crc_checked long, crc_bad long, skipped_bytes long, frame_offsets array<long>"
     return df.mapInArrow(run, ddl(fields, own))
 
 
 def op10_mpeg_media(documents: DataFrame) -> DataFrame:
-    """One row per document: payload and stream digests and features, from the stored bytes read back."""
+    """One row per document: payload and stream digests and features, from the stored bytes read back, with the exact
+    duration (samples at a rate) and the offset of each frame."""
     ship(documents.sparkSession)
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
@@ -347,10 +390,11 @@ def op10_mpeg_media(documents: DataFrame) -> DataFrame:
             for data, n in zip(batch.column("media").to_pylist(), batch.column("n_bytes").to_pylist()):
                 s = parse_stream(data)
                 payload = read_payload(data, s)
-                rows.append((n, len(payload), sha(payload), zlib.crc32(payload[-16:]), len(data), sha(data), feature_of(s)))
-            names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {k: pa.array([r[i] for r in rows], pa.string() if i in (2, 5, 6) else pa.int64()) for i, k in enumerate(names)})
+                rows.append((n, len(payload), sha(payload), zlib.crc32(payload[-16:]), len(data), sha(data), feature_of(s), s.samples, s.rate, s.offsets))
+            names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_samples", "sample_rate", "frame_offsets")
+            kinds = {2: pa.string(), 5: pa.string(), 6: pa.string(), 9: pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {k: pa.array([r[i] for r in rows], kinds.get(i, pa.int64())) for i, k in enumerate(names)})
 
     sized = documents.select("doc_id", "text", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_bytes"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return store_audio(sized).mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return store_audio(sized).mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_samples long, sample_rate long, frame_offsets array<long>")
