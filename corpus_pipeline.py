@@ -1,10 +1,15 @@
 """A corpus pipeline of five stages, each from docsift.llm.
 
-1. Language ID: rejected documents go. The model is fitted on a bounded sample of the labelled rows of its input.
+1. Language ID: rejected documents go. The model is fitted on a bounded sample of the labelled rows of its input; where
+   no row is labelled there is no language to be unlike, so all documents stay.
 2. SimHash near-duplicates: of each component one row stays, that with the smallest doc_id; null ids come last.
 3. Decontamination: documents that hold a window of a benchmark item go.
 4. Secrets: found spans are replaced by a mark; n_chars follows.
-5. BPE: the documents as token ids.
+5. BPE: the documents as token ids, with all their columns but the text.
+
+A null or empty text has no letter (stage 1 drops it), no words (stage 3 keeps it), no secrets and no tokens. Empty tables
+give empty results; texts are taken whole whatever their length; repeated rows are near copies of each other. Any extra
+column passes through under its name; stage 5 replaces one that is called n_tokens or token_ids.
 """
 
 from __future__ import annotations
@@ -21,8 +26,10 @@ CORE = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters, and those too unlike every language of the labels."""
+    """Drop documents without letters, and those too unlike every language of the labels. Without labels all stay."""
     model = langid.train(docs.filter(langid.in_sample(F.col("doc_id"))))
+    if not model.langs:
+        return docs
     return shielded(docs, CORE, lambda df: langid.identify(df, model).filter(~F.col("lang_rejected")))
 
 
@@ -57,8 +64,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, as little-endian unsigned 32-bit integers."""
-    return bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"))
+    """Token ids of each document, as little-endian unsigned 32-bit integers, beside its other columns."""
+    made = ("n_tokens", "token_ids")
+    own = {c: f"__extra_{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    out = bpe.encode_texts(docs.withColumnsRenamed(own))
+    kept = [c for c in docs.columns if c != "text" and c not in made]
+    return out.select(*(F.col(own[c]).alias(c) for c in kept), *made)
 
 
 STAGES = [
