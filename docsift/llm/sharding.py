@@ -44,7 +44,7 @@ class SlotMap:
     def rebalanced(self, bytes_of: list[int], shards: int | None = None) -> SlotMap:
         """The next version: slots leave shards above the mean, largest first where they fit, for the lightest shard.
 
-        More shards than before start empty; fewer give all their slots away."""
+        More shards than before start empty; fewer give all their slots away. Where moving brings nothing, all stay."""
         shards = shards or self.shards
         mean = sum(bytes_of) / shards
         held: list[list[int]] = [[] for _ in range(shards)]
@@ -72,7 +72,9 @@ class SlotMap:
             b, shard = heapq.heappop(lightest)
             shard_of[slot] = shard
             heapq.heappush(lightest, (b + bytes_of[slot], shard))
-        return SlotMap(self.version + 1, shards, tuple(shard_of))
+        after = SlotMap(self.version + 1, shards, tuple(shard_of))
+        spread = lambda m: max(m.loads(bytes_of)) - min(m.loads(bytes_of))
+        return after if shards != self.shards or spread(after) < spread(self) else SlotMap(after.version, shards, self.shard_of)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(slot, shard, self.shards) for slot, shard in enumerate(self.shard_of)]
