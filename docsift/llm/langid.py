@@ -22,10 +22,10 @@ from __future__ import annotations
 
 import pickle
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -50,20 +50,19 @@ _DOCS, _TOGETHER = 64, 400_000
 _REMEMBERED_CHARS = 20_000_000
 
 
-def _letters() -> re.Pattern:
-    """Runs of letters: what Python takes for words, less digits, underscores and other numbers."""
-    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
-    return re.compile(f"[^\\W\\d_{''.join(map(re.escape, odd))}]+")
-
-
-_WORD = _letters()
+#: Runs of what Python takes for word characters, less digits and underscores; a few other numbers are left in them.
+_WORD = re.compile(r"[^\W\d_]+")
 _EDGE = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of characters of category L, in lower case."""
+    words = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return ["".join(run) for w in words for letters, run in groupby(w, str.isalpha) if letters]
 
 
 def _grams(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
