@@ -235,16 +235,15 @@ def recall_mrr(spark, d):
     """For each benchmark item that a document holds, the rank of the first such document by BM25."""
     chunks, q = documents_as_chunks(spark, d), _prepared(spark, d)
     best = lexical.top_k(lexical.bm25(chunks, q), 10)
-    head = F.substr("query_text", F.lit(1), F.lit(60))
-    held = best.join(chunks.select("chunk_id", "text"), "chunk_id").join(q.select("query_id", head.alias("head")), "query_id")
-    first = held.filter(F.contains("text", F.col("head"))).groupBy("query_id").agg(F.min("rank").alias("rank"))
+    held = best.join(chunks.select("chunk_id", "text"), "chunk_id").join(q.select("query_id", "query_text"), "query_id")
+    first = held.filter(F.contains("text", F.col("query_text"))).groupBy("query_id").agg(F.min("rank").alias("rank"))
     m = retrieval.metrics(q.select("query_id").join(first, "query_id", "left"))
     return m.select("n_cases", *(F.round(c, 6).alias(c) for c in m.columns if c != "n_cases"))
 
 
 SQL["recall_mrr"] = f"""WITH {BM25_SQL},
 best AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 10),
-hit AS (SELECT query_id, min(rank) AS rank FROM best JOIN documents ON doc_id = chunk_id JOIN benchmark b ON b.item_id = query_id WHERE contains(documents.text, b.text[1:60]) GROUP BY query_id),
+hit AS (SELECT query_id, min(rank) AS rank FROM best JOIN documents ON doc_id = chunk_id JOIN benchmark b ON b.item_id = query_id WHERE contains(documents.text, b.text) GROUP BY query_id),
 r AS (SELECT item_id, rank FROM benchmark LEFT JOIN hit ON query_id = item_id)
 SELECT count(*) AS n_cases, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5,
   round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_10, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 / rank ELSE 0.0 END), 6) AS mrr FROM r"""
@@ -353,10 +352,15 @@ SQL["citation_labels"] = """SELECT page_id, 'file' || page_id || '.pdf' || CASE
 @query
 def answer_evidence(spark, d):
     """the line of a turn that cites source 1."""
-    answer = F.concat(F.lit("- first ["), (F.col("turn") % 2 + 1).cast("string"), F.lit("] line\n2) "), F.substr("text", F.lit(1), F.lit(40)), F.lit(" [1]\nИсточники: [1]"))
+    answer = F.concat(F.lit("- first ["), (F.col("turn") % 2 + 1).cast("string"), F.lit("] line\n2) "), "text", F.lit(" [1]\nИсточники: [1]"))
     return table(spark, d, "conversations").select("conv_id", "turn", citations.evidence_line(answer, F.lit(1)).alias("evidence"))
 
 
+SQL["answer_evidence"] = r"""WITH l AS (SELECT conv_id, turn, string_split('2) ' || text, chr(10))[-1] AS x FROM conversations),
+c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(x || '  ', '^[\s\-–—*•\d.)]+', ''), '\s+', ' ', 'g')) AS x FROM l)
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'first line' WHEN length(x) > 700 THEN trim(x[1:700]) || '...' ELSE x END AS evidence FROM c"""
+
+
 @query
 def best_rank_window(spark, d):
     """Each event's rank by value among its user's, and the user's best."""

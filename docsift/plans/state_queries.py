@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.functions.money import compare_money, money, money_text, price_mentions
+from docsift.functions.money import LABELLED, NUMBER, SPACE, compare_money, money, money_text, price_mentions
 from docsift.functions.text import tokens
 from docsift.operators import audit, jobs, maintenance, matching
 from docsift.plans.common import EVERY, table, tokens_sql
@@ -303,6 +303,12 @@ def question_sources(spark, d):
     return m.select("question_id", "source_id", "score", F.array_join("matched_tokens", " ").alias("matched_tokens"), "confident")
 
 
+SQL["question_sources"] = r"""WITH n AS (SELECT n_nationkey::BIGINT AS k, list_distinct(list_filter(string_split(trim(regexp_replace(lower(n_name), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: length(x) >= 2)) AS t FROM nation),
+p AS (SELECT q.k AS question_id, 'n' || s.k AS source_id, list_sort(list_intersect(q.t, s.t)) AS m FROM n q, n s),
+r AS (SELECT *, 6.5 * len(m)::DOUBLE AS score, row_number() OVER w AS r, lead(len(m)) OVER w AS next FROM p WHERE len(m) > 0 WINDOW w AS (PARTITION BY question_id ORDER BY len(m) DESC, source_id))
+SELECT question_id, source_id, score, array_to_string(m, ' ') AS matched_tokens, next IS NULL OR len(m) > next AS confident FROM r WHERE r = 1"""
+
+
 @query
 def runner_up_margin(spark, d):
     """orders' best and second line by price, and whether the margin is 1.5 thousand or more."""
@@ -488,10 +494,26 @@ best AS (SELECT record_id, arg_min({'chunk_id': chunk_id, 'amount': amount, 'q':
 @query
 def price_mentions_found(spark, d):
     """Price mentions in conversation turns with amounts put in."""
-    t = F.concat("text", F.lit("\nИтого по смете: 1 250 000,50 руб. и цена 45"))
+    t = F.concat("text", F.lit("\nИтого по смете: 1\u00a0250\u00a0000,50 ₽ и цена 45 00, цена: 7\u202f000.5 руб. "), F.col("conv_id").cast("string"), F.lit(" рублей"))
     return table(spark, d, "conversations").select("conv_id", "turn", F.explode(price_mentions(t)).alias("m")).select("conv_id", "turn", "m.amount", "m.label", "m.pattern")
 
 
+_MENTION = """list_transform(list_zip(a{k}, starts{k}), lambda x: {{'amount': replace(regexp_replace(x[1], '[{sp}]+', '', 'g'), ',', '.'), 'label': trim(string_split(t[greatest(x[2] - {reach}, 0) + 1:x[2]], chr(10))[-1]), 'pattern': '{name}'}})"""
+SQL["price_mentions_found"] = (
+    "WITH b AS (SELECT conv_id, turn, text || chr(10) || 'Итого по смете: 1' || chr(160) || '250' || chr(160) || '000,50 ₽ и цена 45 00, цена: 7' || chr(8239) || '000.5 руб. ' || conv_id || ' рублей' AS t FROM conversations),\n"
+    + "m AS (SELECT *, "
+    + ", ".join(f"regexp_extract_all(t, '{p}', 0) AS m{k}, regexp_extract_all(t, '{p}', 1) AS a{k}, regexp_split_to_array(t, '{p}') AS g{k}" for k, p in ((1, LABELLED.replace("(?iu)", "(?i)")), (2, NUMBER.replace("(?iu)", "(?i)"))))
+    + " FROM b),\ns AS (SELECT *, "
+    + ", ".join(f"list_transform(range(1, len(m{k}) + 1), lambda i: list_sum(list_transform(g{k}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m{k}[1:i - 1], lambda x: length(x))), 0)) AS starts{k}" for k in (1, 2))
+    + " FROM m),\nf AS (SELECT conv_id, turn, unnest("
+    + _MENTION.format(k=1, sp=SPACE, reach=80, name="labeled_price")
+    + " || "
+    + _MENTION.format(k=2, sp=SPACE, reach=100, name="currency_number")
+    + ") AS x, generate_subscripts(a1 || a2, 1) AS i FROM s)\n"
+    + r"SELECT conv_id, turn, x.amount AS amount, x.label AS label, x.pattern AS pattern FROM f WHERE regexp_matches(x.amount, '^\d+(\.\d+)?$') AND x.amount::DOUBLE > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn, x.amount, lower(regexp_replace(x.label, '\s+', ' ', 'g')) ORDER BY i) = 1"
+)
+
+
 @query
 def price_argmax(spark, d):
     """The candidate chosen for each record."""

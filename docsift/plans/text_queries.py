@@ -181,6 +181,11 @@ def html_title(spark, d):
     return table(spark, d, "pages").select("page_id", links.html_title(F.col("html")).alias("title"))
 
 
+SQL["html_title"] = r"""WITH t AS (SELECT page_id, regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1) AS t FROM pages),
+e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS t FROM t)
+SELECT page_id, trim(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))[1:160] AS title FROM e"""
+
+
 @query
 def html_text(spark, d):
     """pages without tags."""
