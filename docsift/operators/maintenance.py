@@ -20,10 +20,13 @@ def replace_partition(current: DataFrame, fresh: DataFrame, key: str = "source_i
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
-    """One row for each key: the latest by version; of equals, a change."""
+    """One row for each key: the latest by version; of equals, a change, then the greatest by its other columns.
+
+    An aggregate of structs, so it combines before the shuffle however many rows a key has."""
     both = current.withColumn("_new", F.lit(0)).unionByName(changes.select(*current.columns).withColumn("_new", F.lit(1)))
-    order = Window.partitionBy(key).orderBy(F.desc(version), F.desc("_new"), *(F.asc(c) for c in current.columns if c not in (key, version)))
-    return both.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_new")
+    rest = [c for c in current.columns if c not in (key, version)]
+    best = both.groupBy(key).agg(F.max(F.struct(version, "_new", *rest)).alias("_r"))
+    return best.select(*(F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in current.columns))
 
 
 def cascade_delete(removed: DataFrame, key: str, **tables: DataFrame) -> dict[str, DataFrame]:

@@ -26,17 +26,20 @@ def token_score(token: Column, variants: Column) -> Column:
     return title + full
 
 
-def match_sources(questions: DataFrame, sources: DataFrame) -> DataFrame:
+def match_sources(questions: DataFrame, sources: DataFrame, block: int = 100_000) -> DataFrame:
     """(question_id, source_id, score, matched_tokens, rank, confident) of every source that a question scores for.
 
-    sources is the catalogue: a small table, whose count is checked; it meets each distinct token of the questions
-    once, and what is found goes to the questions by an equi-join on the token."""
-    if sources.count() > 100_000:
-        raise ValueError("match_sources takes a catalogue of at most 100000 sources")
+    sources is the catalogue. It is counted and dealt into blocks of at most `block` rows, each sent to the questions'
+    distinct tokens; what is found goes to the questions by an equi-join on the token."""
+    blocks = max(1, -(-sources.count() // block))
     profiles = source_profiles(sources.filter("source_id is not null and path is not null"))
     asked = questions.select("question_id", F.explode(match_tokens(F.col("question"))).alias("token"))
     tokens = asked.select("token").distinct().withColumn("_v", token_variants(F.col("token")))
-    scored = tokens.crossJoin(F.broadcast(profiles)).select("token", "source_id", token_score(F.col("token"), F.col("_v")).alias("s")).filter("s > 0")
+    scored = None
+    for i in range(blocks):
+        own = profiles if blocks == 1 else profiles.filter(F.pmod(F.xxhash64("source_id"), F.lit(blocks)) == i)
+        part = tokens.crossJoin(F.broadcast(own)).select("token", "source_id", token_score(F.col("token"), F.col("_v")).alias("s")).filter("s > 0")
+        scored = part if scored is None else scored.unionByName(part)
     found = asked.join(scored, "token").groupBy("question_id", "source_id").agg(F.sum("s").alias("score"), F.sort_array(F.collect_set("token")).alias("matched_tokens"))
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc(F.size("matched_tokens")), "source_id")
     df = found.withColumn("rank", F.row_number().over(order).cast("long"))

@@ -88,11 +88,22 @@ def rerank(ranked: DataFrame, scores: DataFrame, candidates: int = RERANK_TOP, k
     return df.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def rerank_scores(ranked: DataFrame, scorer: Callable, text: str = "text", max_chars: int = 4000, candidates: int = RERANK_TOP, key: str = "chunk_id", query_key: str = "query_id", query_text: str = "query_text") -> DataFrame:
-    """(query_key, key, rerank_score) by scorer(queries, texts), two Pandas series to one of floats or nulls."""
+def rerank_scores(ranked: DataFrame, scorer: Callable, text: str = "text", max_chars: int = 4000, candidates: int = RERANK_TOP, key: str = "chunk_id", query_key: str = "query_id", query_text: str = "query_text", fail_open: bool = True) -> DataFrame:
+    """(query_key, key, rerank_score) by scorer(queries, texts), two Pandas series to one of floats or nulls.
+
+    fail_open: where the scorer raises, its rows have no score, and so keep their order."""
+    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
-    udf = pandas_udf(scorer, "double")
+    def scored(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        try:
+            return scorer(queries, texts)
+        except Exception:
+            if not fail_open:
+                raise
+            return pd.Series([None] * len(texts), dtype="float64")
+
+    udf = pandas_udf(scored, "double")
     first = ranked.filter(F.col("rank") <= candidates)
     return first.select(query_key, key, udf(F.col(query_text), F.substr(text, F.lit(1), F.lit(max_chars))).alias("rerank_score"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docsift.functions import citations, links, paths, privacy
+from docsift.functions import citations, links, paths, payloads, privacy
 from docsift.functions.text import chat_title, human_size, match_text, match_tokens, phrase_boost
 from docsift.operators import audit, chunking, jobs, lexical, maintenance, paged, quality
 from docsift.plans import service
@@ -347,3 +348,65 @@ def source_list(spark, d):
 
 SQL["source_list"] = f"""WITH {_FILES}, c AS (SELECT source, count(*) AS files, sum(chunks)::BIGINT AS chunks FROM files GROUP BY source)
 SELECT 'src' || n_nationkey AS source_id, n_name AS title, n_name || '#' || sha256('/data/' || n_name)[1:8] AS path, coalesce(files, 0) AS files, coalesce(chunks, 0) AS chunks FROM nation LEFT JOIN c ON c.source = 'src' || n_nationkey"""
+
+
+@query
+def rerank_payloads(spark, d):
+    """JS4, B4: answers of a reranker in several shapes, and the scores that they give."""
+    k = F.col("event_id") % 4
+    n = _s(F.col("event_id") % 100)
+    row = lambda i, score: F.concat(F.lit("{"), F.lit(i), F.lit(", "), F.lit(score), n, F.lit("}"))
+    good = F.concat(F.when(k == 0, '{"results": [').otherwise('{"data": ['), row('"index": 1', '"relevance_score": 0.'), F.lit(","), row('"document": {"index": 2}', '"score": 1'), F.lit(","), row('"id": "3"', '"relevanceScore": -'), F.lit(',{"index": 4},{"index": 1.5, "score": 2}]}'))
+    r = payloads.rerank_rows(F.when(k < 2, good).when(k == 2, '{"error": "no"}').otherwise("not JSON"))
+    return table(spark, d, "events").select("event_id", F.array_join(F.transform(r, lambda x: x["index"].cast("string")), ",").alias("order"), F.round(F.get(r, F.lit(0))["score"], 6).alias("best"))
+
+
+SQL["rerank_payloads"] = """SELECT event_id, CASE WHEN event_id % 4 < 2 THEN '2,1,3' ELSE '' END AS "order", CASE WHEN event_id % 4 < 2 THEN ('1' || (event_id % 100))::DOUBLE END AS best FROM events"""
+
+
+@query
+def model_payloads(spark, d):
+    """JS5: lists of models in several shapes."""
+    k, n = F.col("p_partkey") % 4, _s("p_partkey")
+    item = F.concat(F.lit('[{"id": "m'), n, F.lit('", "type": "llm", "state": "loaded"}, {"modelKey": "k'), n, F.lit('", "object": "model", "loaded": false}, {"type": "x"}]'))
+    text = F.when(k == 0, F.concat(F.lit('{"data": '), item, F.lit("}"))).when(k == 1, F.concat(F.lit('{"models": '), item, F.lit("}"))).when(k == 2, item).otherwise('{"x": 1}')
+    r = payloads.model_rows(text)
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(r, lambda m: F.concat_ws(":", m["id"], m["type"], m["state"], m["loaded"].cast("string"))), ",").alias("models"))
+
+
+SQL["model_payloads"] = "SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN 'm' || p_partkey || ':llm:loaded:true,k' || p_partkey || ':model:not-loaded:false' ELSE '' END AS models FROM part"
+
+
+@query
+def model_choices(spark, d):
+    """The model that a setting means: exact, by case, by key, by the best variant, or none."""
+    models = F.array(*map(F.lit, ("pub/Alpha-7b@q4", "pub/Alpha-7b@q8", "Beta", "gamma-1")))
+    wanted = F.get(F.array(*map(F.lit, ("Beta", "beta", "GAMMA_1", "alpha-7B", "pub/alpha-7b@q4", "none", ""))), (F.col("p_partkey") % 7).cast("int"))
+    return table(spark, d, "part").select("p_partkey", payloads.matched_model(wanted, models).alias("model"))
+
+
+SQL["model_choices"] = "SELECT p_partkey, ['Beta', 'Beta', 'gamma-1', 'pub/Alpha-7b@q8', 'pub/Alpha-7b@q4', '', ''][p_partkey % 7 + 1] AS model FROM part"
+
+
+@query
+def merged_maps(spark, d):
+    """MP3, MP2: events' properties under others that win."""
+    e = table(spark, d, "events")
+    own = F.from_json("props", "map<string,string>")
+    other = F.create_map(F.lit("k"), F.when(F.col("event_id") % 3 > 0, F.lit("new")), F.lit("z"), _s("event_id"))
+    m = payloads.merged_map(own, F.when(F.col("event_id") % 2 == 0, other).otherwise(F.create_map(F.lit("z"), F.lit("1"))))
+    return e.select("event_id", m["k"].alias("k"), m["z"].alias("z"), F.size(m).cast("long").alias("n"))
+
+
+SQL["merged_maps"] = "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 > 0 THEN 'new' END ELSE json_extract_string(props, '$.k') END AS k, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR ELSE '1' END AS z, 2::BIGINT AS n FROM events"
+
+
+@query
+def natural_order(spark, d):
+    """Names of volumes in the order in which people read their numbers."""
+    name = F.concat(F.when(F.col("p_partkey") % 2 == 0, "Том ").otherwise("том "), _s(F.col("p_partkey") % 250), F.lit("-"), _s("p_partkey"))
+    p = table(spark, d, "part").select("p_partkey", payloads.natural_key(name).alias("_key"))
+    return p.select("p_partkey", F.row_number().over(Window.partitionBy((F.col("p_partkey") % 5).alias("_g")).orderBy("_key")).cast("long").alias("place"))
+
+
+SQL["natural_order"] = "SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey % 250, p_partkey) AS place FROM part"

@@ -19,15 +19,19 @@ def _fs(spark: SparkSession, path: str):
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the table, then swap by renames: readers see the old rows or the new, and df may read the table."""
+    """Write beside the table, then swap by two renames; df may read the table. Readers see the old rows or the new, but
+    for the moment between the renames; if the second fails, the old table is put back."""
     spark = df.sparkSession
     fs, target, jvm = _fs(spark, path)
     staged, old = jvm.org.apache.hadoop.fs.Path(path + ".next"), jvm.org.apache.hadoop.fs.Path(path + ".old")
     df.write.mode("overwrite").parquet(path + ".next")
     fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"can't rename {path}")
     if not fs.rename(staged, target):
+        if had:
+            fs.rename(old, target)
         raise OSError(f"can't rename {path}.next")
     fs.delete(old, True)
 
