@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,7 +93,6 @@ def rerank_scores(ranked: DataFrame, scorer: Callable, text: str = "text", max_c
     """(query_key, key, rerank_score) by scorer(queries, texts), two Pandas series to one of floats or nulls.
 
     fail_open: where the scorer raises, its rows have no score, and so keep their order."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     def scored(queries: pd.Series, texts: pd.Series) -> pd.Series:
