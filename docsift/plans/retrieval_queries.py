@@ -326,6 +326,14 @@ def evidence_tokens(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.size(t).cast("long").alias("n_tokens"), weight.cast("long").alias("weight"))
 
 
+_FOUND = " || ".join(f"regexp_extract_all(t, '{p.replace('(?iu)', '(?i)')}', 1)" for p in (citations._EMAIL, citations._URL, citations._NUMBER))
+SQL["evidence_tokens"] = rf"""
+WITH c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '\[(\d+)\]', ' ', 'g'), '\s+', ' ', 'g'))[1:900] AS t FROM conversations),
+f AS (SELECT conv_id, turn, list_filter(list_transform({_FOUND} || list_filter(regexp_extract_all(t, '{citations._WORD}', 1), lambda x: NOT regexp_matches(x, '^\d+$')), lambda x: trim(x)), lambda x: x <> '') AS f FROM c),
+o AS (SELECT conv_id, turn, list_filter(f, lambda x, i: list_position(list_transform(f, lambda y: lower(y)), lower(x)) = i)[1:32] AS l FROM f)
+SELECT conv_id, turn, len(l)::BIGINT AS n_tokens, coalesce(list_sum(list_transform(l, lambda x: CASE WHEN contains(x, '@') OR regexp_matches(x, '(?i)^https?://') THEN 8 WHEN regexp_matches(x, '\d') THEN 4 WHEN length(x) >= 6 THEN 2 ELSE 1 END)), 0)::BIGINT AS weight FROM o"""
+
+
 @query
 def evidence_spans(spark, d):
     """The lines of a document that fit the benchmark item with its number best."""

@@ -328,6 +328,12 @@ def paged_chunks(spark, d):
     return c.select("vol", "page", "chunk_ord", "document_code", "sheet", "sheet_type", "levels", "page_kind", F.length("text").cast("long").alias("n_chars"))
 
 
+SQL["paged_chunks"] = """WITH p AS (SELECT (p_partkey // 20)::BIGINT AS vol, p_partkey::INT AS page, p_brand AS code, p_size::VARCHAR AS sheet, repeat(p_name, 40) AS b, p_brand || ' | лист ' || p_size || ' | plan | отметки -9,300|-5,700' AS h FROM part),
+w AS (SELECT *, greatest(200, 600 - length(h) - 1) AS n FROM p)
+SELECT vol, page, i::INT AS chunk_ord, code AS document_code, sheet, 'plan' AS sheet_type, '-9,300|-5,700' AS levels, 'drawing' AS page_kind, length(h) + 1 + length(b[i * n + 1:(i + 1) * n]) AS n_chars
+FROM w, LATERAL (SELECT unnest(range(0, greatest(1, ceil(length(b) / n::DOUBLE)::INT))) AS i)"""
+
+
 @query
 def tender_types(spark, d):
     """Conversation turns as tender papers, by document type."""
