@@ -67,7 +67,11 @@ def chunk_with_places(docs: DataFrame, key: str, text: str = "text", max_chars:
 
     Each chunk's own lines give its facts; what precedes comes from windows over the document's chunks. The range
     of pages starts with the page that the chunk begins on."""
-    chunks = chunk_frame(docs.select(key, text), text, max_chars, overlap)
+    return placed(chunk_frame(docs.select(key, text), text, max_chars, overlap), key)
+
+
+def placed(chunks: DataFrame, key: str) -> DataFrame:
+    """Add those facts to chunks (key, chunk_index, chunk_text)."""
     facts = F.transform(F.split("chunk_text", "\n"), heading_facts)
     of = lambda name: F.filter(F.transform("_facts", lambda f: f[name]), lambda x: x.isNotNull())
     df = chunks.withColumn("_facts", facts).withColumns({f"_{n}": of(n) for n in ("page", "sheet", "section", "row")})
@@ -76,9 +80,7 @@ def chunk_with_places(docs: DataFrame, key: str, text: str = "text", max_chars:
     earlier = {f"_was_{n}": F.last(last(f"_{n}"), ignorenulls=True).over(before) for n in ("page", "sheet", "section")}
     df = df.withColumns(earlier)
     return df.select(
-        key,
-        "chunk_index",
-        "chunk_text",
+        *chunks.columns,
         F.least("_was_page", F.array_min("_page")).alias("page_start"),
         F.greatest("_was_page", F.array_max("_page")).alias("page_end"),
         F.coalesce(last("_sheet"), "_was_sheet").alias("sheet_name"),

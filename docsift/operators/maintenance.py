@@ -59,6 +59,14 @@ def changed_files(scan: DataFrame, manifest: DataFrame, keys: tuple[str, ...] =
     return scan.join(manifest.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def file_actions(scan: DataFrame, manifest: DataFrame, key: str = "file_id", same: tuple[str, ...] = ("mtime_ms", "size")) -> DataFrame:
+    """(key, action) of each file of either: new, changed, unchanged (all of `same` equal) or gone. One join."""
+    now, was = F.struct(*(F.col(c).cast("long") for c in same)), F.struct(*(F.col(c).cast("long") for c in same))
+    df = scan.select(key, now.alias("_now")).join(manifest.select(key, was.alias("_was")), key, "full")
+    action = F.when(F.col("_was").isNull(), "new").when(F.col("_now").isNull(), "gone").when(F.col("_now") == F.col("_was"), "unchanged").otherwise("changed")
+    return df.select(key, action.alias("action"))
+
+
 def merge_vectors(old: DataFrame, fresh: DataFrame, key: str = "chunk_id") -> DataFrame:
     return old.join(fresh.select(key), key, "left_anti").select(*old.columns).unionByName(fresh.select(*old.columns))
 

@@ -16,15 +16,18 @@ SCAN = "path string, modificationTime timestamp, length long"
 MAX_COLUMNS, MAX_CELL = 80, 2000
 
 
-def scan_folders(spark: SparkSession, roots: list[str], content: bool = False) -> DataFrame:
+def scan_folders(spark: SparkSession, roots: list[str], content: bool = False, since_ms: int | None = None) -> DataFrame:
     """Files below the roots, recursively: path, relative_path, root, mtime_ms, size[, content].
 
-    With more than one root, relative paths start with the root's name in brackets. Spark lists neither empty files nor
+    With more than one root, relative paths start with the root's name in brackets. since_ms: older files are left out
+    by the listing, their contents unread. Spark lists neither empty files nor
     those whose names start with a dot or an underscore."""
     out = None
     roots = list(dict.fromkeys(r.rstrip("/") for r in roots))
     for root in roots:
         df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        if since_ms is not None:
+            df = df.filter(F.col("modificationTime") >= F.timestamp_millis(F.lit(since_ms)))
         label = f"[{root.rsplit('/', 1)[-1]}]/" if len(roots) > 1 else ""
         tail = F.substring_index("path", root.split("://")[-1].rstrip("/") + "/", -1)
         columns = ["path", F.concat(F.lit(label), tail).alias("relative_path"), F.lit(root).alias("root"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size")]
@@ -142,46 +145,118 @@ def docx_text(content: bytes) -> str:
     return "\n\n".join("".join(t.text or "" for t in p.iter(f"{w}t")) for p in root.iter(f"{w}p"))
 
 
-def xlsx_rows(content: bytes) -> list[tuple[str, int, list[str]]]:
-    """(sheet, row, cells) of an XLSX file, from its XML: text and numbers as they are stored, cut to MAX_CELL."""
+#: Built-in number formats that show dates or times.
+DATE_FORMATS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47)
+
+
+def _cell_text(value: str) -> str:
+    """A cell's lines without blanks at their ends, at most one empty line in a row."""
+    import re
+
+    lines = re.sub(r"[ \t]+\n", "\n", value.replace("\r\n", "\n").replace("\r", "\n"))
+    return re.sub(r"\n{3,}", "\n\n", lines).strip()
+
+
+def _shows_date(code: str) -> bool:
+    """Whether a number format has a part of a date or time outside of quotes, brackets and escapes."""
+    import re
+
+    return bool(re.search("[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code.split(";")[0].lower())))
+
+
+def xlsx_rows(content: bytes) -> list[tuple[str, int, dict[int, str]]]:
+    """(sheet, row, {column: text}) of an XLSX file, from its XML; rows and cells without text are left out.
+
+    Rich text is joined, without its readings; of a formula its stored result counts; dates are shown as days; a cell with
+    a link has its own text. Texts are cut to MAX_CELL."""
+    import datetime
     import re
     import zipfile
     from xml.etree import ElementTree
 
     m = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+    def rich(item) -> str:
+        return "".join(t.text or "" for t in [*item.findall(f"{m}t"), *item.findall(f"{m}r/{m}t")])
+
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{m}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{m}si")]
+        part = lambda name: ElementTree.fromstring(z.read(name)) if name in names else None
+        strings, styles, book = part("xl/sharedStrings.xml"), part("xl/styles.xml"), ElementTree.fromstring(z.read("xl/workbook.xml"))
+        shared = [] if strings is None else [rich(si) for si in strings.iter(f"{m}si")]
+        own = {} if styles is None else {n.get("numFmtId"): _shows_date(n.get("formatCode", "")) for n in styles.iter(f"{m}numFmt")}
+        cell_formats = None if styles is None else styles.find(f"{m}cellXfs")
+        dated = [] if cell_formats is None else [own.get(x.get("numFmtId"), int(x.get("numFmtId", "0")) in DATE_FORMATS) for x in cell_formats]
+        properties = book.find(f"{m}workbookPr")
+        since_1904 = properties is not None and properties.get("date1904") in ("1", "true")
+
+        def text_of(c) -> str:
+            kind, v = c.get("t", "n"), c.find(f"{m}v")
+            if kind == "inlineStr":
+                held = c.find(f"{m}is")
+                return "" if held is None else rich(held)
+            raw = "" if v is None else v.text or ""
+            if not raw:
+                return ""
+            if kind == "s":
+                return shared[int(raw)]
+            if kind == "b":
+                return "true" if raw == "1" else "false"
+            if kind == "d":
+                return raw[:10]
+            style = int(c.get("s", "0"))
+            if kind == "n" and style < len(dated) and dated[style]:
+                days = float(raw)
+                # Day 60 of the 1900 calendar never was, so that days before it start one later.
+                start = datetime.datetime(1904, 1, 1) if since_1904 else datetime.datetime(1899, 12, 30 if days >= 60 else 31)
+                try:
+                    return (start + datetime.timedelta(days=days, milliseconds=0.5)).date().isoformat()
+                except OverflowError:
+                    return raw
+            return raw
+
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         out = []
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{m}sheet"):
+        for sheet in book.iter(f"{m}sheet"):
             target = targets[sheet.get(rel)].lstrip("/")
             for row in ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{m}row"):
                 cells: dict[int, str] = {}
+                at = 0
                 for c in row.iter(f"{m}c"):
-                    at = 0
-                    for letter in re.match("[A-Z]+", c.get("r", "A1")).group():
+                    named = re.match("[A-Z]+", c.get("r", ""))
+                    at = at + 1 if named is None else 0
+                    for letter in named.group() if named else "":
                         at = at * 26 + ord(letter) - 64
-                    v = c.find(f"{m}v")
-                    text = "".join(t.text or "" for t in c.iter(f"{m}t")) if c.get("t") == "inlineStr" else "" if v is None else v.text or ""
-                    cells[at] = shared[int(text)] if c.get("t") == "s" and text else text
-                if any(x.strip() for x in cells.values()):
-                    out.append((sheet.get("name", ""), int(row.get("r", "0")), [cells.get(i, "")[:MAX_CELL] for i in range(1, min(max(cells), MAX_COLUMNS) + 1)]))
+                    text = _cell_text(text_of(c))[:MAX_CELL]
+                    if text:
+                        cells[at] = text
+                if cells:
+                    out.append((sheet.get("name", ""), int(row.get("r", "0")), cells))
     return out
 
 
+def _column_name(at: int) -> str:
+    name = ""
+    while at > 0:
+        at, letter = divmod(at - 1, 26)
+        name = chr(65 + letter) + name
+    return name
+
+
 def xlsx_markdown(content: bytes) -> str:
-    """Each sheet under its heading, a numbered row per line."""
-    out, last = [], None
+    """Each sheet under its heading as a table of numbered rows, with the letters of its columns above them."""
+    sheets: dict[str, list[tuple[int, dict[int, str]]]] = {}
     for sheet, number, cells in xlsx_rows(content):
-        if sheet != last:
-            out.append(f"\n## Лист: {sheet}\n")
-            last = sheet
-        out.append("| " + " | ".join([str(number), *(" ".join(c.split()).replace("|", "\\|") for c in cells)]) + " |")
-    return "\n".join(out).strip()
+        sheets.setdefault(sheet, []).append((number, cells))
+    out = []
+    for sheet, rows in sheets.items():
+        columns = range(1, min(max(max(c) for _, c in rows), MAX_COLUMNS) + 1)
+        shown = lambda values: "| " + " | ".join(values) + " |"
+        lines = [shown(["Строка", *map(_column_name, columns)]), shown(["---"] * (len(columns) + 1))]
+        lines += [shown([str(n), *(c.get(i, "").replace("|", "\\|").replace("\n", "<br>") for i in columns)]) for n, c in rows]
+        out.append(f"## Лист: {sheet}\n\n" + "\n".join(lines))
+    return "\n\n".join(out).strip()
 
 
 def to_markdown(ext: str, content: bytes) -> str:

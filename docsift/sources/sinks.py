@@ -41,6 +41,25 @@ def replace_partitions(df: DataFrame, path: str, by: str = "source_id") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def _partition(spark: SparkSession, path: str, by: str, value: str) -> str:
+    name = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(by, value)
+    return f"{path}/{name}"
+
+
+def drop_partition(spark: SparkSession, path: str, by: str, value: str) -> None:
+    fs, folder, _ = _fs(spark, _partition(spark, path, by, value))
+    fs.delete(folder, True)
+
+
+def replace_partition_of(df: DataFrame, path: str, by: str, value: str) -> None:
+    """Put df's rows, all of this value, in the place of the partition's; df may read the table. Without rows the
+    partition goes."""
+    if df.isEmpty():
+        drop_partition(df.sparkSession, path, by, value)
+    else:
+        replace_partitions(df, path, by)
+
+
 def migrate(spark: SparkSession, source: str, schema: str, target: str, overwrite: bool = False) -> bool:
     """JSON to parquet; a target with rows stays unless overwrite. Says whether it wrote."""
     fs, path, _ = _fs(spark, target)

@@ -267,7 +267,7 @@ def test_convert(spark):
         z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>Hi</w:t></w:r></w:p></w:body></w:document>')
     files = spark.createDataFrame([(1, ".docx", bytearray(docx.getvalue())), (2, ".xlsx", bytearray(xlsx())), (3, ".pdf", bytearray(b"x")), (4, ".docx", bytearray(b"bad"))], "file_id int, extension string, content binary")
     got = {r["file_id"]: r for r in readers.convert(files, readers.to_markdown).collect()}
-    assert got[1]["markdown"] == "Hi" and got[2]["markdown"] == "## Лист: S1\n\n| 2 | a\\|b |  | 5 |"
+    assert got[1]["markdown"] == "Hi" and got[2]["markdown"] == "## Лист: S1\n\n| Строка | A | B | C |\n| --- | --- | --- | --- |\n| 2 | a\\|b |  | 5 |"
     assert got[3]["error"].startswith("ValueError") and got[4]["error"] and got[4]["markdown"] is None
 
 
