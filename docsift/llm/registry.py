@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docsift.llm.bpe import op6_bpe
 from docsift.llm.common import read_table
+from docsift.llm.conversation_sql import REPAIR_SQL, TRIE_SQL
+from docsift.llm.conversations import op11_conversation_repair
 from docsift.llm.decontam import op3_decontam
 from docsift.llm.langid import op7_langid
 from docsift.llm.license_scan import op9_license
 from docsift.llm.mpeg_media import op10_mpeg_media
 from docsift.llm.pii import op1_pii
+from docsift.llm.prefix_trie import op12_prefix_trie
 from docsift.llm.secrets import op5_secrets
 from docsift.llm.sharding import op4_sharding
 from docsift.llm.simhash import op8_simhash
@@ -37,6 +40,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": _over("documents", op8_simhash),
         "op9_license": _over("documents", op9_license),
         "op10_mpeg_media": _over("documents", op10_mpeg_media),
+        "op11_conversation_repair": _over("conversations", op11_conversation_repair),
+        "op12_prefix_trie": _over("conversations", op12_prefix_trie),
         "pipeline": corpus_pipeline.run,
     }
 
@@ -81,4 +86,4 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _url_sql(), "op3_decontam": _decontam_sql()}
+    return {"op2_url_filter": _url_sql(), "op3_decontam": _decontam_sql(), "op11_conversation_repair": REPAIR_SQL, "op12_prefix_trie": TRIE_SQL}
