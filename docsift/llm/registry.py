@@ -13,6 +13,7 @@ from docsift.llm.conversations import op11_conversation_repair
 from docsift.llm.decontam import op3_decontam
 from docsift.llm.langid import op7_langid
 from docsift.llm.license_scan import op9_license
+from docsift.llm.lm_scoring import op13_lm_scoring
 from docsift.llm.mpeg_media import op10_mpeg_media
 from docsift.llm.pii import op1_pii
 from docsift.llm.prefix_trie import op12_prefix_trie
@@ -42,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mpeg_media": _over("documents", op10_mpeg_media),
         "op11_conversation_repair": _over("conversations", op11_conversation_repair),
         "op12_prefix_trie": _over("conversations", op12_prefix_trie),
+        "op13_lm_scoring": _over("documents", op13_lm_scoring),
         "pipeline": corpus_pipeline.run,
     }
 
