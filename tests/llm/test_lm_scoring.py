@@ -54,8 +54,8 @@ def id_held(i):
     return i is None or zlib.crc32(str(i).encode()) % 10 == 0
 
 
-def check(spark, rows, order, **parameters):
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+def check(spark, rows, order, df=None, **parameters):
+    df = spark.createDataFrame(rows, "doc_id long, text string") if df is None else df
     held = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 10 == 0, F.lit(True))
     key = lambda r: (str(r[0]), r[2], r[5])
     got = sorted((tuple(r) for r in lm_scoring.score(df, held, order, **parameters).collect()), key=key)
@@ -83,6 +83,14 @@ def test_block_size_does_not_matter(spark):
         check(spark, rows, 2, block_bytes=block_bytes)
 
 
+def test_rows_of_files_are_blocks(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(texts(11, 90))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    assert df.select(F.input_file_name()).distinct().count() == 5
+    check(spark, rows, 2, df, block_bytes=700, near=F.struct(F.input_file_name(), F.input_file_block_start()))
+
+
 def test_packs_in_pieces_and_slices(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "PER_SLICE", 200)
     check(spark, [(i, t) for i, t in enumerate(texts(4, 120))], 3, block_bytes=2000)
@@ -104,15 +112,26 @@ def test_probabilities_sum_to_one():
     probes = [f"{a} {b}" for a in words[:3] for b in [*words, "unknown"]]
     n = sum(len(tokens(t)) for t in training)
     both = training + probes + words[:3]
-    found = lm_scoring.scores_of(both, np.array([1] * len(training) + [0] * (len(probes) + 3)), [], 3, n, len(words) + 1, lm_scoring.STRENGTHS)
     laid = lm_scoring.Laid(both)
-    low, _ = lm_scoring.digests(list(laid.known))
-    assert len(found) == len(both) and all(r[3] < 0 for r in found)
-    automaton = lm_scoring.Automaton(laid, grams := laid.ngrams(low, 3), np.bincount(laid.ids[: sum(len(tokens(t)) + 1 for t in training)], minlength=len(low)), lm_scoring.Counts([], np.concatenate([g[: sum(len(tokens(t)) + 1 for t in training)] for g in grams])), n, len(words) + 1, lm_scoring.STRENGTHS)
+    learn = np.repeat([1] * len(training) + [0] * (len(both) - len(training)), laid.ends - laid.starts)
+    automaton = lm_scoring.Automaton(laid, learn, [], 3, n, len(words) + 1, 1, lm_scoring.STRENGTHS)
+
+    def walked(*ws):
+        ids = np.array([laid.known[w] for w in ws], np.int32)
+        return float(automaton.walk(ids, np.array([0]), np.array([len(ids)]), automaton.state_after[:1])[0])
+
     for first in words[:3]:
-        ids = [laid.known[w.encode()] for w in [*words, "unknown"]] + [laid.known[lm_scoring.END]]
-        lead = automaton.walk([laid.known[first.encode()]])
-        assert math.isclose(sum(10 ** (automaton.walk([laid.known[first.encode()], w]) - lead) for w in ids), 1.0, rel_tol=1e-9)
+        last = [*(w.encode() for w in words), b"unknown", lm_scoring.END]
+        lead = walked(first.encode())
+        assert math.isclose(sum(10 ** (walked(first.encode(), w) - lead) for w in last), 1.0, rel_tol=1e-9)
+
+
+def test_long_texts_are_walked_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PIECE", 3)
+    texts_ = [t or "" for t in texts(8, 40)]
+    got = lm_scoring.scores_of(texts_, np.ones(len(texts_), int), [], 3, 900, 40, 1, lm_scoring.STRENGTHS)
+    monkeypatch.setattr(lm_scoring, "PIECE", 1 << 20)
+    np.testing.assert_allclose(got, lm_scoring.scores_of(texts_, np.ones(len(texts_), int), [], 3, 900, 40, 1, lm_scoring.STRENGTHS))
 
 
 def test_held_out_texts_fit_better(spark):
