@@ -1,32 +1,34 @@
 """Indexing a source: scan, skip what is unchanged, convert, convert again what came out badly, verify, cut into chunks,
 replace the source's partitions, embed. And the index's vectors, kept up to date in the same way.
 
-An index is a folder with the tables files, chunks and vectors, each partitioned by source_id. What a run computes is
-first written to the shared folder, so that no file is converted twice; the tables follow, chunks before files, so that
-a run that dies in between is done again from what files says."""
+An index is a store of versions (sources/snapshots.py) of the tables files, chunks and vectors, each in one part for
+each source. What a run computes is first written to the shared folder, so that no file is converted twice; then files and
+chunks of the source become one new version, so that readers never see one without the other, and a run that dies leaves
+the version before. Of two runs over one source at once, the later one is told of the conflict."""
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions.paths import base_name
 from docsift.functions.text import normalize_text
 from docsift.operators import chunking, embedding, maintenance, quality
 from docsift.session import shared_root
-from docsift.sources import readers, sinks
+from docsift.sources import readers
+from docsift.sources.snapshots import Snapshots
 
 _QUALITY = "struct<status:string,score:int,warnings:array<string>,chars:int,words:int,chunks:int>"
 _RETRY = "struct<retried:boolean,status:string,reasons:array<string>,improved:boolean>"
 FILES = f"file_id string, path string, relative_path string, title string, extension string, mtime_ms long, size long, error string, quality {_QUALITY}, reindex {_RETRY}, source_id string"
 CHUNKS = "chunk_id string, file_id string, path string, title string, chunk_index int, text string, page_start int, page_end int, sheet_name string, section_title string, source_id string"
-#: The last millisecond of the year 9999.
-NEVER = 253402300799000
 VECTORS = "chunk_id string, model string, text_hash string, vector array<float>, source_id string"
+TABLES = {"files": FILES, "chunks": CHUNKS, "vectors": VECTORS}
 
 
 @dataclass(frozen=True)
@@ -43,17 +45,17 @@ class Run:
     chunks: int
 
 
-def read_index(spark: SparkSession, index: str, table: str) -> DataFrame:
-    """A table of the index; no rows where there is none yet."""
-    from pyspark.errors import AnalysisException
+def store(spark: SparkSession, index: str) -> Snapshots:
+    return Snapshots(spark, index)
 
-    schema = {"files": FILES, "chunks": CHUNKS, "vectors": VECTORS}[table]
-    try:
-        return spark.read.schema(schema).parquet(f"{index}/{table}")
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+
+def read_index(spark: SparkSession, index: str, table: str, version: int | None = None) -> DataFrame:
+    """A table of the index, in its latest version or the given one; no rows where there is none yet."""
+    return store(spark, index).read(table, TABLES[table], version)
+
+
+def _of_source(spark: SparkSession, index: str, table: str, version: int, source_id: str) -> DataFrame:
+    return store(spark, index).read(table, TABLES[table], version, [source_id])
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -88,12 +90,22 @@ def retried(first: DataFrame, again: DataFrame, key: str = "file_id") -> DataFra
     return df.select(key, *columns, reindex.cast(_RETRY).alias("reindex"))
 
 
-def _contents(spark: SparkSession, roots: list[str], wanted: DataFrame, source_id: Column) -> DataFrame:
-    """(file_id, extension, content) of wanted files. Files older than the oldest of them aren't read."""
-    since = wanted.agg(F.min("mtime_ms")).first()[0]
-    since = NEVER if since is None else since
-    files = readers.with_ids(readers.scan_folders(spark, roots, content=True, since_ms=since), source_id)
-    return files.join(wanted.select("file_id", "extension"), "file_id").select("file_id", "extension", "content")
+#: Files whose contents are read in one go; their paths go through the driver, as those of any listing do.
+PATHS = 5_000
+
+
+def _contents(spark: SparkSession, wanted: DataFrame) -> DataFrame:
+    """(file_id, extension, content) of wanted files, opened by path, so that no other file is read."""
+    rows = wanted.select("path", "file_id", "extension")
+    blocks = max(1, -(-rows.count() // PATHS))
+    out = None
+    for i in range(blocks):
+        block = rows.filter(F.pmod(F.xxhash64("path"), F.lit(blocks)) == i)
+        paths = [re.sub(r"([\\\[\]{}*?])", r"\\\1", r["path"]) for r in block.collect()]  # names that look like patterns
+        if paths:
+            files = spark.read.format("binaryFile").load(paths).select("path", "content").join(F.broadcast(block), "path").select("file_id", "extension", "content")
+            out = files if out is None else out.unionByName(files)
+    return out if out is not None else rows.select("file_id", "extension", F.lit(b"").alias("content")).limit(0)
 
 
 def index_source(
@@ -112,53 +124,56 @@ def index_source(
     Unchanged files (time and size) keep their rows unless force. A file whose conversion fails has a row with the error
     and no chunks, and is tried again by the next run. With `second`, files that came out badly are converted once more.
     Files that are gone lose their rows."""
-    own = F.lit(source_id)
+    own, writer = F.lit(source_id), store(spark, index).begin()
+    base = writer.base.number
     scan = readers.classified(readers.scan_folders(spark, roots), include, exclude).filter(F.col("reason") == "eligible")
     scan = staged(readers.with_ids(scan, own).withColumn("title", base_name(F.col("path"))), "scan")
-    manifest = read_index(spark, index, "files").filter(F.col("source_id") == source_id)
+    manifest = _of_source(spark, index, "files", base, source_id)
     known = manifest.filter("error is null")
     actions = maintenance.file_actions(scan, known.limit(0) if force else known)
     actions = staged(actions, "actions")
     todo = scan.join(actions.filter(F.col("action").isin("new", "changed")), "file_id")
 
-    contents = lambda files: _contents(spark, roots, files, own)
-    first = staged(judged(readers.convert(contents(todo), converter)), "converted")
+    first = staged(judged(readers.convert(_contents(spark, todo), converter)), "converted")
     done = first.withColumn("reindex", F.lit(None).cast(_RETRY))
     if second is not None:
         queued = first.filter(quality.retry_decision(F.col("quality"), F.lit(False), F.lit(0))["queued"])
-        again = judged(readers.convert(contents(scan.join(queued.select("file_id"), "file_id")), second))
+        again = judged(readers.convert(_contents(spark, scan.join(queued.select("file_id"), "file_id")), second))
         done = staged(retried(first, again), "retried")
 
     facts = todo.select("file_id", "path", "relative_path", "title", "extension", "mtime_ms", "size").join(done, "file_id").withColumn("source_id", own)
     places = chunking.placed(facts.select("file_id", "path", "title", "source_id", F.posexplode("pieces").alias("chunk_index", "chunk_text")), "file_id")
     places = places.withColumnRenamed("chunk_text", "text").withColumn("chunk_id", F.concat_ws(":", "file_id", F.col("chunk_index").cast("string")))
     kept = actions.filter("action = 'unchanged'").select("file_id")
-    chunk_columns, file_columns = read_index(spark, index, "chunks").columns, manifest.columns
-    old_chunks = read_index(spark, index, "chunks").filter(F.col("source_id") == source_id).join(kept, "file_id", "left_semi")
-    sinks.replace_partition_of(old_chunks.select(*chunk_columns).unionByName(places.select(*chunk_columns)), f"{index}/chunks", "source_id", source_id)
-    sinks.replace_partition_of(manifest.join(kept, "file_id", "left_semi").select(*file_columns).unionByName(facts.select(*file_columns)), f"{index}/files", "source_id", source_id)
+    chunks = _of_source(spark, index, "chunks", base, source_id)
+    writer.replace("chunks", chunks.join(kept, "file_id", "left_semi").select(*chunks.columns).unionByName(places.select(*chunks.columns)), source_id)
+    writer.replace("files", manifest.join(kept, "file_id", "left_semi").select(*manifest.columns).unionByName(facts.select(*manifest.columns)), source_id)
+    made = writer.commit(action="index", source_id=source_id)
 
     by = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
-    after = read_index(spark, index, "files").filter(F.col("source_id") == source_id)
+    after = _of_source(spark, index, "files", made.number, source_id)
     ends = after.agg(F.count("*").alias("files"), F.count("error").alias("failed"), F.count_if("reindex.retried").alias("retried"), F.coalesce(F.sum("quality.chunks"), F.lit(0)).alias("chunks")).first()
     return asdict(Run(ends["files"], by.get("new", 0), by.get("changed", 0), by.get("unchanged", 0), by.get("gone", 0), ends["failed"], ends["retried"], ends["chunks"]))
 
 
 def embed_source(spark: SparkSession, index: str, source_id: str, embedder: Callable, model: str, native: bool = False, batch: int = embedding.BATCH) -> dict[str, int]:
     """Embed the chunks of a source that have no vector of this model and text; vectors of chunks that are gone go."""
-    chunks = read_index(spark, index, "chunks").filter(F.col("source_id") == source_id)
-    cached = read_index(spark, index, "vectors").filter(F.col("source_id") == source_id)
+    writer = store(spark, index).begin()
+    chunks, cached = (_of_source(spark, index, t, writer.base.number, source_id) for t in ("chunks", "vectors"))
     known = embedding.with_cached(chunks.select("chunk_id", "text"), cached, model)
     fresh = staged(embedding.embedded(known.filter("vector is null"), embedder, model, native=native, batch=batch), "vectors")
     old = known.filter("vector is not null").select("chunk_id", F.lit(model).alias("model"), "text_hash", "vector")
     rows = old.unionByName(fresh).withColumn("source_id", F.lit(source_id))
-    sinks.replace_partition_of(rows, f"{index}/vectors", "source_id", source_id)
+    writer.replace("vectors", rows, source_id)
+    made = writer.commit(action="embed", source_id=source_id)
     total, new = chunks.count(), fresh.count()
-    stored = read_index(spark, index, "vectors").filter(F.col("source_id") == source_id).count()
+    stored = _of_source(spark, index, "vectors", made.number, source_id).count()
     return {"chunks": total, "embedded": new, "cached": stored - new, "pending": total - stored}
 
 
 def remove_source(spark: SparkSession, index: str, source_id: str) -> None:
-    """Drop the source's partitions from every table of the index."""
-    for table in ("vectors", "chunks", "files"):
-        sinks.drop_partition(spark, f"{index}/{table}", "source_id", source_id)
+    """Drop the source from every table of the index, at once."""
+    writer = store(spark, index).begin()
+    for table in TABLES:
+        writer.drop(table, source_id)
+    writer.commit(action="remove", source_id=source_id)

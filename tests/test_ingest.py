@@ -91,7 +91,7 @@ def test_index_source(spark, tmp_path):
     (root / "c.bin").write_text("x")
     assert run()["files"] == 0 and {c["source_id"] for c in chunks()} == {"other"}
     ingest.remove_source(spark, index, "other")
-    assert not os.listdir(f"{index}/chunks") or ingest.read_index(spark, index, "chunks").isEmpty()
+    assert ingest.read_index(spark, index, "chunks").isEmpty() and not ingest.store(spark, index).version().tables
 
 
 def test_agent_goes_on(spark, tmp_path):
