@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from docsift.functions.paths import base_name, extension, file_class, file_id
+from docsift.sources.matrices import read_matrix
 
 SCAN = "path string, modificationTime timestamp, length long"
 MAX_COLUMNS, MAX_CELL = 80, 2000
@@ -100,21 +101,8 @@ def read_jdbc(spark: SparkSession, url: str, query: str, **options: str) -> Data
 
 
 def read_vectors(spark: SparkSession, lines: str, half: str, dimensions: int, schema: str = "row long, text_hash string") -> DataFrame:
-    """Rows of a JSON-lines file with their vectors from a half-precision .npy file of as many rows."""
-    rows = read_jsonl(spark, lines, schema)
-    raw = spark.read.format("binaryFile").load(half)
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for f in frames:
-            for content in f["content"]:
-                table = np.load(io.BytesIO(content))
-                for at in range(0, len(table), 4096):
-                    part = table[at : at + 4096, :dimensions].astype("float32")
-                    yield pd.DataFrame({"row": range(at, at + len(part)), "vector": list(part)})
-
-    return rows.join(raw.select("content").mapInPandas(parse, "row long, vector array<float>"), "row")
+    """Rows of a JSON-lines file with their vectors from a half-precision .npy file of as many rows, read in ranges."""
+    return read_jsonl(spark, lines, schema).join(read_matrix(spark, half, dimensions), "row")
 
 
 def convert(files: DataFrame, converter: Callable[[str, bytes], str], key: str = "file_id") -> DataFrame:

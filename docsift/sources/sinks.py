@@ -9,8 +9,6 @@ import struct
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.functions.vectors import padded
-
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -90,14 +88,15 @@ def npy_bytes(vectors: list[list[float]], columns: int) -> bytes:
 
 
 def export_index(chunks: DataFrame, vectors: DataFrame, path: str, dimensions: int, dry_run: bool = False, key: str = "row") -> dict:
-    """A portable index: manifest.json, chunks as JSON lines and vectors as parquet, both ordered by key; returns the manifest."""
+    """A portable index: manifest.json, chunks as JSON lines and vectors.f16.npy, both ordered by key; returns the manifest."""
     counts = chunks.agg(F.count("*").alias("chunks"), F.countDistinct("file_path").alias("documents"), F.countDistinct("file_path", "page").alias("pages"), F.count_if("has_crop_text").alias("cropped")).first().asDict()
     manifest = {"version": 1, "dimensions": dimensions, **counts}
     if not dry_run:
+        from docsift.sources.matrices import write_matrix
+
         spark = chunks.sparkSession
         chunks.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").json(f"{path}/chunks.jsonl")
-        fixed = vectors.withColumn("vector", padded(F.col("vector"), dimensions))
-        fixed.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/vectors")
+        write_matrix(vectors, f"{path}/vectors.f16.npy", dimensions, key)
         spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest.json")
     return manifest
 

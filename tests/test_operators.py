@@ -12,7 +12,7 @@ from docsift.functions import links, paths, privacy
 from docsift.functions.money import compare_money, money, money_text, price_mentions
 from docsift.functions.text import fuzzy_score, human_size, match_tokens, noise_report, token_variants, truncate_text
 from docsift.operators import audit, jobs, maintenance, matching, paged, quality, recognition
-from docsift.sources import readers, sinks
+from docsift.sources import matrices, readers, sinks
 
 
 def one(spark, column):
@@ -293,7 +293,7 @@ def test_sinks(spark, tmp_path):
     vec = spark.createDataFrame([(0, [1.0]), (1, [2.0, 3.0, 4.0])], "row long, vector array<float>")
     m = sinks.export_index(chunks, vec, str(tmp_path / "x"), 2)
     assert m == {"version": 1, "dimensions": 2, "chunks": 2, "documents": 1, "pages": 2, "cropped": 1}
-    assert {r["row"]: r["vector"] for r in spark.read.parquet(str(tmp_path / "x/vectors")).collect()} == {0: [1.0, 0.0], 1: [2.0, 3.0]}
+    assert {r["row"]: r["vector"] for r in matrices.read_matrix(spark, str(tmp_path / "x/vectors.f16.npy")).collect()} == {0: [1.0, 0.0], 1: [2.0, 3.0]}
 
 
 def test_link_precedence(spark):
