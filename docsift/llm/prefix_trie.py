@@ -146,6 +146,7 @@ def grouped(rows: DataFrame) -> DataFrame:
     the last turn and what stands before it are the representative's."""
     sample = F.struct(F.isnull("conv_id").alias("no_id"), F.col("conv_id").alias("id"), F.col("addr"), F.col("up"), F.col("_up_split"))
     nodes = rows.groupBy(*(F.col(c).alias(f"_{c}") for c in KEY)).agg(F.min(sample).alias("_rep"), F.count("*").alias("n"), F.sum(F.col("last").cast("long")).alias("n_ends"))
+    nodes = checkpointed(nodes)  # so that both sides are dealt out for the join alone, and Spark can split a frequent beginning
     same = (F.col("_rep")["addr"] == F.col("addr")) & (F.col("_rep")["up"] == F.col("up")) & (F.col("_rep")["_up_split"] == F.col("_up_split"))
     joined = rows.join(nodes, [F.col(c) == F.col(f"_{c}") for c in KEY])
     return joined.select(*rows.columns, F.col("_rep")["id"].alias("rep"), "n", "n_ends", same.alias("ok"))
