@@ -1,4 +1,4 @@
-"""Queries on the vector index and on snapshots of tables, each with SQL."""
+"""Queries on the vector index, snapshots, matrices and batches of requests, each with SQL."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docsift.operators import ann
-from docsift.plans.common import EVERY, VECTOR_SQL, table
+from docsift.functions.text import tokens
+from docsift.operators import ann, scoped
+from docsift.plans.common import EVERY, VECTOR_SQL, table, tokens_sql
 from docsift.session import shared_root
 from docsift.sources import matrices, snapshots
 
@@ -98,3 +99,51 @@ def matrix_round_trip(spark, d):
 
 
 SQL["matrix_round_trip"] = "SELECT vec_id, len(embedding)::BIGINT AS dimensions, true AS near FROM embeddings"
+
+
+def _requests(spark, d):
+    """Benchmark items as requests: those whose id ends in an even digit or letter name a source, the one in that place."""
+    names = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("source_id")).distinct()
+    sources = names.select("source_id", F.upper("source_id").alias("title"), F.lit("").alias("path"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query_text"), F.ascii(F.right(F.col("item_id").cast("string"), F.lit(1))).alias("_k"))
+    pick = names.groupBy().agg(F.array_sort(F.collect_set("source_id")).alias("_all"))  # one row: the names of the sources
+    items = items.crossJoin(F.broadcast(pick)).withColumn("source", F.when(F.col("_k") % 4 == 0, F.get("_all", F.col("_k") % F.size("_all"))).when(F.col("_k") % 4 == 2, F.upper(F.get("_all", F.col("_k") % F.size("_all")))).when(F.col("_k") % 8 == 1, F.lit("no such source")))
+    return items.select("query_id", "query_text", "source", (F.col("_k") % 5 + 1).cast("long").alias("top_k")), sources
+
+
+@query
+def resolved_requests(spark, d):
+    """The source that each of many requests names, by its id, else by its title, and the request's status."""
+    requests, sources = _requests(spark, d)
+    return scoped.resolved(requests, sources)[0].withColumn("status", F.col("status").cast("long"))
+
+
+@query
+def batch_retrieval(spark, d):
+    """Every benchmark item as a request with a scope and a limit of its own, in one job: BM25 with the
+    statistics of the scope."""
+    requests, sources = _requests(spark, d)
+    status, scopes = scoped.resolved(requests, sources)
+    good = requests.join(status.filter("status = 200").select("query_id"), "query_id").withColumn("terms", tokens(F.col("query_text")))
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source_id"))
+    return scoped.search(chunks, good, scopes).select("query_id", "chunk_id", "score", "rank")
+
+
+_REQUESTS_SQL = """
+names AS (SELECT list(source ORDER BY source) AS names FROM (SELECT DISTINCT coalesce(source, '') AS source FROM documents)),
+r AS (SELECT item_id AS query_id, coalesce(text, '') AS query_text, names, ascii(right(item_id::VARCHAR, 1)) AS k FROM benchmark, names),
+req AS (SELECT query_id, query_text, k % 5 + 1 AS top_k, CASE WHEN trim(query_text) = '' THEN 400 WHEN k % 2 = 1 AND k % 8 = 1 THEN 404 ELSE 200 END AS status,
+  CASE WHEN trim(query_text) <> '' AND k % 2 = 0 AND names[k % len(names) + 1] <> '' THEN names[k % len(names) + 1] END AS source_id FROM r)"""
+SQL["resolved_requests"] = f"WITH {_REQUESTS_SQL} SELECT query_id, status::BIGINT AS status, source_id FROM req"
+SQL["batch_retrieval"] = f"""WITH {_REQUESTS_SQL},
+c AS (SELECT doc_id AS chunk_id, coalesce(source, '') AS source, {tokens_sql('text')} AS t FROM documents),
+docs AS (SELECT chunk_id, source, t, greatest(1, len(t)) AS doc_len FROM c),
+inside AS (SELECT query_id, chunk_id, doc_len FROM req, docs WHERE status = 200 AND (source_id IS NULL OR source_id = source)),
+sizes AS (SELECT query_id, count(*) AS n_docs, avg(doc_len) AS avg_len FROM inside GROUP BY query_id),
+q AS (SELECT query_id, unnest(list_distinct({tokens_sql('query_text')})) AS term FROM req WHERE status = 200),
+p AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM docs) JOIN (SELECT DISTINCT term FROM q) USING (term) GROUP BY ALL),
+held AS (SELECT q.query_id, term, chunk_id, tf, doc_len FROM q JOIN p USING (term) JOIN inside i USING (query_id, chunk_id)),
+df AS (SELECT query_id, term, count(*) AS df FROM held GROUP BY ALL),
+s AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))), 6) AS score
+  FROM held JOIN df USING (query_id, term) JOIN sizes USING (query_id) GROUP BY ALL)
+SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score > 0) JOIN req USING (query_id) WHERE rank <= top_k"""
