@@ -12,6 +12,7 @@ a column that is made, or an internal one (leading underscore), are replaced.
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -80,9 +81,21 @@ class SlotMap:
         rows = [(slot, shard, self.shards) for slot, shard in enumerate(self.shard_of)]
         return spark.createDataFrame(rows, "vslot int, shard int, shards int")
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """Store this version in the table of maps at path; saving a version once more replaces it."""
-        self.frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={self.version}")
+    def save(self, spark: SparkSession, path: str) -> bool:
+        """Store this version in the table of maps at path: written beside it, then published by a rename. A version that is
+        stored already stays as it is, and False says so."""
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        staged, target = f"_staged-{uuid.uuid4().hex}", at(f"version={self.version}")
+        fs = target.getFileSystem(conf)
+        if fs.exists(target):
+            return False
+        self.frame(spark).coalesce(1).write.parquet(f"{path}/{staged}")
+        # Where another writer was first, a rename of folders fails, or puts the staged one inside the other, whence it goes.
+        done = bool(fs.rename(at(staged), target)) and not fs.exists(at(f"version={self.version}/{staged}"))
+        fs.delete(at(f"version={self.version}/{staged}"), True)
+        fs.delete(at(staged), True)
+        return done
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
@@ -163,9 +176,9 @@ def op4_sharding(documents: DataFrame, shards: int = 8, maps: str | None = None)
     stored = SlotMap.latest(spark, path, shards)
     rows = with_slots(rows, [F.col("doc_id"), F.col("text_crc32")], len(stored.shard_of))
     n_bytes, n_rows = slot_bytes(rows, "size", len(stored.shard_of))
-    stored.save(spark, path)
+    stored.save(spark, path)  # the first one; a later one is there
     stored.rebalanced(n_bytes, shards).save(spark, path)
-    slot_map = SlotMap.load(spark, path)
+    slot_map = SlotMap.load(spark, path)  # the next one, whoever published it
     out = shard_rows(rows, "size", ["doc_id", "text_crc32"], slot_map, n_rows)
     return out.select(
         "doc_id",
