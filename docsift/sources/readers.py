@@ -80,8 +80,8 @@ def read_json_state(spark: SparkSession, path: str, schema: str, fallback: bool
 
     try:
         return spark.read.schema(schema).json(path, multiLine=True)
-    except AnalysisException:
-        if not fallback:
+    except AnalysisException as e:
+        if not fallback or "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
 

@@ -6,6 +6,7 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from docsift.functions import links, paths, privacy
@@ -247,6 +248,9 @@ def test_sources(spark, tmp_path):
     (tmp_path / "i.csv").write_text('a,b\n"x, ""y""\nz",1\n,\n')
     assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "i.csv")).collect()] == [('x, "y"\nz', "1")]
     assert readers.read_json_state(spark, str(tmp_path / "none.json"), "a int").count() == 0
+    (tmp_path / "twice.json").write_text('[{"a": 1}]')
+    with pytest.raises(AnalysisException):  # another fault than an absent file is told
+        readers.read_json_state(spark, str(tmp_path / "twice.json"), "a int, a string").count()
     assert readers.read_yaml_list("sources:\n  - id: a\n    title: 'T x'\n  - id: b\nother: 1\n", "sources") == [{"id": "a", "title": "T x"}, {"id": "b"}]
 
 
