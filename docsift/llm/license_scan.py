@@ -6,9 +6,14 @@ index from fingerprint to (template, place). A text's grams are winnowed alike;
 template on a diagonal (place in the text less place in the template). Diagonals of one template within a band are one
 candidate; the band is at most half the template, so that notices which follow each other stay apart. Each candidate is
 aligned with its template in the band: matches score 2, a gap or a substitution -1, from whichever start and to
-whichever end scores best. Alignments that go on in the template where another ended, at most `MAX_GAP` words behind it
-in the text, are one notice with something inserted. Reported are the share of the template's words that match, and
-the span.
+whichever end scores best. Alignments that go on in the template behind another, at most `MAX_GAP` words behind it in
+the text, may be one notice with something inserted: a chain. Templates repeat phrases of their own, so an alignment
+looks at all that it may follow, not at its neighbour, and the chain with most matched words is taken. Reported are the
+share of the template's words that match, and the span.
+
+Siblings differ by few words. A template is named only if, for every other template that would pass as it, at least half
+of the words that set it apart from that one are among those matched; else their family is (the part before the first
+hyphen that both names share), as for one half of a GPL notice, which may be of any version.
 
 A shared stretch of at least GRAM + WINNOW - 1 words always shares a fingerprint; templates are no shorter than that.
 
@@ -25,6 +30,9 @@ import re
 from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
+from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -111,57 +119,83 @@ class Hit:
 
 @dataclass(frozen=True)
 class Part:
-    """An alignment: ranges of words of the text and of the template, and how many match."""
+    """An alignment: words that match and their places in the template (a bit each), ranges of words of the text and of
+    the template."""
 
     matched: int
+    places: int
     start: int
     end: int
     t_start: int
     t_end: int
 
 
-def align(doc: list[int], template: list[int], diagonal: int, band: int = BAND) -> Part:
-    """Best local alignment in a band about a diagonal."""
+def align(doc: list[int], template: list[int], diagonal: int, band: int = BAND) -> list[Part]:
+    """Best local alignment in a band about a diagonal, and, if it changes diagonals, its pieces of one diagonal with
+    GRAM matches or more: one that starts in a repeated phrase hides the piece that another alignment goes on with."""
     n = len(doc)
-    best, best_score = Part(0, 0, 0, 0, 0), 0
+    best, best_score = (0, 0, 0, 0, 0), 0
     width = 2 * band + 1
-    row = [(0, 0, -1, 0)] * (width + 2)  # (score, matches, start, start in the template) for each diagonal, with a rim
+    row = [(0, 0, -1, 0, 0)] * (width + 2)  # (score, matches, start, places in the template, places in the text), with a rim
     for j, want in enumerate(template):
-        new = [(0, 0, -1, 0)] * (width + 2)
+        new = [(0, 0, -1, 0, 0)] * (width + 2)
         for d in range(width):
             i = j + diagonal + d - band
             if not 0 <= i < n:
                 continue
-            score, hits, start, t_start = row[d + 1]
+            score, hits, start, places, own = row[d + 1]
             same = doc[i] == want
-            options = [(score + (2 if same else -1), hits + same, start if score > 0 else i, t_start if score > 0 else j)]
+            if score <= 0:
+                start, places, own = i, 0, 0
+            options = [(score + 2, hits + 1, start, places | 1 << j, own | 1 << i) if same else (score - 1, hits, start, places, own)]
             for other in (row[d + 2], new[d]):  # a word of the template, or of the text, is skipped
                 options.append((other[0] - 1, *other[1:]))
             top = max(options, key=lambda o: (o[0], o[1], -o[2]))
-            new[d + 1] = top if top[0] > 0 else (0, 0, -1, 0)
-            if same and (top[0], top[1]) > (best_score, best.matched):
-                best, best_score = Part(top[1], top[2], i + 1, top[3], j + 1), top[0]
+            new[d + 1] = top if top[0] > 0 else (0, 0, -1, 0, 0)
+            if same and (top[0], top[1]) > (best_score, best[1]):
+                best, best_score = top, top[0]
         row = new
-    return best
+    pairs = list(zip(_bits(best[4]), _bits(best[3])))
+    pieces = [list(g) for _, g in groupby(pairs, key=lambda x: x[0] - x[1])]
+    return [_part(x) for x in ([pairs] if pairs else []) + (([g for g in pieces if len(g) >= GRAM]) if len(pieces) > 1 else [])]
+
+
+def _bits(mask: int) -> list[int]:
+    return [i for i, c in enumerate(reversed(bin(mask))) if c == "1"]
+
+
+def _part(pairs: list[tuple[int, int]]) -> Part:
+    """Of matching places in text and template, in order."""
+    return Part(len(pairs), sum(1 << j for _, j in pairs), pairs[0][0], pairs[-1][0] + 1, pairs[0][1], pairs[-1][1] + 1)
 
 
 def chained(parts: list[Part], max_gap: int = MAX_GAP) -> list[Part]:
-    """Parts of one template, in the text's order, joined where the next goes on behind both ends of the one before."""
-    out: list[Part] = []
-    for p in sorted(set(parts), key=lambda p: (p.start, p.t_start)):
-        last = out[-1] if out else None
-        if last is not None and last.t_end <= p.t_start and 0 <= p.start - last.end <= max_gap:
-            out[-1] = Part(last.matched + p.matched, last.start, p.end, last.t_start, p.t_end)
-        elif p.matched:
-            out.append(p)
-    return out
+    """For each part of one template the best chain that ends with it: most matched words less a quarter of those
+    between, then the nearest. A chain goes forward in text and template, with at most max_gap words between parts."""
+    order = sorted({p for p in parts if p.matched}, key=lambda p: (p.end, p.start, p.t_start))
+    ends = [p.end for p in order]
+    best: list[tuple[float, Part]] = []
+    for p in order:
+        value, chain = float(p.matched), p
+        before = None
+        for k in range(bisect(ends, p.start - max_gap - 1), min(bisect(ends, p.start), len(best))):
+            worth, q = best[k]
+            if q.t_end <= p.t_start:
+                worth -= (p.start - q.end) / 4
+                if before is None or worth >= before[0]:
+                    before = worth, q
+        if before is not None:
+            value, q = value + before[0], before[1]
+            chain = Part(q.matched + p.matched, q.places | p.places, q.start, p.end, q.t_start, p.t_end)
+        best.append((value, chain))
+    return [chain for _, chain in best]
 
 
 def best_apart(hits: list[Hit]) -> list[Hit]:
     """The best hits that don't overlap, by place. Those kept lie apart, so only neighbours can overlap another."""
     starts: list[int] = []
     kept: list[Hit] = []
-    for h in sorted(hits, key=lambda h: (round(h.matched / h.coverage) - 2 * h.matched, h.start_word, h.template)):
+    for h in sorted(hits, key=lambda h: (round(h.matched / h.coverage) - 2 * h.matched, h.start_word, h.end_word, h.template)):
         at = bisect(starts, h.start_word)
         if (at == 0 or kept[at - 1].end_word <= h.start_word) and (at == len(kept) or h.end_word <= kept[at].start_word):
             starts.insert(at, h.start_word)
@@ -186,6 +220,26 @@ class Index:
             hashes = gram_hashes(w)
             for at in winnowed(hashes):
                 self.filed.setdefault(hashes[at], []).append((t, at))
+        self.marks = [self._marks(t) for t in range(len(self.templates))]
+
+    def _marks(self, t: int) -> list[tuple[str, int]]:
+        """For each other template of another name that would pass as this one: the words it lacks, a bit for each place."""
+        name, own = self.templates[t]
+        out = []
+        for other, words in self.templates:
+            if other == name:
+                continue
+            shared = sum((1 << b.size) - 1 << b.b for b in SequenceMatcher(None, words, own, autojunk=False).get_matching_blocks())
+            lacks = (1 << len(own)) - 1 & ~shared
+            if lacks and shared.bit_count() >= MIN_COVERAGE * len(own):
+                out.append((other.partition("-")[0], lacks))
+        return out
+
+    def named(self, t: int, places: int) -> str:
+        name = self.templates[t][0]
+        like = [head for head, lacks in self.marks[t] if 2 * (lacks & places).bit_count() < lacks.bit_count()]
+        own = name.partition("-")[0]
+        return min([own, *(h for h in like if h in own)], key=len) if like else name
 
     def scan(self, words: list[bytes], min_coverage: float = MIN_COVERAGE) -> list[Hit]:
         """Licenses of a text, by place. Grams with a word that no template has can't be in the index, but take part
@@ -221,7 +275,7 @@ class Index:
                     found.setdefault(t, []).append(at - place)
         hits = []
         for t, diagonals in found.items():
-            name, own = self.templates[t]
+            own = self.templates[t][1]
             band = min(BAND, len(own) // 2)
             diagonals = sorted(set(diagonals))
             groups: list[list[int]] = []
@@ -234,12 +288,18 @@ class Index:
             for g in groups:
                 low = max(0, g[0] - band)
                 part = codes[low : g[-1] + len(own) + 2 * band]
-                p = align(part, self.coded[t], g[len(g) // 2] - low, band)
-                parts.append(Part(p.matched, low + p.start, low + p.end, p.t_start, p.t_end))
-            hits += [Hit(name, t, p.matched / len(own), p.matched, p.start, p.end) for p in chained(parts) if p.matched >= min_coverage * len(own)]
+                found_here = align(part, self.coded[t], g[len(g) // 2] - low, band)
+                parts += [Part(p.matched, p.places, low + p.start, low + p.end, p.t_start, p.t_end) for p in found_here]
+            hits += [Hit(self.named(t, p.places), t, p.matched / len(own), p.matched, p.start, p.end) for p in chained(parts) if p.matched >= min_coverage * len(own)]
         return best_apart(hits)
 
 
+@lru_cache(maxsize=4)
+def index_of(templates: tuple[tuple[str, str], ...]) -> Index:
+    """The index of these templates, built once in a worker."""
+    return Index(templates)
+
+
 _HIT = "array<struct<license:string,coverage:double,start:int,end:int>>"
 
 
@@ -251,7 +311,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: tuple[tuple[st
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates)
+        index = index_of(templates)
         for batch in slices(batches):
             out = []
             for t in batch.column("_text").to_pylist():
