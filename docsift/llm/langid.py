@@ -190,8 +190,8 @@ def count_language(texts: list[str], order: int = ORDER) -> tuple[set[int], list
 
 
 def merged_tables(parts: dict[str, tuple], order: int = ORDER) -> Model:
-    """The model of all languages, not calibrated yet."""
-    langs = sorted(parts)
+    """The model of all languages, not calibrated yet; a label whose texts hold no letter is none."""
+    langs = sorted(k for k, part in parts.items() if part[1][0] is not None)
     base = 1.0 / (len({_EDGE}.union(*(parts[k][0] for k in langs))) + 1)
     of = lambda i, n: [(k, *parts[k][i][n]) for k in langs if parts[k][i][n] is not None]
     return Model(langs, base, *_tables([of(1, n) for n in range(order)], [of(2, n) for n in range(order)], langs, base))
@@ -225,6 +225,8 @@ def _tables(grams: list[list[tuple]], contexts: list[list[tuple]], langs: list[s
 def calibration_of(model: Model, lang: str, texts: list[str]) -> tuple | None:
     """What a language's held-out texts tell: mean and spread of its cross-entropy, distances of rows cut to LENGTHS,
     and cross-entropies of the rows; None if there are fewer than two."""
+    if lang not in model.langs:
+        return None
     scorer, i = Scorer(model), model.langs.index(lang)
     own = [words_of(t) for k, t in enumerate(texts) if k % 5 == 0]
     scored = []

@@ -331,3 +331,32 @@ def test_shared_root_is_required_on_a_cluster(spark):
     with pytest.raises(ValueError):
         shared_root(Session())
     assert shared_root(spark)
+
+
+def test_broken_notices_keep_their_names():
+    """Every notice of 30 words and more, broken at three places with words put in, is found once by its own name."""
+    index = license_scan.Index()
+    names = lambda words: [h.license for h in index.scan(license_scan.words_of(" ".join(words)))]
+    for name, text in license_scan.TEMPLATES:
+        words = text.split()
+        if len(words) < 30:
+            continue
+        for gap in (4, 10, 24, license_scan.MAX_GAP):
+            for share in (0.25, 0.5, 0.75):
+                at = int(len(words) * share)
+                assert names(["intro", *words[:at], *(f"w{i}" for i in range(gap)), *words[at:], "end"]) == [name], (name, gap, share)
+        halves = names([*words[: len(words) // 2], *["x"] * 60, *words[len(words) // 2 :]])
+        # GPL notices begin alike: a half tells the family only. Two halves of BSD-3-Clause hold a BSD-2-Clause notice.
+        assert halves in ([], [name], ["GPL"], ["BSD-2-Clause"]), (name, halves)
+    assert names("Licensed under the GNU Affero General Public License as published, or no GPL at all".split()) == []
+
+
+def test_language_without_letters_is_not_learnt(spark):
+    model = langid.fit({"a": ["123", "45 6"], "b": ["hello world", "hello there"]})
+    assert model.langs == ["b"] and langid.Scorer(model).predictions(["bonjour", "123", None])[0][0] == "b"
+    assert langid.fit({"a": ["123"]}).langs == []
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate([("123", "a"), ("7 8", "a"), ("9", "a"), ("hello world", "b"), ("hello there", "b"), ("good hello", "b")] * 4)], "doc_id long, text string, lang string")
+    got = langid.identify(docs, langid.train(docs)).select("text", "lang_pred").distinct().collect()
+    assert {r["lang_pred"] for r in got} == {"b", "und"}
+    none = langid.identify(docs, langid.train(docs.filter("lang = 'a'")))
+    assert {r["lang_pred"] for r in none.collect()} == {"und"}
