@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsift.plans import index_queries, ingest_queries, retrieval_queries, service_queries, state_queries, text_queries
+from docsift.plans import index_queries, ingest_queries, retrieval_queries, service_queries, source_queries, state_queries, text_queries
 
-_MODULES = (retrieval_queries, text_queries, state_queries, service_queries, ingest_queries, index_queries)
+_MODULES = (retrieval_queries, text_queries, state_queries, service_queries, ingest_queries, index_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
