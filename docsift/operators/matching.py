@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docsift.functions.paths import base_name, inside
 from docsift.functions.text import fuzzy_score, js_trim, match_text, match_tokens, token_variants
+from docsift.operators.likeness import alike
 
 
 def source_profiles(sources: DataFrame) -> DataFrame:
@@ -88,8 +89,9 @@ def path_guard(root: Column, path: Column) -> Column:
 def match_tenders(tenders: DataFrame, sources: DataFrame, min_score: float = 0.55) -> DataFrame:
     """(tender_id, source_id, strategy, score, confidence): by id, contract link, number, then likeness of titles.
 
-    The first three are equi-joins. Only tenders that none of them matched meet the sources that share a title token
-    or an address, and the whole title."""
+    The first three are equi-joins. Only tenders that none of them matched meet sources of a like title or address: pairs
+    of different strings by selective keys (`operators/likeness`), a string that many rows have being one. min_score is at
+    most 0.7."""
     t = tenders.select("tender_id", "linked_contract_id", *(F.lower(js_trim(F.coalesce(c, F.lit("")))).alias(c) for c in ("tender_number", "title", "object_address")))
     s = sources.filter("source_type = 'tender'").select("source_id", "hub_tender_id", F.col("linked_contract_id").alias("s_contract"), F.lower(js_trim(F.coalesce("title", F.lit("")))).alias("s_title"), F.lower(js_trim(F.coalesce("object_address", F.lit("")))).alias("s_address"))
     shape = lambda df, how, score, tier: df.select("tender_id", "source_id", F.lit(how).alias("strategy"), score.cast("double").alias("score"), F.lit(tier).alias("tier"))
@@ -102,13 +104,22 @@ def match_tenders(tenders: DataFrame, sources: DataFrame, min_score: float = 0.5
     exact = by_id.unionByName(by_link).unionByName(by_number)
     first = exact.groupBy("tender_id").agg(F.min(F.struct("tier", "source_id", "strategy", "score")).alias("m")).select("tender_id", F.col("m.source_id").alias("source_id"), F.col("m.strategy").alias("strategy"), F.col("m.score").alias("score"))
     rest = t.join(first, "tender_id", "left_anti")
-    # A likeness above zero needs a shared token of three or more characters, or one title within the other.
-    keys = lambda c: F.array_distinct(F.filter(F.split(c, r"[\s,./-]+"), lambda x: F.length(x) > 0))
-    a, b = rest.withColumn("_k", F.explode(keys("title"))), s.withColumn("_k", F.explode(keys("s_title")))
-    pairs = a.join(b, "_k").drop("_k").dropDuplicates(["tender_id", "source_id"])
+    # A mean of two likenesses is below min_score where both are. Rows that look alike meet once.
+    looks = rest.select("title", "object_address").distinct()
+    theirs = s.groupBy("s_title", "s_address").agg(F.min("source_id").alias("source_id"))
+    values = lambda df, c: df.select(F.col(c).alias("value"))
+    titles = alike(values(looks, "title"), values(theirs, "s_title"), min_score).select(F.col("a").alias("title"), F.col("b").alias("s_title"))
+    addresses = alike(values(looks, "object_address"), values(theirs, "s_address"), min_score).select(F.col("a").alias("object_address"), F.col("b").alias("s_address"))
+    untold, told = looks.filter("object_address = ''"), looks.filter("object_address <> ''")
+    by_title = theirs.groupBy("s_title").agg(F.min("source_id").alias("source_id")).withColumn("s_address", F.lit(""))
+    columns = ["title", "object_address", "s_title", "s_address", "source_id"]
+    met = untold.join(titles, "title").join(by_title, "s_title").select(columns)
+    for df in (told.join(titles, "title").join(theirs, "s_title"), told.join(addresses, "object_address").join(theirs, "s_address")):
+        met = met.unionByName(df.select(columns))
     likeness = fuzzy_score(F.col("title"), F.col("s_title"))
     likeness = F.when(F.col("object_address") != "", (likeness + fuzzy_score(F.col("object_address"), F.col("s_address"))) / 2).otherwise(likeness)
-    fuzzy = pairs.withColumn("score", likeness).groupBy("tender_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("source_id"))).alias("m"))
+    best = met.withColumn("score", likeness).groupBy("title", "object_address").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("source_id"))).alias("m"))
+    fuzzy = rest.join(best, ["title", "object_address"])
     fuzzy = fuzzy.select("tender_id", F.col("m.source_id").alias("source_id"), F.lit("title_fuzzy").alias("strategy"), (-F.col("m.minus")).alias("score")).filter(F.col("score") >= min_score)
     out = tenders.select("tender_id").join(first.unionByName(fuzzy), "tender_id", "left")
     confidence = F.when(F.col("strategy").isNull(), "none").when(F.col("strategy") == "hub_tender_id", "exact").when((F.col("strategy") == "title_fuzzy") & (F.col("score") < 0.75), "medium").otherwise("high")

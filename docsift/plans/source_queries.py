@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docsift.plans.common import table
+from docsift.operators import likeness
+from docsift.plans.common import EVERY, table
 from docsift.session import shared_root
 from docsift.sources import folders, json_objects
 
@@ -49,3 +50,18 @@ def folder_walk(spark, d):
 
 SQL["folder_walk"] = """WITH g AS (SELECT DISTINCT coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source FROM documents)
 SELECT lang, count(*) FILTER (source NOT LIKE '%3') AS folders, count(*) FILTER (source LIKE '%3') AS pruned, count(*) FILTER (source NOT LIKE '%3') AS files FROM g GROUP BY lang"""
+
+
+@query
+def like_titles(spark, d):
+    """Names of parts whose key is divisible by 50 as titles, against all names: equal, one in the other, or an
+    overlap of words of 0.55 and more."""
+    parts = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("value"))
+    return likeness.alike(parts.filter(F.col("p_partkey") % EVERY == 0), parts, 0.55).select("a", "b", F.round("score", 6).alias("score"))
+
+
+SQL["like_titles"] = f"""WITH n AS (SELECT DISTINCT lower(p_name) AS v FROM part), q AS (SELECT DISTINCT lower(p_name) AS v FROM part WHERE p_partkey % {EVERY} = 0),
+w AS (SELECT v, list_distinct(list_filter(string_split_regex(v, '[\\s,./-]+'), lambda t: length(t) > 2)) AS s FROM n),
+p AS (SELECT q.v AS a, y.v AS b, x.s AS xs, y.s AS ys, len(list_intersect(x.s, y.s)) AS both FROM q JOIN w x USING (v), w y WHERE q.v <> '' AND y.v <> ''),
+c AS (SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE WHEN contains(a, b) OR contains(b, a) THEN 0.7 WHEN len(xs) = 0 OR len(ys) = 0 THEN 0 ELSE both::DOUBLE / (len(xs) + len(ys) - both) END AS score FROM p)
+SELECT a, b, round(score, 6) AS score FROM c WHERE score >= 0.55"""
