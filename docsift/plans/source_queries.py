@@ -62,6 +62,6 @@ def like_titles(spark, d):
 
 SQL["like_titles"] = f"""WITH n AS (SELECT DISTINCT lower(p_name) AS v FROM part), q AS (SELECT DISTINCT lower(p_name) AS v FROM part WHERE p_partkey % {EVERY} = 0),
 w AS (SELECT v, list_distinct(list_filter(string_split_regex(v, '[\\s,./-]+'), lambda t: length(t) > 2)) AS s FROM n),
-p AS (SELECT q.v AS a, y.v AS b, x.s AS xs, y.s AS ys, len(list_intersect(x.s, y.s)) AS both FROM q JOIN w x USING (v), w y WHERE q.v <> '' AND y.v <> ''),
-c AS (SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE WHEN contains(a, b) OR contains(b, a) THEN 0.7 WHEN len(xs) = 0 OR len(ys) = 0 THEN 0 ELSE both::DOUBLE / (len(xs) + len(ys) - both) END AS score FROM p)
+p AS (SELECT q.v AS a, y.v AS b, x.s AS xs, y.s AS ys, len(list_intersect(x.s, y.s)) AS shared FROM q JOIN w x USING (v), w y WHERE q.v <> '' AND y.v <> ''),
+c AS (SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE WHEN contains(a, b) OR contains(b, a) THEN 0.7 WHEN len(xs) = 0 OR len(ys) = 0 THEN 0 ELSE shared::DOUBLE / (len(xs) + len(ys) - shared) END AS score FROM p)
 SELECT a, b, round(score, 6) AS score FROM c WHERE score >= 0.55"""
