@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.functions.money import DECIMAL, SPACE, compare_money, money_text, price_mentions
 from docsift.functions.paths import base_name
+from docsift.operators.likeness import contained
 
 FIELDS = ("total_commercial_material_cost", "total_commercial_work_cost", "material_cost_per_unit", "work_cost_per_unit")
 
@@ -53,21 +56,8 @@ def _fold(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"[{SPACE}]+", " ")))
 
 
-#: Characters of the piece by which containment is looked up.
-GRAM = 8
-
-
-def _held(role: int, text: Column) -> Column:
-    """Keys of a text: each of its pieces within its tender, and one under which patterns shorter than a piece look."""
-    last = F.length(text) - (GRAM - 1)
-    pieces = F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.concat(pieces, F.array(F.lit(""))), lambda g: F.xxhash64("tender_id", F.lit(role), g))
-
-
-def _asked(role: int, *patterns: tuple[Column, Column]) -> Column:
-    """Keys of the patterns whose condition holds: each its first piece."""
-    first = lambda p: F.when(F.length(p) >= GRAM, F.substr(p, F.lit(1), F.lit(GRAM))).otherwise("")
-    return F.array_compact(F.array(*(F.when(c, F.xxhash64("tender_id", F.lit(role), first(p))) for p, c in patterns)))
+#: In the place of a supplier: whichever it is.
+_ANY = "\0"
 
 
 def best_candidates(records: DataFrame, found: DataFrame, guarded: bool = True) -> DataFrame:
@@ -78,38 +68,56 @@ def best_candidates(records: DataFrame, found: DataFrame, guarded: bool = True)
     quote's link holds its supplier (guarded: an empty one proves nothing); it is positioned if its label holds the
     record's position, or that holds the label's first 24 characters. Rows of one record_id are one record.
 
-    Both sides are folded once, and records that look alike are one row. A text that holds a pattern holds its first
-    GRAM characters, so both relations come from one equi-join on such pieces, followed by the exact tests: no tender's
-    rows meet as a whole, and they spread over the pieces' keys. What this join doesn't reach takes the first candidate
-    of its supplier, or of its tender, found by an aggregate."""
-    sides, least = ("tender_id", "_link", "_base", "_own", "_name"), 1 if guarded else 0
-    col = F.col
+    Records that look alike are one row, and so are mentions. Which string holds which is found within a tender by that
+    piece of the held one which the fewest others have, short ones by a piece of their own length (`operators/likeness`). Of the mentions that a
+    link is tied to only the first of each supplier and the first of all count, so records and mentions of one quote
+    never meet one by one; the same holds for a tender as a whole. Only positioned pairs are tested each, as the best of
+    them may be linked too."""
+    sides, col = ("tender_id", "_link", "_base", "_own", "_name"), F.col
     rows = records.select("record_id", "tender_id", _fold(col("quote_link")).alias("_link"), _fold(base_name(col("quote_link"))).alias("_base"), _fold(col("supplier")).alias("_own"), _fold(col("position_name")).alias("_name"))
-    looks = rows.select(*sides).distinct()
+    looks = rows.filter("tender_id is not null").select(*sides).distinct()
     hay = F.concat_ws(" ", *(_fold(col(n)) for n in ("title", "path", "supplier", "label")))
-    c = found.select("tender_id", "chunk_id", "ord", "amount", col("label").alias("raw"), _fold(col("supplier")).alias("_sup"), _fold(col("label")).alias("_label"), hay.alias("_hay"))
-    look_id, c_id = F.xxhash64(*sides).alias("_l"), F.xxhash64("tender_id", "chunk_id", "ord", "amount", "_hay").alias("_c")
-    head = F.substr("_label", F.lit(1), F.lit(24))
-    some = lambda x: F.length(x) >= least
-
-    asks = F.concat(_asked(0, (col("_base"), (col("_link") != "") & some("_base")), (col("_name"), col("_name") != "")), F.when(col("_link") != "", _held(1, col("_link"))).otherwise(F.array().cast("array<bigint>")), F.when(col("_name") != "", _held(2, col("_name"))).otherwise(F.array().cast("array<bigint>")))
-    gives = F.concat(_held(0, col("_hay")), _asked(1, (col("_sup"), some("_sup"))), _asked(2, (head, col("_label") != "")))
-    pairs = looks.select(look_id, F.explode(asks).alias("_k")).join(c.select(c_id, F.explode(gives).alias("_k")), "_k").select("_l", "_c").distinct()
-    met = pairs.join(looks.withColumn("_l", look_id), "_l").join(c.withColumn("_c", c_id).withColumnRenamed("tender_id", "_t"), "_c").filter(col("tender_id") == col("_t"))
-    quote = (col("_link") != "") & (F.contains("_hay", col("_base")) & some("_base") | F.contains("_link", col("_sup")) & some("_sup"))
-    position = (col("_name") != "") & (col("_label") != "") & (F.contains("_label", col("_name")) | F.contains("_name", head))
-
-    def entry(pool: Column, quoted: Column, positioned: Column, supplied: Column) -> Column:
-        score = F.when(quoted, 50).otherwise(0) + F.when(positioned, 30).otherwise(0) + F.when(supplied, 20).otherwise(0)
-        return F.min(F.struct((-pool).alias("pool"), (-score).alias("minus"), "chunk_id", "ord", "amount", col("raw").alias("label"), quoted.alias("by_quote"), positioned.alias("by_position")))
-
-    none = F.lit(False)
-    related = met.withColumns({"_q": quote, "_p": position}).filter("_q or _p").groupBy(*sides).agg(entry(F.when(col("_q"), 2).otherwise(1), col("_q"), col("_p"), (col("_own") != "") & (col("_own") == col("_sup"))).alias("_b1"))
-    # The first of each supplier, and of the tender under a name that no supplier has.
-    first = c.select("*", F.explode(F.array_compact(F.array(F.nullif("_sup", F.lit("")), F.lit("\0")))).alias("_whose")).groupBy("tender_id", "_whose").agg(entry(F.lit(0), none, none, col("_whose") != "\0").alias("_b"))
-    of = lambda name: first.withColumnsRenamed({"_b": name, "_whose": "_w"})
-    df = looks.join(related, list(sides), "left").withColumn("_w", col("_own")).join(of("_b2"), ["tender_id", "_w"], "left").withColumn("_w", F.lit("\0")).join(of("_b3"), ["tender_id", "_w"], "left")
-    chosen = df.select(*sides, F.least("_b1", "_b2", "_b3").alias("best"))
+    c = found.filter("tender_id is not null").select("tender_id", _fold(col("supplier")).alias("_sup"), _fold(col("label")).alias("_label"), hay.alias("_hay"), F.struct("chunk_id", "ord", "amount", "label").alias("_row"))
+    c = c.groupBy("tender_id", "_sup", "_label", "_hay").agg(F.min("_row").alias("_row")).withColumn("_head", F.substr("_label", F.lit(1), F.lit(24)))
+    linked, named, labelled = looks.filter("_link <> ''"), looks.filter("_name <> ''"), c.filter("_label <> ''")
+
+    def strings(name: str, *parts: tuple[DataFrame, int, str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [df.select("tender_id", F.lit(role).alias("role"), col(value).alias(name)) for df, role, value in parts])
+
+    def keyed(held: DataFrame, role: int) -> DataFrame:
+        """(tender_id, role, _key of the record's side, _theirs of the mention's), where the record's side is held in `role`."""
+        ours = col("role") == role
+        return held.select("tender_id", "role", F.when(ours, col("pattern")).otherwise(col("text")).alias("_key"), F.when(ours, col("text")).otherwise(col("pattern")).alias("_theirs"))
+
+    def entry(pool: Column, score: Column, quoted: Column, positioned: Column) -> Column:
+        return F.min(F.struct((-pool).alias("pool"), (-score).alias("minus"), "_row.chunk_id", "_row.ord", "_row.amount", "_row.label", quoted.alias("by_quote"), positioned.alias("by_position"))).alias("best")
+
+    # Roles: 0 the quote's file name within a mention, 1 a supplier within the link, 2 the whole tender.
+    mentions = lambda role, key: c.select("tender_id", F.lit(role).alias("role"), key.alias("_theirs"), "_sup", "_row")
+    quotes = keyed(contained(strings("pattern", (linked, 0, "_base"), (c, 1, "_sup")), strings("text", (c, 0, "_hay"), (linked, 1, "_link")), ("tender_id", "role"), "role", few_patterns=True), 0)
+    theirs = mentions(0, col("_hay")).unionByName(mentions(1, col("_sup")).groupBy("tender_id", "role", "_theirs", "_sup").agg(F.min("_row").alias("_row")))
+    tied = quotes.join(theirs, ["tender_id", "role", "_theirs"]).drop("_theirs").unionByName(mentions(2, F.lit("")).withColumnRenamed("_theirs", "_key"))
+    if not guarded:  # an empty file name is in every mention, an empty supplier in every link
+        nameless = c.filter("_sup = ''").groupBy("tender_id").agg(F.min("_row").alias("_row"))
+        links = linked.select("tender_id", "_link").distinct().join(nameless, "tender_id")
+        tied = tied.unionByName(mentions(0, F.lit("")).withColumnRenamed("_theirs", "_key")).unionByName(links.select("tender_id", F.lit(1).alias("role"), col("_link").alias("_key"), F.lit("").alias("_sup"), "_row"))
+    first = tied.withColumn("_whose", F.explode(F.array_compact(F.array(F.nullif("_sup", F.lit("")), F.lit(_ANY))))).groupBy("tender_id", "role", "_key", "_whose").agg(F.min("_row").alias("_row"))
+    ask = lambda role, key: F.struct(F.lit(role).alias("role"), key.alias("_key"))
+    asks = F.array_compact(F.array(F.when(col("_link") != "", ask(0, col("_base"))), F.when(col("_link") != "", ask(1, col("_link"))), ask(2, F.lit(""))))
+    asked = looks.withColumn("_ask", F.explode(asks)).withColumn("_whose", F.explode(F.array_compact(F.array(F.nullif("_own", F.lit("")), F.lit(_ANY))))).select(*sides, "_ask.*", "_whose")
+    by_quote, by_name = col("role") < 2, F.when(col("_whose") == _ANY, 0).otherwise(20)
+    by_key = asked.join(first, ["tender_id", "role", "_key", "_whose"]).groupBy(*sides).agg(entry(F.when(by_quote, 2).otherwise(0), F.when(by_quote, 50).otherwise(0) + by_name, by_quote, F.lit(False)))
+
+    # Roles: 0 the position within a label, 1 a label's head within the position.
+    positions = keyed(contained(strings("pattern", (named, 0, "_name"), (labelled, 1, "_head")), strings("text", (labelled, 0, "_label"), (named, 1, "_name")), ("tender_id", "role"), "role", few_patterns=True), 0)
+    of = lambda role, key: labelled.select("tender_id", F.lit(role).alias("role"), col(key).alias("_theirs"), "_sup", "_hay", "_row")
+    met = positions.join(of(0, "_label").unionByName(of(1, "_head")), ["tender_id", "role", "_theirs"]).withColumnRenamed("_key", "_name").join(named, ["tender_id", "_name"])
+    some = lambda x: F.lit(True) if not guarded else x != ""
+    quote = (col("_link") != "") & (F.contains("_hay", col("_base")) & some(col("_base")) | F.contains("_link", col("_sup")) & some(col("_sup")))
+    own = F.when((col("_own") != "") & (col("_own") == col("_sup")), 20).otherwise(0)
+    positioned = met.groupBy(*sides).agg(entry(F.when(quote, 2).otherwise(1), F.when(quote, 80).otherwise(30) + own, quote, F.lit(True)))
+
+    chosen = by_key.unionByName(positioned).groupBy(*sides).agg(F.min("best").alias("best"))
     best = rows.join(chosen, list(sides)).groupBy("record_id").agg(F.min("best").alias("best"))
     return records.join(best, "record_id", "left")
 

@@ -29,18 +29,23 @@ def _pieces(text: Column, lengths: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(lengths, of)))
 
 
-def contained(patterns: DataFrame, texts: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+def contained(patterns: DataFrame, texts: DataFrame, within: tuple[str, ...] = (), kind: str | None = None, few_patterns: bool = False) -> DataFrame:
     """(within..., pattern, text): which of the texts hold which of the patterns, among rows equal in the columns of
-    `within`. patterns: within..., pattern; texts: within..., text."""
+    `within`. patterns: within..., pattern; texts: within..., text.
+
+    kind: a column of `within` of few values, each with lengths of short patterns of its own. few_patterns: a pattern looks
+    under that piece which the fewest patterns have, so that texts aren't counted: where each pattern has a piece of its own,
+    there are no more candidates than pieces of texts."""
     key = lambda c: F.xxhash64(*within, c).alias("_k")
     p = patterns.select(*within, "pattern").filter("pattern <> ''").distinct().withColumn("_p", F.xxhash64(*within, "pattern"))
     t = texts.select(*within, "text").filter("text <> ''").distinct().withColumn("_t", F.xxhash64(*within, "text"))
     short = F.length("pattern") < GRAM
-    # One row: at most GRAM lengths.
-    lengths = p.agg(F.array_union(F.collect_set(F.when(short, F.length("pattern"))), F.array(F.lit(GRAM))).alias("_n"))
-    held = t.crossJoin(F.broadcast(lengths)).select("_t", *within, F.explode(_pieces(F.col("text"), F.col("_n"))).alias("_x")).select("_t", key(F.col("_x")))
+    # One row, or one for each kind: at most GRAM lengths.
+    ways = F.array_union(F.collect_set(F.when(short, F.length("pattern"))), F.array(F.lit(GRAM))).alias("_n")
+    sized = t.crossJoin(F.broadcast(p.agg(ways))) if kind is None else t.join(F.broadcast(p.groupBy(kind).agg(ways)), kind)
+    held = sized.select("_t", *within, F.explode(_pieces(F.col("text"), F.col("_n"))).alias("_x")).select("_t", key(F.col("_x")))
     asked = p.select("_p", *within, F.explode(F.when(short, F.array("pattern")).otherwise(_pieces(F.col("pattern"), F.array(F.lit(GRAM))))).alias("_x")).select("_p", key(F.col("_x")))
-    counts = held.groupBy("_k").agg(F.count("*").alias("_held"))
+    counts = (asked if few_patterns else held).groupBy("_k").agg(F.count("*").alias("_held"))
     rarest = asked.join(counts, "_k", "left").groupBy("_p").agg(F.min_by("_k", F.struct(F.coalesce("_held", F.lit(0)), F.col("_k"))).alias("_k"))
     pairs = rarest.join(held, "_k").select("_p", "_t").distinct()
     same = [f"_{i}" for i in range(len(within))]

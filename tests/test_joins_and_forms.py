@@ -109,3 +109,13 @@ def test_text_measures(spark):
     r = df.select(normalize_text(F.col("t")).alias("t"), js_trim(F.lit(" x　")).alias("j"), noise_report(F.col("n")).alias("n")).first()
     assert r["t"] == "a\nb\n\n\nc" and r["j"] == "x"
     assert (r["n"]["letter_tokens"], r["n"]["mixed_script_tokens"], r["n"]["alpha_digit_tokens"]) == (7, 3, 1)
+
+
+def test_a_tender_of_many_short_names_under_one_quote(spark):
+    """10,000 names of seven characters, a mention of each, one supplier and one link: pairs would be 10 ** 8."""
+    n = 10_000
+    records = spark.range(n).select(F.format_string("r%05d", "id").alias("record_id"), F.lit(1).alias("tender_id"), F.format_string("N%06d", "id").alias("position_name"), F.lit("q/Acme.pdf").alias("quote_link"), F.lit("acme.pdf").alias("supplier"))
+    found = spark.range(n).select(F.lit(1).alias("tender_id"), F.format_string("c%05d", n - F.col("id")).alias("chunk_id"), F.lit("z/acme.pdf").alias("path"), F.lit("").alias("title"), F.lit("Acme.pdf").alias("supplier"), F.lit(0).alias("ord"), F.col("id").cast("string").alias("amount"), F.format_string("n%06d cost", "id").alias("label"))
+    best = audit.best_candidates(records, found)
+    own = (F.col("best.amount").cast("int") == F.substr("record_id", F.lit(2)).cast("int")) & F.col("best.by_quote") & F.col("best.by_position")
+    assert best.count() == n and best.filter(own).count() == n

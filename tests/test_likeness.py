@@ -45,9 +45,12 @@ def test_contained_within_groups(spark):
     patterns, texts = [(rng.randrange(3), word(14)) for _ in range(80)], [(rng.randrange(3), word(40)) for _ in range(80)]
     patterns.append((None, "ab"))
     texts.append((None, "cab"))
-    got = likeness.contained(spark.createDataFrame(patterns, "g int, pattern string"), spark.createDataFrame(texts, "g int, text string"), ("g",)).collect()
+    p, t = spark.createDataFrame(patterns, "g int, pattern string"), spark.createDataFrame(texts, "g int, text string")
     want = {(g, p, t) for g, p in patterns for h, t in texts if g == h and p and p in t}
-    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    for options in ({}, {"few_patterns": True}, {"kind": "g", "few_patterns": True}):
+        got = likeness.contained(p, t, ("g",), **options).collect()
+        told = {w for w in want if w[0] is not None or "kind" not in options}  # a kind isn't null
+        assert len(got) == len(told) and {tuple(r) for r in got} == told
 
 
 def test_a_common_word_is_no_key(spark):
