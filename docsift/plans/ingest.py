@@ -12,6 +12,7 @@ import re
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from docsift.functions.text import normalize_text
 from docsift.operators import chunking, embedding, maintenance, quality
 from docsift.session import shared_root
 from docsift.sources import readers
+from docsift.sources.conversions import Conversions
 from docsift.sources.snapshots import Snapshots
 
 _QUALITY = "struct<status:string,score:int,warnings:array<string>,chars:int,words:int,chunks:int>"
@@ -118,12 +120,22 @@ def index_source(
     include: list[str] | None = None,
     exclude: list[str] | None = None,
     force: bool = False,
+    conversions: Conversions | None = None,
+    versions: tuple[str, str] = ("", ""),
 ) -> dict[str, int]:
     """Bring the index's files and chunks of a source up to date, and say what was done.
 
     Unchanged files (time and size) keep their rows unless force. A file whose conversion fails has a row with the error
     and no chunks, and is tried again by the next run. With `second`, files that came out badly are converted once more.
-    Files that are gone lose their rows."""
+    Files that are gone lose their rows. With `conversions`, equal contents are converted once by the converters that
+    `versions` name, in any source."""
+    if conversions is not None and not all(versions[: 1 if second is None else 2]):
+        raise ValueError("kept conversions need the names and versions of their converters")
+
+    def convert(rows: DataFrame, how: Callable[[str, bytes], str], version: str) -> DataFrame:
+        load = partial(_contents, spark)
+        return readers.convert(load(rows), how) if conversions is None else conversions.convert(rows, how, version, load=load).drop("fresh")
+
     own, writer = F.lit(source_id), store(spark, index).begin()
     base = writer.base.number
     scan = readers.classified(readers.scan_folders(spark, roots), include, exclude).filter(F.col("reason") == "eligible")
@@ -134,11 +146,11 @@ def index_source(
     actions = staged(actions, "actions")
     todo = scan.join(actions.filter(F.col("action").isin("new", "changed")), "file_id")
 
-    first = staged(judged(readers.convert(_contents(spark, todo), converter)), "converted")
+    first = staged(judged(convert(todo, converter, versions[0])), "converted")
     done = first.withColumn("reindex", F.lit(None).cast(_RETRY))
     if second is not None:
         queued = first.filter(quality.retry_decision(F.col("quality"), F.lit(False), F.lit(0))["queued"])
-        again = judged(readers.convert(_contents(spark, scan.join(queued.select("file_id"), "file_id")), second))
+        again = judged(convert(scan.join(queued.select("file_id"), "file_id"), second, versions[1]))
         done = staged(retried(first, again), "retried")
 
     facts = todo.select("file_id", "path", "relative_path", "title", "extension", "mtime_ms", "size").join(done, "file_id").withColumn("source_id", own)

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from docsift.operators import likeness
+from docsift.operators import page_links as anchors
 from docsift.plans.common import EVERY, table
 from docsift.session import shared_root
 from docsift.sources import folders, json_objects
+from docsift.sources.conversions import Conversions
 
 Q = {}
 SQL = {}
@@ -65,3 +67,29 @@ w AS (SELECT v, list_distinct(list_filter(string_split_regex(v, '[\\s,./-]+'), l
 p AS (SELECT q.v AS a, y.v AS b, x.s AS xs, y.s AS ys, len(list_intersect(x.s, y.s)) AS shared FROM q JOIN w x USING (v), w y WHERE q.v <> '' AND y.v <> ''),
 c AS (SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE WHEN contains(a, b) OR contains(b, a) THEN 0.7 WHEN len(xs) = 0 OR len(ys) = 0 THEN 0 ELSE shared::DOUBLE / (len(xs) + len(ys) - shared) END AS score FROM p)
 SELECT a, b, round(score, 6) AS score FROM c WHERE score >= 0.55"""
+
+
+@query
+def page_links(spark, d):
+    """SC31, N30: anchors of all pages with resolved addresses and labels, each address of a page once."""
+    return anchors.page_links(table(spark, d, "pages"))
+
+
+SQL["page_links"] = """WITH a AS (SELECT page_id, regexp_extract(url, '^([^:]*://[^/?#]*)', 1) AS origin, unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) AS href,
+  unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS told, unnest(range(len(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')))) AS position FROM pages),
+b AS (SELECT page_id, position::INT AS position, trim(replace(href, '&amp;', '&')) AS href, origin || trim(replace(href, '&amp;', '&')) AS url, trim(replace(told, '&amp;', '&')) AS label FROM a)
+SELECT page_id, position, href, url, label, 'link' AS kind, 'url:' || lower(regexp_replace(url, '#.*$', '')) AS link_key FROM b WHERE label <> '' QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY position) = 1"""
+
+
+@query
+def kept_conversions(spark, d):
+    """SC12: all documents as files of two sources, even ids first: text, and whether the file's own content was converted;
+    equal contents are converted once, by the first source that has them."""
+    files = table(spark, d, "documents").select("doc_id", F.lit(".txt").alias("extension"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    kept = Conversions(spark, f"{shared_root(spark)}/docsift/kept-{uuid.uuid4().hex}")
+    sources = [files.filter(F.col("doc_id") % 2 == i) for i in range(2)]
+    rows = [kept.convert(f, lambda ext, content: content.decode("utf-8"), "plain-1", "doc_id") for f in sources]
+    return rows[0].unionByName(rows[1]).select("doc_id", F.md5("markdown").alias("markdown_md5"), "fresh")
+
+
+SQL["kept_conversions"] = """SELECT doc_id, md5(coalesce(text, '')) AS markdown_md5, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id % 2, doc_id) = 1 AS fresh FROM documents"""
