@@ -3,7 +3,8 @@
 A text's address is the SHA-256 and length of the bytes, the extension and the converter's name and version. Addresses are
 taken natively; only the contents of one file of each unseen address go to the converter. Kept texts are rows of a table,
 one folder for each converter version, to which runs append. Two runs that convert the same content at once add a row each
-and readers take one. A failure is an error row of every file with those bytes and isn't kept: the next run tries again.
+and readers take one. A failure is an error row of every file with those bytes; it is
+stored with its run but doesn't count as kept: the next run tries again.
 
 Defined results: rows without content have the error `no content`; rows of one key with different contents are converted each.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from docsift.session import shared_root
 from docsift.sources import readers
 
-KEPT = "address string, markdown string"
+KEPT = "address string, markdown string, error string, run string"
 
 
 class Conversions:
@@ -41,8 +42,8 @@ class Conversions:
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], KEPT)
-        return rows.groupBy("address").agg(F.min("markdown").alias("markdown"))
+            return self.spark.createDataFrame([], KEPT).select("address", "markdown")
+        return rows.filter("error is null").groupBy("address").agg(F.min("markdown").alias("markdown"))
 
     def _staged(self, df: DataFrame) -> DataFrame:
         path = f"{shared_root(self.spark)}/docsift/conversions-{uuid.uuid4().hex}"
@@ -63,8 +64,9 @@ class Conversions:
         wanted = files.join(chosen.select(key).distinct(), key, "left_semi")
         # The address goes along as the key, so that a file with other contents under its key can't answer for it.
         addressed = opened(wanted).filter("content is not null").withColumn("address", address)
-        made = self._staged(readers.convert(addressed, converter, "address").dropDuplicates(["address"]))
-        made.filter("error is null").select("address", "markdown").write.mode("append").parquet(self._path(version))
+        run = uuid.uuid4().hex
+        readers.convert(addressed, converter, "address").withColumn("run", F.lit(run)).write.mode("append").parquet(self._path(version))
+        made = self.spark.read.schema(KEPT).parquet(self._path(version)).filter(F.col("run") == run).dropDuplicates(["address"])
         texts = made.select("address", "markdown", "error").unionByName(known.join(made.select("address"), "address", "left_anti").withColumn("error", F.lit(None).cast("string")))
         now = chosen.select("address", F.col(key).alias("_chosen"))
         df = seen.join(texts, "address", "left").join(now, "address", "left")
