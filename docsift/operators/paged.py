@@ -114,13 +114,15 @@ def on_index(chunks: DataFrame, index: DataFrame, keys: tuple[str, ...] = ("file
 def with_crops(chunks: DataFrame, crops: DataFrame, key: list[str], budget: int = CROP_BUDGET) -> DataFrame:
     """Add to the first part of each page the text of its blocks' crops, in order, budget characters in all.
 
-    crops: block_id, crop. Adds has_crop_text and text_hash."""
+    crops: block_id, crop. Adds has_crop_text and text_hash. Crops are wide and their size is guessed too low from the
+    plan, so they are merged with the pages, never broadcast, and cut to the budget before they travel."""
     ids = chunks.filter("chunk_ord = 0").select(*key, F.posexplode("block_ids").alias("_o", "block_id"))
-    rows = ids.join(crops.filter("crop is not null and crop <> ''"), "block_id")
+    cut_crops = crops.filter("crop is not null and crop <> ''").withColumn("crop", F.substr("crop", F.lit(1), F.lit(budget)))
+    rows = ids.join(cut_crops.hint("merge"), "block_id")
     before = F.coalesce(F.sum(F.length("crop")).over(Window.partitionBy(*key).orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = rows.withColumn("_before", before).filter(F.col("_before") < budget).withColumn("_c", F.substr("crop", F.lit(1), (budget - F.col("_before")).cast("int")))
     joined = cut.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "_c"))), lambda r: r["_c"]), "\n").alias("_crop"))
-    df = chunks.join(joined, key, "left").withColumn("_crop", F.when(F.col("chunk_ord") == 0, F.col("_crop")))
+    df = chunks.join(joined.hint("merge"), key, "left").withColumn("_crop", F.when(F.col("chunk_ord") == 0, F.col("_crop")))
     df = df.withColumn("has_crop_text", F.col("_crop").isNotNull()).withColumn("text", F.when(F.col("has_crop_text"), F.concat_ws("\n", "text", "_crop")).otherwise(F.col("text"))).drop("_crop")
     return df.withColumn("text_hash", F.sha2("text", 256))
 
