@@ -6,6 +6,9 @@ travels is one row for each chunk and query term that it holds. The queries are
 counted: up to MAX_TERMS of them are a set within the plan, more are joined. Texts are read once for a score:
 frequencies, statistics and scores all start from one exchange of these rows by chunk and term, so that a term which
 most chunks hold has its rows on many tasks; what is looked up by term is a table of the queries' terms.
+
+bm25 and simple_scores give every scored pair; bm25_top and simple_top only the k best of each query, which tasks choose
+from the chunks that they hold (`operators/best`), so that their pairs are never rows.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.functions.text import tokens
+from docsift.operators.best import by_terms
 
 K1, B = 1.2, 0.75
 BOOSTS = {"text": 1.0, "title": 2.2, "path": 1.2, "source_title": 1.7}
@@ -88,6 +92,13 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", query_key
     return _scored(_parts(post, key, k1, b), wanted, key, query_key)
 
 
+def bm25_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query_key: str = "query_id", fields: dict[str, float] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """The k best of bm25, with their rank; the queries' terms are read when this is called."""
+    wanted = query_terms(queries, query_key)
+    post = postings(tokenized(chunks, fields), wanted, key, fields)
+    return top_k(by_terms(_parts(post, key, k1, b), wanted, k, key, query_key), k, query_key, key)
+
+
 def _scored(parts: DataFrame, wanted: DataFrame, key: str, query_key: str) -> DataFrame:
     return parts.join(wanted, "term").groupBy(query_key, key).agg(F.sum("part").alias("score")).filter("score > 0")
 
@@ -98,20 +109,41 @@ def simple_scores(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id",
     Chunks that hold the phrase without any whole term aren't looked for: a phrase of words implies its terms. Within a
     phrase that a text holds all terms but the first and the last are whole tokens of the text, so only chunks with all
     but two of them are compared with the phrase, and only their texts travel."""
+    held, wanted = _simple_parts(chunks, queries, key, query_key, text, phrase)
+    both = held.join(wanted, "term")
+    if phrase is None:
+        return both.groupBy(query_key, key).agg(F.sum("part").alias("score"))
+    scored = both.groupBy(query_key, key).agg(F.sum("part").alias("score"), (F.sum("_mine") >= F.first("_n") - 2).alias("_near"))
+    near = _with_phrase(scored.filter("_near"), chunks, queries, key, query_key, text, phrase)
+    return scored.filter("not _near").select(query_key, key, "score").unionByName(near.select(query_key, key, (F.col("score") + F.when(F.col("_held"), 8.0).otherwise(0.0)).alias("score")))
+
+
+def _simple_parts(chunks: DataFrame, queries: DataFrame, key: str, query_key: str, text: str, phrase: str | None) -> tuple[DataFrame, DataFrame]:
+    """(key, term, part), and the queries' terms, with a phrase told whether they are of it and how many it has."""
     docs = chunks.withColumn("_tokens_text", tokens(F.col(text))).withColumn("doc_len", F.lit(1))
     wanted = query_terms(queries, query_key)
     if phrase is not None:
         own = queries.select(query_key, F.array_distinct(tokens(F.col(phrase))).alias("_own"))
         wanted = wanted.join(own, query_key).select(query_key, "term", F.array_contains("_own", F.col("term")).cast("int").alias("_mine"), F.size("_own").alias("_n"))
-    held = postings(docs, wanted, key, {"text": 1.0}).select(key, "term", (2 + F.log1p("tf")).alias("part"))
-    both = held.join(wanted, "term")
-    if phrase is None:
-        return both.groupBy(query_key, key).agg(F.sum("part").alias("score"))
-    scored = both.groupBy(query_key, key).agg(F.sum("part").alias("score"), (F.sum("_mine") >= F.first("_n") - 2).alias("_near"))
+    return postings(docs, wanted, key, {"text": 1.0}).filter("term <> ''").select(key, "term", (2 + F.log1p("tf")).alias("part")), wanted
+
+
+def _with_phrase(near: DataFrame, chunks: DataFrame, queries: DataFrame, key: str, query_key: str, text: str, phrase: str) -> DataFrame:
+    """Rows of near with _held: whether the chunk's text holds the query's phrase."""
     texts = chunks.select(key, F.lower(F.col(text)).alias("_low"))
-    near = scored.filter("_near").join(texts, key).join(queries.select(query_key, F.lower(F.trim(phrase)).alias("_phrase")), query_key)
-    bonus = F.when((F.col("_phrase") != "") & F.contains("_low", F.col("_phrase")), 8.0).otherwise(0.0)
-    return scored.filter("not _near").select(query_key, key, "score").unionByName(near.select(query_key, key, (F.col("score") + bonus).alias("score")))
+    met = near.join(texts, key).join(queries.select(query_key, F.lower(F.trim(phrase)).alias("_phrase")), query_key)
+    return met.withColumn("_held", (F.col("_phrase") != "") & F.contains("_low", F.col("_phrase"))).drop("_low", "_phrase")
+
+
+def simple_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query_key: str = "query_id", text: str = "text", phrase: str | None = "phrase") -> DataFrame:
+    """The k best of simple_scores, with their rank: the k best without regard to phrases, and every chunk that holds one."""
+    held, wanted = _simple_parts(chunks, queries, key, query_key, text, phrase)
+    if phrase is None:
+        return top_k(by_terms(held, wanted, k, key, query_key), k, query_key, key)
+    found = by_terms(held, wanted, k, key, query_key, near=True)
+    bonus = _with_phrase(found.filter("_near"), chunks, queries, key, query_key, text, phrase).filter("_held").select(query_key, key, (F.col("score") + 8.0).alias("score"))
+    both = found.filter("not _near").select(query_key, key, "score").unionByName(bonus).groupBy(query_key, key).agg(F.max("score").alias("score"))
+    return top_k(both, k, query_key, key)
 
 
 def lexical_candidates(chunks: DataFrame, queries: DataFrame, mode: str = "bm25", k: int = 200, key: str = "chunk_id", query_key: str = "query_id", text: str = "text", block: int = 10_000) -> DataFrame:
@@ -121,10 +153,10 @@ def lexical_candidates(chunks: DataFrame, queries: DataFrame, mode: str = "bm25"
     within longer words: those queries are looked for in every text, the others aren't. The queries are a stated set,
     counted and dealt into blocks, of which each sends its lost ones to the texts; a block without any reads none."""
     if mode != "bm25":
-        return top_k(simple_scores(chunks, queries, key, query_key, text), k, query_key, key)
+        return simple_top(chunks, queries, k, key, query_key, text)
     wanted = query_terms(queries, query_key)
     post = postings(tokenized(chunks), wanted, key)
-    best = _scored(_parts(post, key), wanted, key, query_key)
+    best = by_terms(_parts(post, key), wanted, k, key, query_key)
     if "phrase" not in queries.columns:
         return top_k(best, k, query_key, key)
     known = wanted.join(term_statistics(post), "term", "left_semi").select(query_key).distinct()
@@ -137,10 +169,20 @@ def lexical_candidates(chunks: DataFrame, queries: DataFrame, mode: str = "bm25"
 
 
 def all_lexical_scores(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", query_key: str = "query_id", text: str = "text") -> DataFrame:
-    """BM25 where there is one, else the simple score."""
-    best = bm25(chunks, queries, key, query_key).withColumnRenamed("score", "_bm25")
+    """BM25 where there is one, else the simple score. Whatever has a simple score shares a term of its text with the query,
+    and then BM25 is above 0, so where text is one of BM25's fields, BM25 gives all."""
+    best = bm25(chunks, queries, key, query_key)
+    if text in BOOSTS:
+        return best
     simple = simple_scores(chunks, queries, key, query_key, text).withColumnRenamed("score", "_simple")
-    return best.join(simple, [query_key, key], "full").select(query_key, key, F.coalesce("_bm25", "_simple").alias("score"))
+    return best.withColumnRenamed("score", "_bm25").join(simple, [query_key, key], "full").select(query_key, key, F.coalesce("_bm25", "_simple").alias("score"))
+
+
+def all_lexical_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query_key: str = "query_id", text: str = "text") -> DataFrame:
+    """The k best of all_lexical_scores, with their rank."""
+    if text in BOOSTS:
+        return bm25_top(chunks, queries, k, key, query_key)
+    return top_k(all_lexical_scores(chunks, queries, key, query_key, text), k, query_key, key)
 
 
 def top_k(scored: DataFrame, k: int, query_key: str = "query_id", key: str = "chunk_id", score: str = "score", digits: int = 6) -> DataFrame:

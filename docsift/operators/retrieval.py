@@ -12,7 +12,7 @@ from docsift.functions import citations
 from docsift.functions.arrays import let
 from docsift.functions.text import expand_synonyms, phrase_boost, snippet, tokens
 from docsift.functions.vectors import clamp01, dot
-from docsift.operators import lexical
+from docsift.operators import best, lexical
 
 VECTOR_WEIGHT, LEXICAL_WEIGHT, RRF_K = 0.82, 0.18, 60
 VECTOR_TOP, LEXICAL_TOP, FUSED_TOP, RERANK_TOP = 200, 200, 60, 30
@@ -43,6 +43,19 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, key: str = "chunk_id",
     return out
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query_key: str = "query_id") -> DataFrame:
+    """The k best of vector_scores, with their rank, chosen inside tasks (`operators/best`). Vectors with a null, a NaN or an
+    infinite element are compared one by one."""
+    plain = lambda c: F.forall(F.coalesce(c, F.array()), lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
+    v, q = plain(F.col("vector")), plain(F.col("query_vector"))
+    found = best.by_vectors(vectors.filter(v), queries.filter(q), k, key, query_key)
+    odd = queries.filter(~q)
+    found = found.unionByName(vector_scores(vectors.filter(~v), queries, key, query_key))
+    if not odd.isEmpty():
+        found = found.unionByName(vector_scores(vectors.filter(v), odd, key, query_key))
+    return lexical.top_k(found, k, query_key, key)
+
+
 def rrf(vector: DataFrame, lex: DataFrame, k: int = FUSED_TOP, key: str = "chunk_id", query_key: str = "query_id", rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists (query_key, key, score, rank); one row per chunk of either."""
     none = F.lit(None)
@@ -129,7 +142,7 @@ def search(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = No
     lex = lexical.lexical_candidates(chunks, q, mode, LEXICAL_TOP)
     if vectors is not None:
         scoped = vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-        vec = lexical.top_k(vector_scores(scoped, q.filter("query_vector is not null").select("query_id", "query_vector")), VECTOR_TOP)
+        vec = nearest(scoped, q.filter("query_vector is not null").select("query_id", "query_vector"), VECTOR_TOP)
     else:
         vec = lex.limit(0)
     fused = rrf(vec, lex)
@@ -143,9 +156,9 @@ def search(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = No
     if scorer is not None:
         ranked = rerank(ranked, rerank_scores(ranked, scorer))
         ranked = ranked.withColumn("search_mode", F.when(F.col("rerank_score").isNotNull(), F.concat("search_mode", F.lit("+rerank"))).otherwise(F.col("search_mode")))
-    best = ranked.filter(F.col("rank") <= limit)
+    first = ranked.filter(F.col("rank") <= limit)
     keep = [c for c in ("source_id", "title", "path", "source_title") if c in chunks.columns]
-    return best.select(
+    return first.select(
         "query_id",
         "rank",
         "chunk_id",
@@ -154,7 +167,7 @@ def search(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = No
         "vector_rank",
         "lexical_rank",
         "search_mode",
-        citations.label_of(best).alias("citation_label"),
+        citations.label_of(first).alias("citation_label"),
         snippet(F.col("text"), F.col("query_text")).alias("snippet"),
     )
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.operators import lexical
+from docsift.operators.best import by_terms
 from docsift.session import checkpointed
 
 EVERYWHERE = ""
@@ -30,6 +31,12 @@ def with_scopes(requests: DataFrame, scopes: DataFrame, query_key: str = "query_
 
 def bm25(chunks: DataFrame, requests: DataFrame, scopes: DataFrame, key: str = "chunk_id", query_key: str = "query_id", source: str = "source_id", fields: dict[str, float] | None = None, k1: float = lexical.K1, b: float = lexical.B) -> DataFrame:
     """(query_key, key, score > 0) of every chunk in the request's scope that shares a term with it. requests: query_key, terms."""
+    parts, wanted = _parts(chunks, requests, scopes, key, query_key, source, fields, k1, b)
+    return parts.join(wanted, "term").groupBy(query_key, key).agg(F.sum("part").alias("score")).filter("score > 0")
+
+
+def _parts(chunks: DataFrame, requests: DataFrame, scopes: DataFrame, key: str, query_key: str, source: str, fields: dict[str, float] | None = None, k1: float = lexical.K1, b: float = lexical.B) -> tuple[DataFrame, DataFrame]:
+    """(key, term, part) and (query_key, term), a term being that of a scope: the scope, a blank, the term."""
     scoped = checkpointed(with_scopes(requests, scopes, query_key, source))
     wanted = lexical.query_terms(scoped, query_key).join(scoped.select(query_key, "scope"), query_key)
     at = F.struct(F.col(source).cast("string").alias("source"), F.col(key).alias("key"))
@@ -47,14 +54,18 @@ def bm25(chunks: DataFrame, requests: DataFrame, scopes: DataFrame, key: str = "
     df = asked.join(counts, ["_source", "term"]).groupBy("scope", "term").agg(F.sum("n").alias("df"))
     stats = df.join(sums, "scope")
     part = lexical.idf(F.col("n_docs"), F.col("df")) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
-    parts = post.filter("term <> ''").join(asked.join(stats, ["scope", "term"]), ["_source", "term"]).select("scope", "term", key, part.alias("part"))
-    return parts.join(wanted, ["scope", "term"]).groupBy(query_key, key).agg(F.sum("part").alias("score")).filter("score > 0")
+    parts = post.filter("term <> ''").join(asked.join(stats, ["scope", "term"]), ["_source", "term"])
+    scoped_term = F.concat_ws(" ", "scope", "term").alias("term")
+    return parts.select(key, scoped_term, part.alias("part")), wanted.select(query_key, scoped_term)
 
 
 def search(chunks: DataFrame, requests: DataFrame, scopes: DataFrame, key: str = "chunk_id", query_key: str = "query_id", source: str = "source_id", limit: str = "top_k") -> DataFrame:
     """(query_key, key, score, rank): each request's best chunks, as many as its column limit says; ties by key."""
     most = requests.agg(F.max(limit)).first()[0] or 0
-    found = lexical.top_k(bm25(chunks, requests, scopes, key, query_key, source), int(most), query_key, key)
+    if most < 1:
+        most = 1  # no row is within the limits
+    parts, wanted = _parts(chunks, requests, scopes, key, query_key, source)
+    found = lexical.top_k(by_terms(parts, wanted, int(most), key, query_key), int(most), query_key, key)
     return found.join(requests.select(query_key, limit), query_key).filter(F.col("rank") <= F.col(limit)).drop(limit)
 
 

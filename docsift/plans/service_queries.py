@@ -92,8 +92,7 @@ SELECT 'chunk' AS how, min(file_id) AS file_id, '/p/3' AS path FROM f WHERE path
 @query
 def all_lexical(spark, d):
     """The lexical score of every document that shares a term with an item, the three best."""
-    scored = lexical.all_lexical_scores(documents_as_chunks(spark, d), _prepared(spark, d))
-    return lexical.top_k(scored, 3).select("query_id", "chunk_id", "score", "rank")
+    return lexical.all_lexical_top(documents_as_chunks(spark, d), _prepared(spark, d), 3).select("query_id", "chunk_id", "score", "rank")
 
 
 SQL["all_lexical"] = f"WITH {BM25_SQL} SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 3"
