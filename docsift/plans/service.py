@@ -143,6 +143,14 @@ def quality_filter(files: DataFrame, wanted: str = "all") -> DataFrame:
     return files
 
 
+def quality_counts(files: DataFrame, wanted: tuple[str, ...] = ("all", "searchable", "ok", "warning", "error")) -> DataFrame:
+    """(wanted, n): how many files each filter of quality_filter lets through, from one reading of the files."""
+    status = quality.file_status(F.col("status"), F.col("chunks"))
+    kept = lambda w: F.col("chunks") > 0 if w == "searchable" else F.col("status_") == w if w in ("ok", "warning", "error") else F.lit(True)
+    counts = files.select(status.alias("status_"), "chunks").agg(*(F.count_if(kept(w)).alias(w) for w in wanted))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(w).alias("wanted"), F.col(w).alias("n")) for w in wanted))))
+
+
 def indexed_files(files: DataFrame, source_id: str, wanted: str = "all") -> DataFrame:
     """A source's files without absolute paths, with their strings redacted."""
     return privacy.sanitize_frame(quality_filter(files.filter(F.col("source_id") == source_id), wanted).drop("path"))

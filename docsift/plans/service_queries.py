@@ -156,11 +156,7 @@ SQL["ocr_cache"] = "SELECT event_id % 10 < CASE WHEN event_id % 3 > 0 THEN least
 @query
 def file_lists(spark, d):
     """Files by the filters of a list: all, searchable, and each status."""
-    f, out = _files(spark, d), None
-    for wanted in ("all", "searchable", "ok", "warning", "error"):
-        n = service.quality_filter(f, wanted).agg(F.count("*").alias("n")).select(F.lit(wanted).alias("wanted"), "n")
-        out = n if out is None else out.unionByName(n)
-    return out
+    return service.quality_counts(_files(spark, d))
 
 
 SQL["file_lists"] = f"""WITH {_FILES} SELECT 'all' AS wanted, count(*) AS n FROM files UNION ALL SELECT 'searchable', count(*) FROM files WHERE chunks > 0 UNION ALL SELECT 'ok', count(*) FROM files WHERE status = 'ok'
