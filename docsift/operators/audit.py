@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docsift.functions.money import DECIMAL, SPACE, compare_money, money_text, price_mentions
 from docsift.functions.paths import base_name
 from docsift.operators.likeness import contained
+from docsift.session import stored
 
 FIELDS = ("total_commercial_material_cost", "total_commercial_work_cost", "material_cost_per_unit", "work_cost_per_unit")
 
@@ -23,10 +24,16 @@ def tenders_with_registry(tenders: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def price_records(items: DataFrame, positions: DataFrame, materials: DataFrame, works: DataFrame) -> DataFrame:
-    """Items with their position's costs and the first of material, work and own name."""
+    """Items with their position's costs and the first of material, work and own name.
+
+    An item without one of the three ids has no partner there; a second key, 0 for all others, deals such items out, as
+    their null would gather them in one task."""
     p = positions.select(F.col("id").alias("position_id"), "item_no", "material_cost_per_unit", "work_cost_per_unit")
     m, w = materials.select(F.col("id").alias("material_id"), F.col("name").alias("_m")), works.select(F.col("id").alias("work_id"), F.col("name").alias("_w"))
-    df = items.join(p, "position_id", "left").join(m, "material_id", "left").join(w, "work_id", "left")
+    df = items
+    for ids, key in ((p, "position_id"), (m, "material_id"), (w, "work_id")):
+        nought = F.pmod(F.xxhash64(key), F.lit(1))  # a plain 0 would be folded into the condition and be no key
+        df = df.withColumn("_at", F.when(F.col(key).isNull(), F.xxhash64("record_id")).otherwise(0)).join(ids.withColumn("_at", nought), [key, "_at"], "left").drop("_at")
     zero = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("0")).alias(c)
     return df.select(
         "record_id",
@@ -45,8 +52,10 @@ def comparable(records: DataFrame, keep: list[str], fields: tuple[str, ...] = FI
 
 
 def candidates(chunks: DataFrame) -> DataFrame:
-    """One row per price mention of each chunk, with its place, supplier (the file's name) and order."""
-    return chunks.select("tender_id", "chunk_id", "path", "title", base_name(F.coalesce("path", "title")).alias("supplier"), F.posexplode(price_mentions(F.col("text"))).alias("ord", "m")).select(
+    """One row per price mention of each chunk, with its place, supplier (the file's name) and order.
+
+    Chunks are dealt out first: finding mentions costs far more than moving a chunk, and a table may be one row group."""
+    return chunks.repartition("chunk_id").select("tender_id", "chunk_id", "path", "title", base_name(F.coalesce("path", "title")).alias("supplier"), F.posexplode(price_mentions(F.col("text"))).alias("ord", "m")).select(
         "tender_id", "chunk_id", "path", "title", "supplier", "ord", F.col("m.amount").alias("amount"), F.col("m.label").alias("label")
     )
 
@@ -72,13 +81,17 @@ def best_candidates(records: DataFrame, found: DataFrame, guarded: bool = True)
     piece of the held one which the fewest others have, short ones by a piece of their own length (`operators/likeness`). Of the mentions that a
     link is tied to only the first of each supplier and the first of all count, so records and mentions of one quote
     never meet one by one; the same holds for a tender as a whole. Only positioned pairs are tested each, as the best of
-    them may be linked too."""
+    them may be linked too.
+
+    Not lazy: mentions, and records of tenders that have any, are stored once in the shared folder, as every step starts
+    from them; so records are made twice, here and for the result, and mentions once."""
     sides, col = ("tender_id", "_link", "_base", "_own", "_name"), F.col
-    rows = records.select("record_id", "tender_id", _fold(col("quote_link")).alias("_link"), _fold(base_name(col("quote_link"))).alias("_base"), _fold(col("supplier")).alias("_own"), _fold(col("position_name")).alias("_name"))
-    looks = rows.filter("tender_id is not null").select(*sides).distinct()
     hay = F.concat_ws(" ", *(_fold(col(n)) for n in ("title", "path", "supplier", "label")))
     c = found.filter("tender_id is not null").select("tender_id", _fold(col("supplier")).alias("_sup"), _fold(col("label")).alias("_label"), hay.alias("_hay"), F.struct("chunk_id", "ord", "amount", "label").alias("_row"))
-    c = c.groupBy("tender_id", "_sup", "_label", "_hay").agg(F.min("_row").alias("_row")).withColumn("_head", F.substr("_label", F.lit(1), F.lit(24)))
+    c = stored(c.groupBy("tender_id", "_sup", "_label", "_hay").agg(F.min("_row").alias("_row")).withColumn("_head", F.substr("_label", F.lit(1), F.lit(24))))
+    tenders = stored(c.select("tender_id").distinct())
+    rows = stored(records.join(tenders, "tender_id", "left_semi").select("record_id", "tender_id", _fold(col("quote_link")).alias("_link"), _fold(base_name(col("quote_link"))).alias("_base"), _fold(col("supplier")).alias("_own"), _fold(col("position_name")).alias("_name")))
+    looks = stored(rows.select(*sides).distinct())
     linked, named, labelled = looks.filter("_link <> ''"), looks.filter("_name <> ''"), c.filter("_label <> ''")
 
     def strings(name: str, *parts: tuple[DataFrame, int, str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +57,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Store the rows in the shared folder and go on from there."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Store the rows as Parquet in the shared folder and go on from there, with their true size known to the planner."""
+    path = f"{shared_root(df.sparkSession)}/docsift/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
