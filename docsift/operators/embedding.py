@@ -25,9 +25,12 @@ def text_hash(text: Column) -> Column:
 
 def hashed_vector(text: Column, dimensions: int = 16) -> Column:
     """Counts of tokens by the first 16 bits of their MD5, over the vector's length; empty for a text without tokens."""
-    bucket = lambda t: F.conv(F.substr(F.md5(t), F.lit(1), F.lit(4)), 16, 10).cast("int") % dimensions
-    counts = let(F.transform(tokens(text), bucket), lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("double")))
-    return let(counts, unit)
+    bucket = lambda t: (F.conv(F.substr(F.md5(t), F.lit(1), F.lit(4)), 16, 10).cast("int") % dimensions).cast("string")
+    # Buckets as one string ",3,,12,,3,": a count is what the string loses by its bucket, far cheaper than a lambda for each token.
+    marks = F.concat(F.lit(","), F.array_join(F.transform(tokens(text), bucket), ",,"), F.lit(","))
+    mark = lambda i: F.concat(F.lit(","), i.cast("string"), F.lit(","))
+    lost = lambda m, i: (F.octet_length(m) - F.octet_length(F.replace(m, mark(i), F.lit("")))) / F.octet_length(mark(i))
+    return let(let(marks, lambda m: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: lost(m, i))), unit)
 
 
 def with_cached(chunks: DataFrame, cached: DataFrame, model: str, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -42,7 +45,9 @@ def embedded(chunks: DataFrame, embedder: Callable[[pd.Series], pd.Series] | Cal
     native: embedder is a function of a column and runs without Python. An embedder that raises ends the job."""
     rows = chunks.select(key, F.lit(model).alias("model"), text_hash(F.col(text)).alias("text_hash"), F.coalesce(text, F.lit("")).alias("_text"))
     if native:
-        return rows.withColumn("vector", embedder(F.col("_text")).cast("array<float>")).drop("_text").filter(F.size("vector") > 0)
+        # Exploded, as a filter on the vector would be pushed below it and compute it twice.
+        vector = F.filter(F.array(embedder(F.col("_text")).cast("array<float>")), lambda v: F.size(v) > 0)
+        return rows.select(key, "model", "text_hash", F.explode(vector).alias("vector"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
